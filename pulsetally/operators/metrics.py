@@ -112,6 +112,20 @@ def _mergeable(
     )
 
 
+def event_metrics_one_step(
+    events: DataFrame,
+    window: timedelta = FIVE_MINUTES,
+    slide: timedelta | None = None,
+    dimensions: tuple[str, ...] = DIMENSIONS,
+) -> DataFrame:
+    """Event metrics with estimated users in a single aggregation, for update mode."""
+    users = F.hll_sketch_estimate(F.hll_sketch_agg("user_id", SKETCH_LOG2))
+    counted = events.groupBy(event_window(window, slide).alias("window"), *dimensions).agg(
+        F.count(F.lit(1)).alias("event_count"), users.alias("unique_users")
+    )
+    return counted.select(*flat_window(), *dimensions, "event_count", "unique_users")
+
+
 def user_metrics(
     events: DataFrame, window: timedelta = ONE_HOUR, as_coded: bool = False
 ) -> DataFrame:

@@ -89,7 +89,8 @@ def guarded(
 ) -> BatchWriter:
     """Error policy: ``raise`` stops the query so that the batch is tried again.
 
-    ``log`` goes on without the failed batch, which loses its rows.
+    ``log`` goes on without the failed batch, which loses its rows. The batch
+    is still computed to its end, because the query's state must move on.
     """
     if on_error == "raise":
         return write
@@ -99,6 +100,7 @@ def guarded(
             write(batch, batch_id)
         except Exception:
             log.exception("batch %s of %s was not written", batch_id, name)
+            batch.write.format("noop").mode("overwrite").save()
 
     return write_or_log
 

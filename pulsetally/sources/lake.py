@@ -42,10 +42,12 @@ def read_lake(
     start: datetime | None = None,
     end: datetime | None = None,
 ) -> DataFrame:
-    """Events with ``start <= timestamp < end``; only those hours are listed and read."""
-    events = spark.read.schema(LAKE_SCHEMA).parquet(path)
-    if start is None and end is None:
-        return events
+    """Events with ``start <= timestamp < end``; only those hours are read."""
+    return bounded(spark.read.schema(LAKE_SCHEMA).parquet(path), start, end)
+
+
+def bounded(events: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
+    """Events of a time range, by partition columns and by event time."""
     events = events.where(partition_range(start, end))
     if start is not None:
         events = events.where(F.col("timestamp") >= as_timestamp(start))
