@@ -42,6 +42,9 @@ class StreamSettings:
     watermark: timedelta = timedelta(minutes=10)
     trigger: timedelta = timedelta(seconds=30)
     available_now: bool = False
+    # Shuffle width of stateful queries. A checkpoint keeps the width it was
+    # created with, so choose it for the load to come. None: the session's.
+    state_partitions: int | None = None
     dedup: bool = False
     enable_lake: bool = True
     enable_metrics: bool = True

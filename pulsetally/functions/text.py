@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # (?U) makes \s match all Unicode white space; \x1c-\x1f are separators which
 # the clients' strip() removes too.
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-JSON_STRING = r'"(?:\\.|[^"\\])*"'
 
 
 def strip(text: Column) -> Column:
@@ -32,10 +31,14 @@ def spaced_length(json_text: Column) -> Column:
     The size rule counts a dictionary's printed form. That form has a space
     after each separator and prints an escaped double quote as one character.
     """
-    bare = F.regexp_replace(json_text, JSON_STRING, "")
+    # Literal replacements first, so that the one pattern left is a plain
+    # character class: alternatives in a loop overflow the stack on long texts.
+    unescaped = F.replace(json_text, F.lit("\\\\"), F.lit(""))
+    unquoted = F.replace(unescaped, F.lit('\\"'), F.lit(""))
+    escaped_quotes = (F.length(unescaped) - F.length(unquoted)) / 2
+    bare = F.regexp_replace(unquoted, '"[^"]*"', "")
     separators = F.length(bare) - F.length(F.translate(bare, ",:", ""))
-    escaped_quotes = F.regexp_count(json_text, F.lit(r'(?<!\\)(?:\\\\)*\\"'))
-    return F.length(json_text) + separators - escaped_quotes
+    return F.length(json_text) + separators - escaped_quotes.cast("int")
 
 
 def string_map(json_text: Column) -> Column:

@@ -22,6 +22,7 @@ from pulsetally.operators.validate import (
 from pulsetally.schema import EVENT_COLUMNS, LAKE_PARTITIONS
 from pulsetally.sinks.lake import rebalanced
 from pulsetally.sources.lake import LAKE_SCHEMA, PROCESSING_TIME, bounded
+from pulsetally.streaming.start import start_file_query
 
 ACCEPTED = "accepted"
 RAW = "raw_fields"
@@ -78,17 +79,7 @@ def stream_landing(
     records: DataFrame, path: str, settings: StreamSettings, name: str = "raw-events"
 ) -> StreamingQuery:
     """The same for a stream of records, exactly-once and with one scan of the topic."""
-    return (
-        landing_rows(records)
-        .writeStream.format("parquet")
-        .queryName(name)
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", settings.checkpoint(name))
-        .partitionBy(*PARTITIONS)
-        .trigger(**settings.trigger_options())
-        .start()
-    )
+    return start_file_query(landing_rows(records), path, settings, name, PARTITIONS)
 
 
 def read_accepted(

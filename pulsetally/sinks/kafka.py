@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pulsetally.config import KafkaSettings, StreamSettings
 from pulsetally.operators.decode import encode_events
 from pulsetally.sources.kafka import connection_options
+from pulsetally.streaming.start import start_query
 
 
 def writer_options(kafka: KafkaSettings) -> dict[str, str]:
@@ -49,12 +50,6 @@ def publish_stream(
     events: DataFrame, kafka: KafkaSettings, settings: StreamSettings, name: str = "publish"
 ) -> StreamingQuery:
     """Publish a stream of events."""
-    return (
-        encode_events(events)
-        .writeStream.format("kafka")
-        .queryName(name)
-        .options(**writer_options(kafka))
-        .option("checkpointLocation", settings.checkpoint(name))
-        .trigger(**settings.trigger_options())
-        .start()
-    )
+    records = encode_events(events)
+    writer = records.writeStream.format("kafka").options(**writer_options(kafka))
+    return start_query(records, writer, settings, name)

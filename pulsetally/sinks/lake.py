@@ -10,6 +10,7 @@ from pulsetally.config import StreamSettings
 from pulsetally.operators.projections import with_calendar
 from pulsetally.schema import LAKE_PARTITIONS
 from pulsetally.sources.lake import LAKE_SCHEMA, PROCESSING_TIME
+from pulsetally.streaming.start import start_file_query
 
 
 def lake_rows(events: DataFrame) -> DataFrame:
@@ -48,25 +49,11 @@ def stream_lake(
     events: DataFrame, path: str, settings: StreamSettings, name: str = "raw-events"
 ) -> StreamingQuery:
     """Write a stream of events; the file sink's commit log makes it exactly-once."""
-    return _file_query(lake_rows(events), path, settings, name, LAKE_PARTITIONS)
+    return start_file_query(lake_rows(events), path, settings, name, LAKE_PARTITIONS)
 
 
 def stream_rejects(
     rejects: DataFrame, path: str, settings: StreamSettings, name: str = "rejected-records"
 ) -> StreamingQuery:
     """Write a stream of rejected records."""
-    return _file_query(rejects, path, settings, name, ())
-
-
-def _file_query(
-    rows: DataFrame, path: str, settings: StreamSettings, name: str, partitions: tuple[str, ...]
-) -> StreamingQuery:
-    writer = (
-        rows.writeStream.format("parquet")
-        .queryName(name)
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", settings.checkpoint(name))
-        .trigger(**settings.trigger_options())
-    )
-    return (writer.partitionBy(*partitions) if partitions else writer).start()
+    return start_file_query(rejects, path, settings, name)

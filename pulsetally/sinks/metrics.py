@@ -16,6 +16,7 @@ from pulsetally.operators.projections import as_table
 from pulsetally.schema import METRIC_SCHEMA, USER_METRIC_SCHEMA
 from pulsetally.sinks.lake import rebalanced
 from pulsetally.sources.metric_tables import BATCH_ID, JdbcSettings, newest_per_key
+from pulsetally.streaming.start import start_file_query, start_query
 
 log = logging.getLogger(__name__)
 
@@ -114,31 +115,15 @@ def stream_batches(
     on_error: Literal["raise", "log"] = "raise",
 ) -> StreamingQuery:
     """Hand every micro-batch of a metric stream to a writer."""
-    return (
-        metrics.writeStream.foreachBatch(guarded(write, name, on_error))
-        .queryName(name)
-        .outputMode(output_mode)
-        .option("checkpointLocation", settings.checkpoint(name))
-        .trigger(**settings.trigger_options())
-        .start()
-    )
+    writer = metrics.writeStream.foreachBatch(guarded(write, name, on_error))
+    return start_query(metrics, writer.outputMode(output_mode), settings, name)
 
 
 def stream_table(
     metrics: DataFrame, path: str, schema: T.StructType, settings: StreamSettings, name: str
 ) -> StreamingQuery:
     """Write closed windows to a Parquet table, exactly-once, one row per window and key."""
-    return (
-        table_rows(metrics, schema)
-        .writeStream.format("parquet")
-        .queryName(name)
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", settings.checkpoint(name))
-        .partitionBy(WINDOW_DATE)
-        .trigger(**settings.trigger_options())
-        .start()
-    )
+    return start_file_query(table_rows(metrics, schema), path, settings, name, (WINDOW_DATE,))
 
 
 def stream_event_metrics(

@@ -9,10 +9,12 @@ from pyspark.sql import types as T
 from pulsetally.functions import text
 from pulsetally.schema import EVENT_COLUMNS, PLATFORMS
 
+# `ts` is stored without a zone and means UTC. Declared as an instant it is read
+# as UTC whatever the session's zone, and filters on it need no cast.
 TABLE_SCHEMA = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.TimestampNTZType()),
+        T.StructField("ts", T.TimestampType()),
         T.StructField("user_id", T.LongType()),
         T.StructField("event_type", T.StringType()),
         T.StructField("value", T.DoubleType()),
@@ -54,7 +56,7 @@ def as_events(table: DataFrame, map_types: bool = True) -> DataFrame:
         "platform": F.element_at(
             F.array(*[F.lit(p) for p in PLATFORMS]), (event_id % 4 + 1).cast("int")
         ),
-        "timestamp": F.col("ts").cast("timestamp"),
+        "timestamp": F.col("ts"),
         "session_id": F.concat_ws(
             "_", F.lit("sess"), user_id, F.dayofmonth("ts").cast("string")
         ),
