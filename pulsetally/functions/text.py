@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # (?U) makes \s match all Unicode white space; \x1c-\x1f are separators which
 # the clients' strip() removes too.
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
@@ -15,6 +16,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGE_SPACE, "")
 
 
+def blank(text: Column) -> Column:
+    """True where a text has nothing but white space."""
+    return ~text.rlike(NOT_SPACE)
+
+
 def too_long(text: Column, limit: int) -> Column:
     """True where the text has more than ``limit`` characters; NULL counts as short."""
     return F.coalesce(F.length(text) > limit, F.lit(False))
@@ -25,11 +31,13 @@ def outside(value: Column, domain: tuple[str, ...]) -> Column:
     return F.coalesce(~value.isin(*domain), F.lit(False))
 
 
-def spaced_length(json_text: Column) -> Column:
-    """Length of compact JSON once ``", "`` and ``": "`` separate its parts.
+def too_large_printed(json_text: Column, limit: int) -> Column:
+    """True where compact JSON, printed with spaces after its separators, is too long.
 
     The size rule counts a dictionary's printed form. That form has a space
-    after each separator and prints an escaped double quote as one character.
+    after each ``,`` and ``:`` and prints an escaped double quote as one
+    character. It is never more than twice as long as the compact text, so
+    short texts pass unmeasured.
     """
     # Literal replacements first, so that the one pattern left is a plain
     # character class: alternatives in a loop overflow the stack on long texts.
@@ -38,7 +46,8 @@ def spaced_length(json_text: Column) -> Column:
     escaped_quotes = (F.length(unescaped) - F.length(unquoted)) / 2
     bare = F.regexp_replace(unquoted, '"[^"]*"', "")
     separators = F.length(bare) - F.length(F.translate(bare, ",:", ""))
-    return F.length(json_text) + separators - escaped_quotes.cast("int")
+    printed = F.length(json_text) + separators - escaped_quotes.cast("int")
+    return F.coalesce((F.length(json_text) > limit // 2) & (printed > limit), F.lit(False))
 
 
 def string_map(json_text: Column) -> Column:

@@ -33,7 +33,7 @@ def parse_event_time(text: Column) -> Column:
 
 def parse_client_time(text: Column) -> Column:
     """Like ``parse_event_time`` for what clients may send: ISO text or Unix time."""
-    iso = F.try_to_timestamp(F.upper(F.regexp_replace(F.trim(text), "_", " ")))
+    iso = F.try_to_timestamp(F.translate(F.trim(text), "tz_", "TZ "))
     number = F.trim(text).try_cast("decimal(30,6)")
     seconds = F.when(F.abs(number) <= UNIX_SECONDS_MAX, number).otherwise(number / 1000)
     unix = F.timestamp_micros((seconds * 1_000_000).try_cast("bigint"))

@@ -31,15 +31,18 @@ def parse_payload(records: DataFrame, value: str = "value") -> DataFrame:
     others = {c: RECORD_TIME if c == "timestamp" else c for c in records.columns if c != value}
     payload = F.coalesce(F.col(value).cast("string"), F.lit("null"))
     event = F.from_json(payload, WIRE_SCHEMA, {"columnNameOfCorruptRecord": MALFORMED})
-    parsed = records.select(*[F.col(c).alias(a) for c, a in others.items()], event.alias("event"))
-    fields = [
-        F.col(f"event.{c}").alias(METADATA_JSON if c == "metadata" else c) for c in EVENT_COLUMNS
-    ]
-    return parsed.select(
-        *others.values(),
-        *fields,
-        F.when(F.col("event").isNull(), "null").otherwise(F.col(f"event.{MALFORMED}")).alias(MALFORMED),
+    # JSON null parses to NULL without a corrupt record: mark it here.
+    event = F.coalesce(event, F.struct(*_null_fields(), F.lit("null").alias(MALFORMED)))
+    # A generator keeps later filters on the fields from being pushed below the
+    # parser, where Spark would parse the payload once per field they mention.
+    parsed = records.select(
+        *[F.col(c).alias(a) for c, a in others.items()], F.inline(F.array(event))
     )
+    return parsed.withColumnRenamed("metadata", METADATA_JSON)
+
+
+def _null_fields() -> list[Column]:
+    return [F.lit(None).cast("string").alias(c) for c in EVENT_COLUMNS]
 
 
 def decode_events(records: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -11,46 +11,52 @@ from pyspark.sql import functions as F
 
 from pulsetally import schema
 from pulsetally.functions import text, time
-from pulsetally.operators.decode import MALFORMED, METADATA_JSON, RECORD_TIME, typed_columns
+from pulsetally.operators.decode import MALFORMED, METADATA_JSON, RECORD_TIME
 
 REASONS = "reasons"
+GIVEN_TIME = "given_time"
+GIVEN_METADATA = "given_metadata"
 
 
 def rules() -> dict[str, Column]:
     """Reason name -> condition under which a parsed record breaks that rule."""
     event_type, user_id, platform = (F.col(c) for c in ("event_type", "user_id", "platform"))
-    stamp, metadata = F.col("timestamp"), F.col(METADATA_JSON)
-    present_user = user_id.isNotNull() & F.length(user_id).between(1, schema.USER_ID_MAX)
+    length_ok = F.length(user_id).between(1, schema.USER_ID_MAX)
     return {
         "event_type_missing": event_type.isNull(),
         "event_type_unknown": text.outside(event_type, schema.EVENT_TYPES),
         "user_id_missing": user_id.isNull(),
-        "user_id_length": F.coalesce(
-            ~F.length(user_id).between(1, schema.USER_ID_MAX), F.lit(False)
-        ),
-        "user_id_blank": present_user & (text.strip(user_id) == ""),
+        "user_id_length": ~length_ok,
+        "user_id_blank": length_ok & text.blank(user_id),
         "platform_missing": platform.isNull(),
         "platform_unknown": text.outside(platform, schema.PLATFORMS),
         "content_id_too_long": text.too_long(F.col("content_id"), schema.CONTENT_ID_MAX),
         "session_id_too_long": text.too_long(F.col("session_id"), schema.SESSION_ID_MAX),
         "device_type_too_long": text.too_long(F.col("device_type"), schema.DEVICE_TYPE_MAX),
         "location_too_long": text.too_long(F.col("location"), schema.LOCATION_MAX),
-        "timestamp_malformed": stamp.isNotNull() & time.parse_client_time(stamp).isNull(),
-        "metadata_not_object": metadata.isNotNull() & text.string_map(metadata).isNull(),
-        "metadata_too_large": F.coalesce(
-            text.spaced_length(metadata) > schema.METADATA_MAX, F.lit(False)
-        ),
+        "timestamp_malformed": F.col("timestamp").isNotNull() & F.col(GIVEN_TIME).isNull(),
+        "metadata_not_object": F.col(METADATA_JSON).isNotNull() & F.col(GIVEN_METADATA).isNull(),
+        "metadata_too_large": text.too_large_printed(F.col(METADATA_JSON), schema.METADATA_MAX),
     }
 
 
 def check_events(parsed: DataFrame) -> DataFrame:
-    """Add ``reasons``, an array which is empty for a valid record."""
-    broken = F.array_compact(
-        F.array(*[F.when(condition, F.lit(name)) for name, condition in rules().items()])
+    """Add ``reasons``, an array which is empty for a valid record.
+
+    Also adds the given time and metadata in their types. As in
+    ``parse_payload`` a generator adds them, so they are parsed once although
+    both the rules and the output need them.
+    """
+    given = F.struct(
+        time.parse_client_time(F.col("timestamp")).alias(GIVEN_TIME),
+        text.string_map(F.col(METADATA_JSON)).alias(GIVEN_METADATA),
     )
+    typed = parsed.select("*", F.inline(F.array(given)))
+    marks = [F.when(broken, F.lit(name)).otherwise("") for name, broken in rules().items()]
+    reasons = F.array_remove(F.array(*marks), "")
     malformed = F.col(MALFORMED).isNotNull()
-    return parsed.withColumn(
-        REASONS, F.when(malformed, F.array(F.lit("payload_malformed"))).otherwise(broken)
+    return typed.withColumn(
+        REASONS, F.when(malformed, F.array(F.lit("payload_malformed"))).otherwise(reasons)
     )
 
 
@@ -70,12 +76,13 @@ def normalised_columns(
     """
     new_id = text.record_id(*id_from) if id_from else F.uuid()
     now = F.col(received) if received else F.current_timestamp()
-    given_time = time.parse_client_time(F.col("timestamp"))
-    columns = dict(zip(schema.EVENT_COLUMNS, typed_columns(F.coalesce(given_time, now))))
-    columns["event_id"] = F.coalesce(F.nullif(F.col("event_id"), F.lit("")), new_id)
-    columns["user_id"] = text.strip(F.col("user_id"))
-    columns["metadata"] = F.coalesce(columns["metadata"], text.empty_map())
-    return [column.alias(name) for name, column in columns.items()]
+    special = {
+        "event_id": F.coalesce(F.nullif(F.col("event_id"), F.lit("")), new_id),
+        "user_id": text.strip(F.col("user_id")),
+        "timestamp": F.coalesce(F.col(GIVEN_TIME), now),
+        "metadata": F.coalesce(F.col(GIVEN_METADATA), text.empty_map()),
+    }
+    return [special.get(c, F.col(c)).alias(c) for c in schema.EVENT_COLUMNS]
 
 
 def valid_events(
@@ -90,7 +97,7 @@ def valid_events(
 
 def rejected_records(checked: DataFrame) -> DataFrame:
     """The invalid records as they came, with their reasons."""
-    return checked.where(~is_valid())
+    return checked.where(~is_valid()).drop(GIVEN_TIME, GIVEN_METADATA)
 
 
 def record_defaults(parsed: DataFrame) -> dict:

@@ -143,11 +143,6 @@ def _outcome(rows: str) -> str:
           FROM ({rows}) GROUP BY batch_id)"""
 
 
-TURNS = """
-    SELECT conv_id AS batch_id, turn, role, text,
-           length(text) <= 100 AND length(role) BETWEEN 1 AND 100 AND trim(role) <> '' AS ok
-    FROM conversations"""
-
 ISO = (
     "CASE WHEN epoch_us(\"timestamp\") % 1000000 = 0 "
     "THEN strftime(\"timestamp\", '%Y-%m-%dT%H:%M:%S') "
@@ -159,6 +154,11 @@ ISO = (
 PRINTED = """length(CAST(json_object('text', text) AS VARCHAR)) + 1
            - (length(text) - length(replace(text, '"', '')))"""
 
+TURNS = f"""
+    SELECT conv_id AS batch_id, turn, role, text,
+           length(role) BETWEEN 1 AND 100 AND trim(role) <> '' AND {PRINTED} <= 1000 AS ok
+    FROM conversations"""
+
 DECODED = _with(f"SELECT {FIELDS}, metadata_k FROM e")
 
 
@@ -191,13 +191,15 @@ def all_sql() -> dict[str, str]:
         "batch_outcome": _with(_outcome(f"SELECT batch_id, ({VALID}) AS ok FROM e"), False),
         "batch_outcome_conversations": _outcome(TURNS),
         "batch_atomic": f"""
-    SELECT batch_id, turn, role AS user_id, text AS location
+    SELECT batch_id, turn, role AS user_id, text
     FROM (SELECT *, bool_and(ok) OVER (PARTITION BY batch_id) AS whole,
                  count(*) OVER (PARTITION BY batch_id) AS size FROM ({TURNS}))
     WHERE whole AND size BETWEEN 1 AND 1000""",
         "batch_size_limit": """
-    SELECT l_suppkey AS batch_id, count(*) AS total_events, count(*) BETWEEN 1 AND 1000 AS size_ok
-    FROM lineitem GROUP BY l_suppkey""",
+    SELECT batch_id, count(*) AS total_events, count(*) BETWEEN 1 AND 1000 AS size_ok
+    FROM (SELECT 'supplier-' || CAST(l_suppkey AS VARCHAR) AS batch_id FROM lineitem
+          UNION ALL SELECT 'quantity-' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) FROM lineitem)
+    GROUP BY batch_id""",
         "lake_partition_columns": _with(f"SELECT event_id, {CALENDAR} FROM e"),
         "lake_roundtrip": _with(f"""
     SELECT {FIELDS}, metadata_k, CAST(year("timestamp") AS INTEGER) AS year,

@@ -177,13 +177,13 @@ def batch_outcome(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _turn_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversations as client batches: a turn is an event, its whole text the location."""
+    """Conversations as client batches: a turn is an event with its whole text as metadata."""
     value = F.to_json(
         F.struct(
             F.lit("comment").alias("event_type"),
             F.col("role").alias("user_id"),
             F.lit("web").alias("platform"),
-            F.col("text").alias("location"),
+            F.struct("text").alias("metadata"),
         )
     )
     turns = _table(spark, folder, "conversations")
@@ -202,13 +202,17 @@ def batch_atomic(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of the conversations in which every turn is valid."""
     checked = validate.check_events(parse_payload(_turn_payloads(spark, folder)))
     kept = batches.atomic_batches(checked, validate.is_valid())
-    return kept.select("batch_id", "turn", "user_id", "location")
+    return kept.select("batch_id", "turn", "user_id", F.col("given_metadata")["text"].alias("text"))
 
 
 @_query
 def batch_size_limit(spark: SparkSession, folder: str) -> DataFrame:
-    """Sizes against the limit, with one batch per supplier."""
-    rows = _table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("batch_id"))
+    """Sizes against the limit; every line is in a supplier's and a quantity's batch."""
+    supplier = F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string"))
+    quantity = F.concat(F.lit("quantity-"), F.col("l_quantity").cast("int").cast("string"))
+    rows = _table(spark, folder, "lineitem").select(
+        F.explode(F.array(supplier, quantity)).alias("batch_id")
+    )
     return batches.batch_sizes(rows, F.lit(True)).select("batch_id", "total_events", "size_ok")
 
 
