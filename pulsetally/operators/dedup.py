@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+KEY = "dedup_key"
 
 
 def dedup_events(events: DataFrame) -> DataFrame:
-    """Keep one event per ``event_id``.
+    """Keep one event per ``event_id``; events without an id are all kept.
 
     On a stream the frame must have a watermark; copies are then recognised
-    while they arrive within the watermark delay, which bounds the state.
+    while they arrive within the watermark delay, which bounds the state. In a
+    batch copies already meet on the map side.
     """
+    sent_id = F.nullif(F.col("event_id"), F.lit(""))
+    keyed = events.withColumn(KEY, F.coalesce(sent_id, F.uuid()))
     if events.isStreaming:
-        return events.dropDuplicatesWithinWatermark(["event_id"])
-    return events.dropDuplicates(["event_id"])
+        return keyed.dropDuplicatesWithinWatermark([KEY]).drop(KEY)
+    return keyed.dropDuplicates([KEY]).drop(KEY)

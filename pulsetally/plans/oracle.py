@@ -258,6 +258,7 @@ def all_sql() -> dict[str, str]:
         ),
         "stream_event_metrics_5min_exact": _closed(SLIDING),
         "stream_user_metrics_1hr": _closed(_user_metrics()),
+        "dedup_batch": fields,
         "stream_dedup": fields,
         "stream_lake": _with(f"SELECT {FIELDS}, {CALENDAR} FROM e"),
         "stream_landing": _with(f"""

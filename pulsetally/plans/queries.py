@@ -15,6 +15,7 @@ from pulsetally.config import StreamSettings
 from pulsetally.functions import text
 from pulsetally.operators import batches, decode, metrics, rollup, validate
 from pulsetally.operators.decode import encode_events, parse_payload
+from pulsetally.operators.dedup import dedup_events
 from pulsetally.operators.projections import of_type, with_calendar
 from pulsetally.plans import landing, reports
 from pulsetally.schema import METRIC_KEY, METRIC_SCHEMA, USER_COUNTERS
@@ -470,7 +471,13 @@ def _stream(spark: SparkSession, folder: str, map_types: bool = True) -> DataFra
 
 
 def _settings(spark: SparkSession, **options) -> StreamSettings:
-    return StreamSettings(shared_dir(spark, "checkpoints"), available_now=True, **options)
+    """Read all there is once; state is spread over all cores."""
+    return StreamSettings(
+        shared_dir(spark, "checkpoints"),
+        available_now=True,
+        state_partitions=spark.sparkContext.defaultParallelism,
+        **options,
+    )
 
 
 def _event_stream(spark: SparkSession, folder: str, uniques: metrics.Uniques) -> DataFrame:
@@ -498,6 +505,13 @@ def stream_user_metrics_1hr(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(spark.read.parquet(path), *USER_FIELDS)
 
 
+@_query
+def dedup_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event sent twice comes out once."""
+    twice = _events(spark, folder).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return _plain(dedup_events(twice), *EVENT_FIELDS)
+
+
 @_query
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every event sent twice comes out once."""

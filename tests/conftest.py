@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 os.environ["TZ"] = "UTC"
 time.tzset()
@@ -20,12 +20,14 @@ DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 def spark(tmp_path_factory):
     session = build_session(
         "tests",
-        "local[4]",
+        "local[8]",
         {
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "8",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
+            # Small data still uses all threads where it writes many folders.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )

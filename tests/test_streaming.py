@@ -125,7 +125,8 @@ def test_late_rows_are_dropped(spark, settings, tmp_path):
 def test_repeated_ids_are_dropped_within_the_watermark(spark, settings, tmp_path):
     feed = Feed(spark, tmp_path / "in")
     one = ("1", "like", "a", "2024-01-15T10:01:00")
-    feed.add(one, one, ("2", "like", "b", "2024-01-15T10:01:30"))
+    nameless = [(i, "like", "n", "2024-01-15T10:02:00") for i in (None, None, "")]
+    feed.add(one, one, ("2", "like", "b", "2024-01-15T10:01:30"), *nameless)
     feed.add(one)
     feed.add(("9", "like", "z", "2024-01-15T12:00:00"))
     feed.add(("10", "like", "z", "2024-01-15T13:00:00"))
@@ -133,7 +134,14 @@ def test_repeated_ids_are_dropped_within_the_watermark(spark, settings, tmp_path
     frame = metrics.user_metric_stream(feed.events(), dedup)
     sinks.stream_user_metrics(frame, str(tmp_path / "out"), dedup).awaitTermination()
     got = rows(spark.read.parquet(str(tmp_path / "out")), "window_start", "user_id", "likes")
-    assert got[:2] == [(datetime(2024, 1, 15, 10), "a", 1), (datetime(2024, 1, 15, 10), "b", 1)]
+    assert got[:3] == [(datetime(2024, 1, 15, 10), u, n) for u, n in (("a", 1), ("b", 1), ("n", 3))]
+
+
+def test_batch_dedup(spark):
+    from pulsetally.operators.dedup import dedup_events
+
+    frame = spark.createDataFrame([("1",), ("1",), ("2",), (None,), (None,), ("",)], "event_id string")
+    assert rows(dedup_events(frame)) == [("",), ("1",), ("2",), (None,), (None,)]
 
 
 def test_update_mode_with_newest_per_key(spark, settings, tmp_path):
