@@ -20,7 +20,7 @@ from pulsetally.operators.validate import (
     record_defaults,
 )
 from pulsetally.schema import EVENT_COLUMNS, LAKE_PARTITIONS
-from pulsetally.sinks.lake import rebalanced
+from pulsetally.sinks.lake import write_partitioned
 from pulsetally.sources.lake import LAKE_SCHEMA, PROCESSING_TIME, bounded
 from pulsetally.streaming.start import start_file_query
 
@@ -66,12 +66,8 @@ def landing_rows(records: DataFrame) -> DataFrame:
 
 def append_landing(records: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
     """Append a batch of records (a backfill)."""
-    rows = rebalanced(landing_rows(records), *PARTITIONS)
-    (
-        rows.write.mode("append")
-        .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
+    write_partitioned(
+        landing_rows(records), path, PARTITIONS, maxRecordsPerFile=max_records_per_file
     )
 
 

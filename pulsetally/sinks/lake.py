@@ -12,6 +12,8 @@ from pulsetally.schema import LAKE_PARTITIONS
 from pulsetally.sources.lake import LAKE_SCHEMA, PROCESSING_TIME
 from pulsetally.streaming.start import start_file_query
 
+SMALLEST_TASK = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+
 
 def lake_rows(events: DataFrame) -> DataFrame:
     """Events in the lake's columns. Rows without event time belong in the rejects."""
@@ -20,23 +22,35 @@ def lake_rows(events: DataFrame) -> DataFrame:
     return with_calendar(events.where(F.col("timestamp").isNotNull())).select(*LAKE_SCHEMA.names)
 
 
-def rebalanced(rows: DataFrame, *columns: str) -> DataFrame:
-    """Bring the rows of a partition together, in tasks of about equal size.
+def write_partitioned(
+    rows: DataFrame,
+    path: str,
+    columns: tuple[str, ...],
+    mode: str = "append",
+    **options: str | int,
+) -> None:
+    """Write Parquet by partition columns, in tasks of about equal size.
 
-    Unlike a repartition by these columns, an hour with a third of all rows is
-    split over many tasks, and small hours share one (needs adaptive execution).
+    The rebalance brings a partition's rows together like a repartition would,
+    but an hour with a third of all rows is split over many tasks (needs
+    adaptive execution). A task creates one file per partition it holds, so
+    small data over many hours must not be merged into one task either.
     """
-    return rows.hint("rebalance", *[F.col(c) for c in columns])
+    balanced = rows.hint("rebalance", *[F.col(c) for c in columns])
+    writer = balanced.write.mode(mode).options(**options).partitionBy(*columns)
+    conf = rows.sparkSession.conf
+    before = conf.get(SMALLEST_TASK)
+    conf.set(SMALLEST_TASK, "1KB")
+    try:
+        writer.parquet(path)
+    finally:
+        conf.set(SMALLEST_TASK, before)
 
 
 def append_lake(events: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
     """Append a batch (a backfill), in the layout the stream writes."""
-    rows = rebalanced(lake_rows(events), *LAKE_PARTITIONS)
-    (
-        rows.write.mode("append")
-        .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy(*LAKE_PARTITIONS)
-        .parquet(path)
+    write_partitioned(
+        lake_rows(events), path, LAKE_PARTITIONS, maxRecordsPerFile=max_records_per_file
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pulsetally.config import StreamSettings
 from pulsetally.operators.projections import as_table
 from pulsetally.schema import METRIC_SCHEMA, USER_METRIC_SCHEMA
-from pulsetally.sinks.lake import rebalanced
+from pulsetally.sinks.lake import write_partitioned
 from pulsetally.sources.metric_tables import BATCH_ID, JdbcSettings, newest_per_key
 from pulsetally.streaming.start import start_file_query, start_query
 
@@ -31,18 +31,14 @@ def table_rows(metrics: DataFrame, schema: T.StructType) -> DataFrame:
 
 def append_table(metrics: DataFrame, path: str, schema: T.StructType) -> None:
     """Append a batch of metrics to a Parquet table."""
-    rows = rebalanced(table_rows(metrics, schema), WINDOW_DATE)
-    rows.write.mode("append").partitionBy(WINDOW_DATE).parquet(path)
+    write_partitioned(table_rows(metrics, schema), path, (WINDOW_DATE,))
 
 
 def replace_table(metrics: DataFrame, path: str, schema: T.StructType) -> None:
     """Replace the dates the metrics hold and leave the others: a repeatable backfill."""
-    rows = rebalanced(table_rows(metrics, schema), WINDOW_DATE)
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(WINDOW_DATE)
-        .parquet(path)
+    rows = table_rows(metrics, schema)
+    write_partitioned(
+        rows, path, (WINDOW_DATE,), "overwrite", partitionOverwriteMode="dynamic"
     )
 
 

@@ -26,8 +26,6 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
-            # Small data still uses all threads where it writes many folders.
-            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )
