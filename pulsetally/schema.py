@@ -79,3 +79,8 @@ METRIC_TABLES = {
     "1day": "event_metrics_1day",
 }
 USER_METRIC_TABLE = "user_metrics_1hr"
+
+TABLE_SCHEMAS = {
+    **{name: METRIC_SCHEMA for name in METRIC_TABLES.values()},
+    USER_METRIC_TABLE: USER_METRIC_SCHEMA,
+}

@@ -71,16 +71,19 @@ def jdbc_batches(jdbc: JdbcSettings, table: str, schema: T.StructType) -> BatchW
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = as_table(batch, schema).withColumn(BATCH_ID, F.lit(batch_id).cast("bigint"))
-        options = jdbc.options() | {
-            "dbtable": table,
-            "numPartitions": str(jdbc.partitions),
-            "batchsize": str(jdbc.batch_rows),
-        }
-        rows.write.format("jdbc").options(**options).mode("append").save()
+        rows.write.format("jdbc").options(**jdbc_write_options(jdbc, table)).mode("append").save()
 
     return write
 
 
+def jdbc_write_options(jdbc: JdbcSettings, table: str) -> dict[str, str]:
+    return jdbc.options() | {
+        "dbtable": table,
+        "numPartitions": str(jdbc.partitions),
+        "batchsize": str(jdbc.batch_rows),
+    }
+
+
 def guarded(
     write: BatchWriter, name: str, on_error: Literal["raise", "log"] = "raise"
 ) -> BatchWriter:

@@ -7,14 +7,20 @@ from typing import Literal
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from pulsetally.config import StreamSettings
-from pulsetally.schema import METRIC_SCHEMA, USER_METRIC_SCHEMA
-from pulsetally.sinks import lake, metrics as metric_sinks
+from pulsetally.operators.decode import parse_payload
+from pulsetally.operators.metrics import Uniques
+from pulsetally.operators.validate import check_events, record_defaults, valid_events
+from pulsetally.plans.landing import stream_landing
+from pulsetally.schema import TABLE_SCHEMAS
+from pulsetally.sinks import lake
+from pulsetally.sinks import metrics as metric_sinks
 from pulsetally.streaming import metrics
 
-# Table name -> writer of its micro-batches.
-WriterFor = Callable[[str], metric_sinks.BatchWriter]
+# (table name, its schema) -> writer of its micro-batches.
+WriterFor = Callable[[str, StructType], metric_sinks.BatchWriter]
 
 
 def start_jobs(
@@ -23,46 +29,53 @@ def start_jobs(
     lake_path: str | None = None,
     metrics_path: str | None = None,
     writer_for: WriterFor | None = None,
-    uniques: str = "approx",
+    uniques: Uniques = "approx",
     on_error: Literal["raise", "log"] = "raise",
 ) -> list[StreamingQuery]:
     """Start the lake query and both metric queries, as the settings switch them on.
 
-    Metrics go to Parquet tables below ``metrics_path`` or to the micro-batch
-    writers which ``writer_for`` gives, e.g. ``jdbc_batches``.
+    Metrics go to Parquet tables below ``metrics_path``, or to the micro-batch
+    writers which ``writer_for`` gives.
     """
     queries = []
     if settings.enable_lake and lake_path:
         queries.append(lake.stream_lake(events, lake_path, settings))
     if not settings.enable_metrics:
         return queries
-    tables = {
-        "event_metrics_5min": (
-            "event-metrics-5min",
-            metrics.event_metric_stream(events, settings, uniques),
-            METRIC_SCHEMA,
-        ),
-        "user_metrics_1hr": (
-            "user-metrics-1hr",
-            metrics.user_metric_stream(events, settings),
-            USER_METRIC_SCHEMA,
-        ),
+    frames = {
+        "event-metrics-5min": metrics.event_metric_stream(events, settings, uniques),
+        "user-metrics-1hr": metrics.user_metric_stream(events, settings),
     }
-    for table, (name, frame, schema) in tables.items():
+    for name, frame in frames.items():
+        table = name.replace("-", "_")
+        schema = TABLE_SCHEMAS[table]
         if writer_for is not None:
-            query = metric_sinks.stream_batches(
-                frame, writer_for(table), settings, name, on_error=on_error
-            )
+            writer = writer_for(table, schema)
+            query = metric_sinks.stream_batches(frame, writer, settings, name, on_error=on_error)
         elif metrics_path:
-            query = metric_sinks.stream_table(
-                frame, f"{metrics_path}/{table}", schema, settings, name
-            )
+            path = f"{metrics_path}/{table}"
+            query = metric_sinks.stream_table(frame, path, schema, settings, name)
         else:
             continue
         queries.append(query)
     return queries
 
 
+def start_pipeline(
+    records: DataFrame, settings: StreamSettings, landing_path: str | None = None, **metric_options
+) -> list[StreamingQuery]:
+    """From broker records: land accepted and rejected rows, and count the valid events.
+
+    ``metric_options`` are those of ``start_jobs``.
+    """
+    queries = []
+    if settings.enable_lake and landing_path:
+        queries.append(stream_landing(records, landing_path, settings))
+    checked = check_events(parse_payload(records))
+    events = valid_events(checked, **record_defaults(checked))
+    return queries + start_jobs(events, settings, **metric_options)
+
+
 def run_until_stopped(queries: list[StreamingQuery], poll_seconds: int = 2) -> None:
     """Wait until the queries end; if one fails or on interrupt, stop the others.
 

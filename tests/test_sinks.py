@@ -73,6 +73,10 @@ def test_jdbc_options():
     assert sliced["partitionColumn"] == "window_start" and sliced["numPartitions"] == "4"
     assert sliced["lowerBound"] == "2024-01-01 00:00:00"
     assert "secret" not in repr(jdbc)
+    assert sink.jdbc_write_options(jdbc, "t") == {
+        "url": "jdbc:x://h/db", "driver": "a.Driver", "user": "u", "password": "secret",
+        "fetchsize": "10000", "dbtable": "t", "numPartitions": "4", "batchsize": "10000",
+    }
 
 
 def test_kafka_options():
@@ -106,3 +110,11 @@ def test_shared_dir_follows_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     a, b = shared_dir(spark, "x"), shared_dir(spark, "x")
     assert a != b and a.startswith(base) and b.startswith(base)
+
+
+def test_object_store_options_reach_hadoop(spark):
+    from pulsetally.session import build_session
+
+    same_session = build_session("tests", object_store={"fs.s3a.endpoint": "store.example"})
+    assert same_session.conf.get("spark.hadoop.fs.s3a.endpoint") == "store.example"
+    assert same_session.conf.get("spark.sql.session.timeZone") == "UTC"

@@ -207,6 +207,24 @@ def test_jobs_start_and_end_together(spark, events, stream, settings, tmp_path):
     assert spark.read.parquet(str(tmp_path / "tables/user_metrics_1hr")).count() == users.count()
 
 
+def test_pipeline_from_records(spark, settings, tmp_path):
+    feed = Feed(spark, tmp_path / "in")
+    feed.add(("1", "like", "a", "2024-01-15T10:01:00"), ("2", "nope", "a", "2024-01-15T10:02:00"))
+    feed.add(("3", "like", " a ", "2024-01-15T12:30:00"))
+    feed.add(("4", "view", "b", "2024-01-15T14:30:00"))
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(str(feed.path))
+    queries = jobs.start_pipeline(
+        lines, settings, str(tmp_path / "landing"), metrics_path=str(tmp_path / "tables")
+    )
+    jobs.run_until_stopped(queries)
+    assert rows(landing.read_accepted(spark, str(tmp_path / "landing")), "event_id") == [("1",), ("3",), ("4",)]
+    assert landing.read_rejected(spark, str(tmp_path / "landing")).count() == 1
+    users = spark.read.parquet(str(tmp_path / "tables/user_metrics_1hr"))
+    assert rows(users, "window_start", "user_id", "likes") == [
+        (datetime(2024, 1, 15, 10), "a", 1), (datetime(2024, 1, 15, 12), "a", 1),
+    ]
+
+
 def test_switches_choose_the_queries(spark, stream, tmp_path):
     off = StreamSettings(str(tmp_path / "c"), available_now=True, enable_lake=False, enable_metrics=False)
     assert jobs.start_jobs(stream, off, str(tmp_path / "l"), str(tmp_path / "t")) == []
@@ -219,7 +237,7 @@ def test_switches_choose_the_queries(spark, stream, tmp_path):
 def test_failure_of_one_query_stops_the_others(spark, stream, tmp_path):
     live = StreamSettings(str(tmp_path / "c"), trigger=timedelta(milliseconds=200))
 
-    def writer_for(table):
+    def writer_for(table, schema):
         def write(batch, batch_id):
             if table == "user_metrics_1hr":
                 raise RuntimeError("table is gone")

@@ -160,3 +160,14 @@ def test_validity_over_the_table(table):
     got = {r["ok"]: r["count"] for r in checked.groupBy(is_valid().alias("ok")).count().collect()}
     known = table.where(F.col("event_type").isin("click", "view")).count()
     assert got == {True: known, False: table.count() - known}
+
+
+def test_filters_stay_above_the_parser(table):
+    # Pushed below it, Spark would parse the payload once per mentioned field.
+    from pulsetally.operators.decode import encode_events
+    from pulsetally.sources.event_tables import as_events
+
+    checked = check_events(parse_payload(encode_events(as_events(table))))
+    for frame in (valid_events(checked), rejected_records(checked)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(StructField(event_id") == 1
