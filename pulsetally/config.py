@@ -10,6 +10,7 @@ from datetime import timedelta
 class KafkaSettings:
     """Connection, read bounds and write tuning for one Kafka topic."""
 
+    # The defaults below.
     bootstrap_servers: str
     topic: str
     starting_offsets: str = "latest"
@@ -36,6 +37,7 @@ class StreamSettings:
     """Windows, watermark, trigger and the switches of the streaming jobs."""
 
     checkpoint_dir: str
+    # The default durations.
     window: timedelta = timedelta(minutes=5)
     slide: timedelta = timedelta(minutes=1)
     user_window: timedelta = timedelta(hours=1)

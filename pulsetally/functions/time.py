@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 # Fixed value: the date-time texts the ingest contract takes.
 ISO_PATTERN = (
-    r"^\s*\d{4}-\d{2}-\d{2}"
+    r"^\s*(?!0000)\d{4}-\d{2}-\d{2}"
     r"([Tt _ ]\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?\s*([Zz]|[+-]\d{2}:?\d{2})?)?\s*$"
 )
 NUMBER_PATTERN = r"^\s*[+-]?\d+([.]\d*)?\s*$"
 # Fixed value: numbers beyond this size are milliseconds, the rest seconds.
 UNIX_SECONDS_MAX = 20_000_000_000
+# First and last second of the years 1 to 9999.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
 
 
 def interval_text(span: timedelta) -> str:
@@ -36,7 +38,8 @@ def parse_client_time(text: Column) -> Column:
     iso = F.try_to_timestamp(F.translate(F.trim(text), "tz_", "TZ "))
     number = F.trim(text).try_cast("decimal(30,6)")
     seconds = F.when(F.abs(number) <= UNIX_SECONDS_MAX, number).otherwise(number / 1000)
-    unix = F.timestamp_micros((seconds * 1_000_000).try_cast("bigint"))
+    in_range = seconds.between(FIRST_SECOND, LAST_SECOND)
+    unix = F.when(in_range, F.timestamp_micros((seconds * 1_000_000).try_cast("bigint")))
     return F.when(text.rlike(ISO_PATTERN), iso).when(text.rlike(NUMBER_PATTERN), unix)
 
 

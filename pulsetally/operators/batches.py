@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from pulsetally.schema import BATCH_MAX
 
+# Outcomes of a batch and the text of its error.
+SUCCESS, PARTIAL, ERROR = "success", "partial", "error"
+ERROR_TEXT = "%d events failed to publish."
+
 # The largest oversized batches leave by a broadcast join before the shuffle.
 # This many ids are broadcast at most, whatever the data holds; no batch left
 # after that has more than rows/GIANTS_MAX rows.
@@ -65,14 +69,14 @@ def batch_outcome(rows: DataFrame, ok: Column, batch: str = "batch_id") -> DataF
         )
         .withColumn(
             "status",
-            F.when(failed == 0, "success")
-            .when(F.col("successful") == 0, "error")
-            .otherwise("partial"),
+            F.when(failed == 0, SUCCESS)
+            .when(F.col("successful") == 0, ERROR)
+            .otherwise(PARTIAL),
         )
         .withColumn(
             "errors",
             F.when(failed == 0, F.array().cast("array<string>")).otherwise(
-                F.array(F.format_string("%d events failed to publish.", failed))
+                F.array(F.format_string(ERROR_TEXT, failed))
             ),
         )
     )

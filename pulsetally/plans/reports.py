@@ -14,10 +14,11 @@ from pulsetally.operators.metrics import FIVE_MINUTES, merge_user_sketches
 from pulsetally.schema import EVENT_TYPES, PLATFORMS, USER_COUNTERS
 from pulsetally.sources.metric_tables import pick_table
 
-# Ranges of the report parameters.
+# Ranges of the report parameters and the label of a range.
 HOURS_MAX = 168
 ROWS_MAX = 1000
 TOP_USERS_MAX = 100
+RANGE_LABEL = "Last {} hours"
 
 AsOf = datetime | str | Column | None
 Overlap = Literal["literal", "tumbling"]
@@ -197,7 +198,7 @@ def share(part: Column, total: Column) -> Column:
 
 def with_time_range(report: DataFrame, hours_back: int) -> DataFrame:
     """Add the label of the covered range."""
-    return report.withColumn("time_range", F.lit(f"Last {hours_back} hours"))
+    return report.withColumn("time_range", F.lit(RANGE_LABEL.format(hours_back)))
 
 
 def record_count(report: DataFrame) -> int:

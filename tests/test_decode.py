@@ -66,3 +66,11 @@ def test_encode_writes_nulls_and_iso_time(spark):
         "event_id", "event_type", "user_id", "content_id", "platform", "timestamp",
         "session_id", "device_type", "location", "metadata",
     ]
+
+
+def test_repeated_metadata_keys(spark):
+    texts = ['{"event_type":"like","user_id":"u","platform":"web","metadata":{"a":1,"b":"x","a":2}}']
+    assert decode_events(payloads(spark, texts)).first().metadata == {"a": "2", "b": "x"}
+    parsed = parse_payload(payloads(spark, texts)).withColumn("timestamp", F.current_timestamp())
+    written = json.loads(encode_events(parsed).first().value)
+    assert written["metadata"] == {"a": "2", "b": "x"}

@@ -58,6 +58,16 @@ def test_rules(spark):
         ({"timestamp": "2024-01-15T10:00:00Z"}, []),
         ({"timestamp": "2024-01-15t10:00:00.123456+05:30"}, []),
         ({"timestamp": 1705312800}, []),
+        ({"timestamp": ""}, ["timestamp_malformed"]),
+        ({"timestamp": 253402300800000}, ["timestamp_malformed"]),
+        ({"timestamp": 10**17}, ["timestamp_malformed"]),
+        ({"timestamp": 10**40}, ["timestamp_malformed"]),
+        ({"timestamp": "1e5"}, ["timestamp_malformed"]),
+        ({"timestamp": "0000-01-01"}, ["timestamp_malformed"]),
+        ({"timestamp": "2024-01-15T10:00:00+99:99"}, ["timestamp_malformed"]),
+        ({"timestamp": "2024-01-15 25:00"}, ["timestamp_malformed"]),
+        ({"timestamp": -5.25}, []),
+        ({"timestamp": "2024-01-15"}, []),
         ({"metadata": [1]}, ["metadata_not_object"]),
         ({"metadata": "text"}, ["metadata_not_object"]),
         ({"metadata": {}}, []),
