@@ -79,12 +79,15 @@ def window_users(
     for shift in range(1, reach + 1):
         seen = seen.bitwiseOR(F.shiftrightunsigned(F.col(ACTIVE), shift))
     starts = range(BITS - reach)
-    sums = [F.sum(F.shiftrightunsigned("seen", s).bitwiseAND(_long(1))).alias(f"u{s}") for s in starts]
+    sums = [F.expr(f"sum(shiftrightunsigned(seen, {s}) & 1L) AS u{s}") for s in starts]
+    per_start = F.expr(f"posexplode(array({', '.join(f'u{s}' for s in starts)}))")
     counted = (
-        activity.select(BLOCK, *dimensions, seen.alias("seen")).groupBy(BLOCK, *dimensions).agg(*sums)
+        activity.select(BLOCK, *dimensions, seen.alias("seen"))
+        .groupBy(BLOCK, *dimensions)
+        .agg(*sums)
     )
     return (
-        counted.select(BLOCK, *dimensions, F.posexplode(F.array(*[f"u{s}" for s in starts])))
+        counted.select(BLOCK, *dimensions, per_start)
         .where(F.col("col") > 0)
         .select(
             (F.col(BLOCK) + F.col("pos") * _long(step)).alias("start_us"),
