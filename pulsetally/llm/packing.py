@@ -18,6 +18,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -42,10 +43,11 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, size: int) -> list[int]
     """Indices of the chosen ``places`` (ascending offsets; the first and last are taken).
 
     Neighbouring places are at most ``size`` apart. Minimises the sum of
-    ``size - length`` over windows plus the penalties of the cuts.
+    ``size - length`` over all windows but the last, plus the penalties of the cuts:
+    the last window is not padded, or goes on in the next block.
     """
     at, fee = places.tolist(), penalties.tolist()
-    previous = [0] * len(at)
+    previous, cost = [0] * len(at), [0] * len(at)
     queue: deque[tuple[int, int, int]] = deque([(at[0], at[0], 0)])  # cost + place, place, index
     for j in range(1, len(at)):
         here = at[j]
@@ -53,14 +55,19 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, size: int) -> list[int]
             queue.popleft()
         best = queue[0]
         previous[j] = best[2]
-        key = best[0] + size + fee[j]  # cost of j, plus its place
+        key = best[0] + size + fee[j]
+        cost[j] = key - here
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, here, j))
-    cuts, j = [len(at) - 1], len(at) - 1
+    j = len(at) - 1
+    near = range(bisect_left(at, at[j] - size), j)
+    cuts = [j]
+    j = min(near, key=cost.__getitem__, default=0)
     while j:
-        j = previous[j]
         cuts.append(j)
+        j = previous[j]
+    cuts.append(0)
     return cuts[::-1]
 
 

@@ -9,11 +9,31 @@ from pyspark.sql import functions as F
 
 from pulsetally.llm.common import given
 from pulsetally.llm.packing import pack_documents
+from pulsetally.llm.secret_scan import scan_secrets
 from pulsetally.llm.tokens import word_bpe_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document, as counts, digest and spans."""
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+
+    def joined(spans):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+        )
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return scan_secrets(given(spark, folder, "documents")).select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        count("entropy"),
+    )
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return pack_documents(given(spark, folder, "documents"), word_bpe_path()).select(
@@ -23,6 +43,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_secrets": op3_secrets,
     "op9_packing": op9_packing,
 }
 
