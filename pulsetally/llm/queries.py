@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsetally.llm.common import given
 from pulsetally.llm.packing import pack_documents
 from pulsetally.llm.secret_scan import scan_secrets
+from pulsetally.llm.sharding import shard_by_bytes
 from pulsetally.llm.tokens import word_bpe_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,14 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes."""
+    return shard_by_bytes(given(spark, folder, "documents"), 24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return pack_documents(given(spark, folder, "documents"), word_bpe_path()).select(
@@ -44,6 +53,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
+    "op6_sharding": op6_sharding,
     "op9_packing": op9_packing,
 }
 
