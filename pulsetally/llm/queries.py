@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsetally.llm.common import given
+from pulsetally.llm.nearest import nearest
 from pulsetally.llm.packing import pack_documents
 from pulsetally.llm.secret_scan import scan_secrets
 from pulsetally.llm.sharding import shard_by_bytes
@@ -43,6 +44,12 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth vector."""
+    asked = F.col("vec_id") % 100 == 0
+    return nearest(given(spark, folder, "embeddings"), asked, 10).select("query_id", "rank", "vec_id", "score")
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return pack_documents(given(spark, folder, "documents"), word_bpe_path()).select(
@@ -54,7 +61,26 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_secrets": op3_secrets,
     "op6_sharding": op6_sharding,
+    "op7_nearest": op7_nearest,
     "op9_packing": op9_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_nearest": """
+        WITH usable AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(
+                list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 100 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank
+            FROM pairs
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+}
