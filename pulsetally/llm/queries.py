@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsetally.llm.chat import read_back, render_turns, turns_of_table
 from pulsetally.llm.common import given
 from pulsetally.llm.nearest import nearest
 from pulsetally.llm.packing import pack_documents
@@ -17,6 +18,23 @@ from pulsetally.llm.tokens import word_bpe_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations rendered and read back, and one made of control strings."""
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string"
+    )
+    rows = given(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    turn_lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read_back(render_turns(turns_of_table(rows))).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turn_lines, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document, as counts, digest and spans."""
     base = F.filter("spans", lambda s: s["kind"] != "entropy")
@@ -59,6 +77,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_chat": op2_chat,
     "op3_secrets": op3_secrets,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
@@ -66,6 +85,28 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_chat": """
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL
+            SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+                                  (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        ), sized AS (
+            SELECT *, 23 + list_sum(list_transform([role, text], lambda x: length(
+                replace(replace(replace(replace(replace(replace(replace(replace(x, '\\', '\\\\'),
+                '<|', '<\\|'), '<s>', '<\\s>'), '</s>', '<\\/s>'), '[INST]', '[\\INST]'),
+                '[/INST]', '[\\/INST]'), '<<SYS>>', '<\\<SYS>>'), '<</SYS>>', '<\\</SYS>>')))) AS chars
+            FROM rows
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), ''
+                                 ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                               FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(chars)::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id
+    """,
     "op7_nearest": """
         WITH usable AS (
             SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
