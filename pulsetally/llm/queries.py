@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsetally.llm import toxicity
 from pulsetally.llm.chat import read_back, render_turns, turns_of_table
 from pulsetally.llm.common import given
 from pulsetally.llm.nearest import nearest
@@ -54,6 +55,16 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity score of every document; a fifth of the ids is held out from learning."""
+    documents = given(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.train(documents, given(spark, folder, "labels"), usable=~held_out)
+    return toxicity.score(documents, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     return shard_by_bytes(given(spark, folder, "documents"), 24).select(
@@ -79,6 +90,7 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_chat": op2_chat,
     "op3_secrets": op3_secrets,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
     "op9_packing": op9_packing,
