@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsetally.llm import toxicity
 from pulsetally.llm.chat import read_back, render_turns, turns_of_table
 from pulsetally.llm.common import given
+from pulsetally.llm.decontamination import contaminated
 from pulsetally.llm.nearest import nearest
 from pulsetally.llm.packing import pack_documents
 from pulsetally.llm.secret_scan import scan_secrets
@@ -58,7 +59,7 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """The toxicity score of every document; a fifth of the ids is held out from learning."""
     documents = given(spark, folder, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     model = toxicity.train(documents, given(spark, folder, "labels"), usable=~held_out)
     return toxicity.score(documents, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
@@ -79,6 +80,11 @@ def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(given(spark, folder, "embeddings"), asked, 10).select("query_id", "rank", "vec_id", "score")
 
 
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other values."""
+    return contaminated(given(spark, folder, "documents"), given(spark, folder, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return pack_documents(given(spark, folder, "documents"), word_bpe_path()).select(
@@ -93,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
+    "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
 }
 
