@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,28 @@ def ceil_div(a: int, b: int) -> int:
 def power_of_two(n: float, least: int, most: int) -> int:
     """The smallest power of two of at least ``n``, within bounds."""
     return min(most, max(least, 1 << max(0, math.ceil(math.log2(max(1.0, n))))))
+
+
+#: Bits of a table for each entry, and its greatest size: 16 MB.
+TABLE_BITS, TABLE_MOST = 32, 1 << 27
+
+
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """Bits set at the values of the column ``hash``: a filter of bounded size before an exact join."""
+    size = power_of_two(TABLE_BITS * hashes.count(), 1 << 10, TABLE_MOST)
+    words = (
+        hashes.select(F.pmod("hash", F.lit(size)).alias("bit"))
+        .groupBy(F.floor(F.col("bit") / 32).cast("int").alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("bits"))
+    )
+    table = np.zeros(size // 32, np.uint32)
+    for row in words.toLocalIterator():
+        table[row["word"]] = row["bits"]
+    return table
+
+
+def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the table; never false for one that is."""
+    at = hashes.view(np.uint64) & np.uint64(len(table) * 32 - 1)
+    bits = table[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)
+    return (bits & np.uint32(1)).astype(bool)

@@ -30,14 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsetally.llm.common import hash64, power_of_two
+from pulsetally.llm.common import bit_table, hash64, in_table
 
 #: Template words of a window, and the plain words it needs.
 WINDOW, PLAIN = 8, 5
 #: Words an item needs to be matched at all.
 ITEM_LEAST = 5
-#: Bits of the table for each benchmark window, and its greatest size.
-BITS, BITS_MOST = 32, 1 << 27
 #: Words a worker remembers; at the bound the memory is emptied.
 WORDS_MAX = 300_000
 
@@ -200,20 +198,6 @@ def item_windows(items: DataFrame, *, id_column: str = "item_id", text_column: s
     )
 
 
-def _bits(wanted: DataFrame, count: int) -> np.ndarray:
-    """A table of bits, set at the windows' hashes; its size is bounded, whatever the benchmark's."""
-    size = power_of_two(BITS * count, 1 << 10, BITS_MOST)
-    words = (
-        wanted.select(F.pmod("hash", F.lit(size)).alias("bit"))
-        .groupBy(F.floor(F.col("bit") / 32).cast("int").alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("bits"))
-    )
-    table = np.zeros(size // 32, np.uint32)
-    for row in words.toLocalIterator():
-        table[row["word"]] = row["bits"]
-    return table
-
-
 def contaminated(
     documents: DataFrame,
     items: DataFrame,
@@ -229,10 +213,8 @@ def contaminated(
     where the item starts; ``slots`` maps the item's values to the document's.
     """
     wanted = item_windows(items).cache()
-    counts = {r["width"]: r["count"] for r in wanted.groupBy("width").count().collect()}
-    table = _bits(wanted, sum(counts.values()))
-    sent = documents.sparkSession.sparkContext.broadcast(table)
-    widths, mask = sorted(counts), np.uint64(len(table) * 32 - 1)
+    widths = sorted(r["width"] for r in wanted.select("width").distinct().collect())
+    sent = documents.sparkSession.sparkContext.broadcast(bit_table(wanted))
     kind = documents.schema[id_column].dataType.simpleString()
     doc_kind = pa.int64() if kind in ("bigint", "int") else None
 
@@ -240,8 +222,7 @@ def contaminated(
         bits, templates = sent.value, Templates()
 
         def listed(hashes: np.ndarray) -> np.ndarray:
-            at = hashes & mask
-            return np.flatnonzero(bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & 1)
+            return np.flatnonzero(in_table(bits, hashes))
 
         for batch in batches:
             rows = [

@@ -11,6 +11,7 @@ from pulsetally.llm import toxicity
 from pulsetally.llm.chat import read_back, render_turns, turns_of_table
 from pulsetally.llm.common import given
 from pulsetally.llm.decontamination import contaminated
+from pulsetally.llm.jaccard_join import jaccard_components
 from pulsetally.llm.nearest import nearest
 from pulsetally.llm.packing import pack_documents
 from pulsetally.llm.secret_scan import scan_secrets
@@ -93,6 +94,11 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are 85 % alike."""
+    return jaccard_components(given(spark, folder, "documents"), words=4, percent=85)
+
+
 QUERIES: dict[str, Query] = {
     "op2_chat": op2_chat,
     "op3_secrets": op3_secrets,
@@ -101,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op7_nearest": op7_nearest,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
+    "op10_jaccard": op10_jaccard,
 }
 
 SQL: dict[str, str] = {
