@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from pulsetally.llm import toxicity
 from pulsetally.llm.chat import read_back, render_turns, turns_of_table
-from pulsetally.llm.common import given
+from pulsetally.llm.common import given, stash
 from pulsetally.llm.decontamination import contaminated
 from pulsetally.llm.jaccard_join import jaccard_components
 from pulsetally.llm.nearest import nearest
 from pulsetally.llm.packing import pack_documents
 from pulsetally.llm.secret_scan import scan_secrets
 from pulsetally.llm.sharding import shard_by_bytes
+from pulsetally.llm.token_rollup import TokenRollup, count_tokens
 from pulsetally.llm.tokens import word_bpe_path
+from pulsetally.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +59,49 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_token_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Token totals after four batches over all documents.
+
+    ``load`` inserts every document under both tokenizers. ``copies`` deletes those with
+    the text of a smaller id, and is sent twice. ``words2`` revises the word counts of
+    all documents left to version 2, which counts words that hold a letter or digit.
+    """
+    plain = F.length(F.regexp_replace(F.regexp_replace("text", "[^ \\t\\n\\x0B\\f\\r]+", "w"), "[^w]", ""))
+    lettered = F.regexp_count("text", F.lit("[^ \\t\\n\\x0B\\f\\r]*[\\p{L}\\p{N}][^ \\t\\n\\x0B\\f\\r]*"))
+    documents = given(spark, folder, "documents").select(
+        "doc_id", "source", "lang", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"),
+        F.coalesce(plain, F.lit(0)).alias("words1"), F.coalesce(lettered, F.lit(0)).alias("words2"),
+    )
+    counted = stash(
+        count_tokens(documents, word_bpe_path(), ["doc_id", "source", "lang", "digest", "words1", "words2"]), "counts"
+    )
+    kept = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    marked = stash(
+        counted.join(kept, "digest").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))),
+        "counts",
+    )
+
+    def change(rows: DataFrame, op: str) -> DataFrame:
+        both = F.array(
+            F.struct(F.lit("word_bpe_49k/1").alias("tokenizer"), F.col("n_tokens").alias("tokens")),
+            F.struct(F.lit("words/1").alias("tokenizer"), F.col("words1").cast("long").alias("tokens")),
+        )
+        return rows.select(F.lit(op).alias("op"), "source", "lang", F.inline(both))
+
+    rollup = TokenRollup(spark, shared_dir(spark, "token-rollup"))
+    rollup.commit("load", change(marked, "insert"))
+    for _ in range(2):
+        rollup.commit("copies", change(marked.filter("copy"), "delete"))
+    rollup.commit(
+        "words2",
+        marked.filter("NOT copy").select(
+            F.lit("revise").alias("op"), "source", "lang", F.lit("words/2").alias("tokenizer"),
+            F.col("words2").alias("tokens"), F.lit("words/1").alias("old_tokenizer"), F.col("words1").alias("old_tokens"),
+        ),
+    )
+    return rollup.totals()
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """The toxicity score of every document; a fifth of the ids is held out from learning."""
     documents = given(spark, folder, "documents")
@@ -102,6 +147,7 @@ def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_chat": op2_chat,
     "op3_secrets": op3_secrets,
+    "op4_token_rollup": op4_token_rollup,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_nearest": op7_nearest,
