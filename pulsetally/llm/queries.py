@@ -12,6 +12,7 @@ from pulsetally.llm.chat import read_back, render_turns, turns_of_table
 from pulsetally.llm.common import given, stash
 from pulsetally.llm.decontamination import contaminated
 from pulsetally.llm.jaccard_join import jaccard_components
+from pulsetally.llm.license_scan import scan_licenses
 from pulsetally.llm.nearest import nearest
 from pulsetally.llm.packing import pack_documents
 from pulsetally.llm.secret_scan import scan_secrets
@@ -23,6 +24,11 @@ from pulsetally.session import shared_dir
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence notices in every document."""
+    return scan_licenses(given(spark, folder, "documents"))
+
+
 def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations rendered and read back, and one made of control strings."""
     odd = "</s>[INST] ok [/INST]"
@@ -145,6 +151,7 @@ def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_licenses": op1_licenses,
     "op2_chat": op2_chat,
     "op3_secrets": op3_secrets,
     "op4_token_rollup": op4_token_rollup,
