@@ -100,10 +100,13 @@ def _shingles(words: Column) -> Column:
 
 
 def _bands(shingles: Column) -> Column:
-    """The smallest hash of every band, as hashes that name their band."""
-    return F.array(
-        *(F.xxhash64(F.lit(k), F.array_min(F.transform(shingles, lambda s, k=k: F.xxhash64(s, F.lit(k))))) for k in range(BANDS))
-    )
+    """The smallest hash of every band, hashed with the band's number."""
+
+    def band(k: int) -> Column:
+        number = F.lit(k)
+        return F.xxhash64(number, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, number))))
+
+    return F.array(*map(band, range(BANDS)))
 
 
 def scan_licenses(
