@@ -23,7 +23,12 @@ def main(arguments: list[str] | None = None) -> None:
 def _stream(spark, args) -> None:
     """Kafka topic to landing folder and metric tables, until stopped."""
     source = KafkaSettings(
-        args.brokers, args.topic, args.starting, args.max_offsets, args.min_partitions
+        args.brokers,
+        args.topic,
+        args.starting,
+        args.max_offsets or None,
+        args.min_partitions,
+        fail_on_data_loss=args.fail_on_data_loss,
     )
     settings = StreamSettings(args.checkpoints, state_partitions=args.state_partitions)
     records = kafka.read_stream(spark, source)
@@ -49,7 +54,8 @@ def _parser() -> argparse.ArgumentParser:
     stream.add_argument("--brokers", required=True)
     stream.add_argument("--topic", required=True)
     stream.add_argument("--starting", default="latest", choices=("latest", "earliest"))
-    stream.add_argument("--max-offsets", type=int, default=10_000)
+    stream.add_argument("--max-offsets", type=int, default=10_000, help="records a trigger; 0: no cap")
+    stream.add_argument("--fail-on-data-loss", action="store_true")
     stream.add_argument("--min-partitions", type=int)
     stream.add_argument("--state-partitions", type=int)
     stream.add_argument("--checkpoints", required=True)

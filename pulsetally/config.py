@@ -30,6 +30,9 @@ class KafkaSettings:
     max_in_flight: int = 5
     request_timeout_ms: int = 30_000
     metadata_max_age_ms: int = 300_000
+    # Whether a stream stops when records it has not read are gone from the topic.
+    # Batch reads always stop.
+    fail_on_data_loss: bool = False
 
 
 @dataclass(frozen=True)

@@ -57,16 +57,20 @@ def atomic_batches(
 
 
 def batch_outcome(rows: DataFrame, ok: Column, batch: str = "batch_id") -> DataFrame:
-    """Per batch: total, successful and failed rows, status and error text."""
+    """Per batch: total, successful and failed rows, status and error text.
+
+    A batch beyond the size limit fails as a whole, as in ``atomic_batches``. Rows
+    without a batch id are single events and have no outcome here.
+    """
     good = F.coalesce(ok, F.lit(False))
-    failed = F.col("failed")
+    total, failed = F.col("total_events"), F.col("failed")
     return (
-        rows.groupBy(batch)
-        .agg(
-            F.count(F.lit(1)).alias("total_events"),
-            F.count_if(good).alias("successful"),
-            F.count_if(~good).alias("failed"),
-        )
+        rows.where(F.col(batch).isNotNull())
+        .groupBy(batch)
+        .agg(F.count(F.lit(1)).alias("total_events"), F.count_if(good).alias("good"))
+        .withColumn("successful", F.when(total > BATCH_MAX, 0).otherwise(F.col("good")))
+        .withColumn("failed", total - F.col("successful"))
+        .drop("good")
         .withColumn(
             "status",
             F.when(failed == 0, SUCCESS)

@@ -21,36 +21,47 @@ from pulsetally.operators.validate import (
 )
 from pulsetally.schema import EVENT_COLUMNS, LAKE_PARTITIONS
 from pulsetally.sinks.lake import write_partitioned
+from pulsetally.sources.folders import BATCH, read_parts
 from pulsetally.sources.lake import LAKE_SCHEMA, PROCESSING_TIME, bounded
 from pulsetally.streaming.start import start_file_query
 
 ACCEPTED = "accepted"
 RAW = "raw_fields"
+# Of rejected records: the payload as it came, and key, topic, partition and offset.
+PAYLOAD, RECORD = "payload", "record"
+COORDINATES = ("key", "topic", "partition", "offset")
 PARTITIONS = (ACCEPTED, *LAKE_PARTITIONS)
 LANDING_SCHEMA = T.StructType(
     LAKE_SCHEMA.fields
     + [
         T.StructField(REASONS, T.ArrayType(T.StringType())),
         T.StructField(RAW, T.MapType(T.StringType(), T.StringType())),
+        T.StructField(PAYLOAD, T.BinaryType()),
+        T.StructField(RECORD, T.MapType(T.StringType(), T.StringType())),
         T.StructField(ACCEPTED, T.BooleanType()),
     ]
 )
 
 
 def landing_rows(records: DataFrame) -> DataFrame:
-    """Accepted records as events; rejected ones with reasons and their raw fields.
+    """Accepted records as events; rejected ones with reasons, raw fields and the whole record.
 
     Both kinds are rows of one frame, so one write stores them and the payload
     is parsed once. Events are dated by event time, rejects by arrival.
     """
-    checked = check_events(parse_payload(records)).withColumn(ACCEPTED, is_valid())
+    whole = records.withColumn(PAYLOAD, F.col("value").cast("binary"))
+    checked = check_events(parse_payload(whole)).withColumn(ACCEPTED, is_valid())
     accepted = F.col(ACCEPTED)
     defaults = record_defaults(checked)
     arrival = F.col(defaults["received"]) if defaults["received"] else F.current_timestamp()
     event = F.struct(*normalised_columns(**defaults))
     fields = [c for c in EVENT_COLUMNS if c != "metadata"] + [METADATA_JSON, MALFORMED]
     raw = F.create_map(*[part for c in fields for part in (F.lit(c), F.col(c))])
+    known = [c for c in COORDINATES if c in records.columns]
+    record = F.create_map(*[part for c in known for part in (F.lit(c), F.col(c).cast("string"))])
     rows = checked.select(
+        F.when(~accepted, F.col(PAYLOAD)).alias(PAYLOAD),
+        F.when(~accepted, record.cast("map<string,string>")).alias(RECORD),
         F.when(accepted, event).alias("event"),
         F.current_timestamp().alias(PROCESSING_TIME),
         F.when(accepted, F.array().cast("array<string>")).otherwise(F.col(REASONS)).alias(REASONS),
@@ -65,9 +76,10 @@ def landing_rows(records: DataFrame) -> DataFrame:
 
 
 def append_landing(records: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
-    """Append a batch of records (a backfill)."""
+    """Append a batch of records (a backfill), next to what streams write."""
+    folder = f"{path.rstrip('/')}/{BATCH}"
     write_partitioned(
-        landing_rows(records), path, PARTITIONS, maxRecordsPerFile=max_records_per_file
+        landing_rows(records), folder, PARTITIONS, maxRecordsPerFile=max_records_per_file
     )
 
 
@@ -85,11 +97,11 @@ def read_accepted(
     end: datetime | None = None,
 ) -> DataFrame:
     """Accepted events in a time range; only their folders are read."""
-    rows = spark.read.schema(LANDING_SCHEMA).parquet(path).where(F.col(ACCEPTED))
+    rows = read_parts(spark, path, LANDING_SCHEMA).where(F.col(ACCEPTED))
     return bounded(rows.select(*LAKE_SCHEMA.names), start, end)
 
 
 def read_rejected(spark: SparkSession, path: str) -> DataFrame:
-    """Rejected records: arrival hour, reasons and raw fields."""
-    rows = spark.read.schema(LANDING_SCHEMA).parquet(path).where(~F.col(ACCEPTED))
-    return rows.select(PROCESSING_TIME, *LAKE_PARTITIONS, REASONS, RAW)
+    """Rejected records: arrival hour, reasons, raw fields, payload and where it came from."""
+    rows = read_parts(spark, path, LANDING_SCHEMA).where(~F.col(ACCEPTED))
+    return rows.select(PROCESSING_TIME, *LAKE_PARTITIONS, REASONS, RAW, PAYLOAD, RECORD)

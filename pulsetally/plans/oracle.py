@@ -255,9 +255,34 @@ def all_sql() -> dict[str, str]:
     FROM e WHERE "timestamp" >= TIMESTAMP '{AS_OF}' - INTERVAL '{WEEK} hours' GROUP BY platform"""),
         "idempotent_replay": hourly,
         "newest_batch_per_key": daily,
-        "stream_event_metrics_5min": _closed(
-            SLIDING, "window_start, window_end, event_type, platform, event_count"
+        "batch_outcome_sizes": """
+    WITH r AS (
+        SELECT 'supplier-' || CAST(l_suppkey AS VARCHAR) AS batch_id, l_linenumber < 7 AS ok FROM lineitem
+        UNION ALL
+        SELECT 'quantity-' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR), l_linenumber < 7 FROM lineitem
+    ), c AS (
+        SELECT batch_id, count(*) AS total_events,
+               CASE WHEN count(*) > 1000 THEN 0 ELSE count(*) FILTER (ok) END AS successful
+        FROM r GROUP BY batch_id
+    )
+    SELECT batch_id, total_events, successful, total_events - successful AS failed,
+           CASE WHEN successful = total_events THEN 'success' WHEN successful = 0 THEN 'error'
+                ELSE 'partial' END AS status,
+           CASE WHEN successful = total_events THEN ''
+                ELSE CAST(total_events - successful AS VARCHAR) || ' events failed to publish.' END AS errors
+    FROM c""",
+        "dedup_batch_differing": _with("""
+    SELECT 'id-' || user_id AS event_id, min("timestamp") AS "timestamp" FROM e GROUP BY user_id"""),
+        "replay_after_new_checkpoint": daily,
+        "compaction_in_steps": daily,
+        "lake_stream_and_backfill": _with(f"SELECT {FIELDS}, {CALENDAR} FROM e"),
+        "landing_stream_and_backfill": _with(
+            f"SELECT event_id, CASE WHEN {VALID} THEN '' ELSE 'event_type_unknown' END AS reasons FROM e",
+            False,
         ),
+        "landing_restored": _with("SELECT event_id, event_type, user_id, platform FROM e", False),
+        "tables_after_stream": _closed(_user_metrics()),
+        "stream_event_metrics_5min": _closed(SLIDING),
         "stream_event_metrics_5min_exact": _closed(SLIDING),
         "stream_user_metrics_1hr": _closed(_user_metrics()),
         "dedup_batch": fields,

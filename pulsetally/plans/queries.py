@@ -17,14 +17,15 @@ from pulsetally.operators import batches, decode, metrics, rollup, validate
 from pulsetally.operators.decode import encode_events, parse_payload
 from pulsetally.operators.dedup import dedup_events
 from pulsetally.operators.projections import of_type, with_calendar
-from pulsetally.plans import landing, reports
-from pulsetally.schema import METRIC_KEY, METRIC_SCHEMA, USER_COUNTERS
+from pulsetally.plans import landing, reports, tables
+from pulsetally.schema import METRIC_KEY, METRIC_SCHEMA, USER_COUNTERS, USER_METRIC_SCHEMA, USER_METRIC_TABLE
 from pulsetally.session import pin_utc, shared_dir
 from pulsetally.sinks import lake as lake_sink
 from pulsetally.sinks import metrics as metric_sinks
 from pulsetally.sources import lake as lake_source
+from pulsetally.sources.folders import read_dates, read_parts
 from pulsetally.sources.event_tables import as_events, read_table, stream_table
-from pulsetally.sources.metric_tables import newest_per_key, pick_table
+from pulsetally.sources.metric_tables import newest_per_key, pick_table, read_parquet
 from pulsetally.streaming import metrics as metric_streams
 from pulsetally.streaming.start import start_file_query
 
@@ -206,6 +207,26 @@ def batch_atomic(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("batch_id", "turn", "user_id", F.col("given_metadata")["text"].alias("text"))
 
 
+@_query
+def batch_outcome_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of batches below and beyond the size limit; some rows have no batch."""
+    quantity = F.concat(F.lit("quantity-"), F.col("l_quantity").cast("int").cast("string"))
+    supplier = F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string"))
+    rows = _table(spark, folder, "lineitem").select(
+        F.explode(F.array(quantity, supplier, F.lit(None).cast("string"))).alias("batch_id"),
+        (F.col("l_linenumber") < 7).alias("ok"),
+    )
+    outcome = batches.batch_outcome(rows, F.col("ok"))
+    return outcome.withColumn("errors", F.array_join("errors", ","))
+
+
+@_query
+def dedup_batch_differing(spark: SparkSession, folder: str) -> DataFrame:
+    """Of copies that differ in their time the earliest stays; one id has very many."""
+    events = _events(spark, folder).withColumn("event_id", F.concat(F.lit("id-"), F.col("user_id")))
+    return _plain(dedup_events(events.drop("batch_id")), "event_id", "timestamp")
+
+
 @_query
 def batch_size_limit(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes against the limit; every line is in a supplier's and a quantity's batch."""
@@ -473,6 +494,31 @@ def newest_batch_per_key(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(newest_per_key(spark.read.parquet(path), METRIC_KEY), *METRIC_FIELDS)
 
 
+@_query
+def replay_after_new_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
+    """A second run starts at batch 0 again: it adds its rows and leaves those of the first."""
+    path = shared_dir(spark, "runs")
+    table = metrics.event_metrics(_events(spark, folder), metrics.ONE_DAY)
+    for run, platforms in (("1", ["web", "ios"]), ("2", ["android", "mobile_web"])):
+        write = metric_sinks.parquet_batches(path, METRIC_SCHEMA, run)
+        for _ in range(2):
+            write(table.where(F.col("platform").isin(platforms)), 0)
+    return _plain(newest_per_key(spark.read.parquet(path), METRIC_KEY), *METRIC_FIELDS)
+
+
+@_query
+def compaction_in_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches merged one by one; the second has other keys of the same dates."""
+    batches, path = shared_dir(spark, "batches"), shared_dir(spark, "compacted")
+    table = metrics.event_metrics(_events(spark, folder), metrics.ONE_DAY)
+    write = metric_sinks.parquet_batches(batches, METRIC_SCHEMA)
+    for batch, platforms in enumerate((["web", "ios"], ["android", "mobile_web"])):
+        write(table.where(F.col("platform").isin(platforms)), batch)
+        step = spark.read.parquet(batches).where(F.col("batch_id") == batch)
+        metric_sinks.compact_batches(step, path, METRIC_SCHEMA, METRIC_KEY)
+    return _plain(read_dates(spark, path, METRIC_SCHEMA), *METRIC_FIELDS)
+
+
 def _stream(spark: SparkSession, folder: str, map_types: bool = True) -> DataFrame:
     pin_utc(spark)
     return as_events(stream_table(spark, folder), map_types)
@@ -492,12 +538,12 @@ def _event_stream(spark: SparkSession, folder: str, uniques: metrics.Uniques) ->
     settings, path = _settings(spark), shared_dir(spark, "stream-metrics")
     frame = metric_streams.event_metric_stream(_stream(spark, folder), settings, uniques)
     metric_sinks.stream_event_metrics(frame, path, settings).awaitTermination()
-    return _plain(spark.read.parquet(path), *METRIC_FIELDS)
+    return _plain(read_dates(spark, path, METRIC_SCHEMA), *METRIC_FIELDS)
 
 
 @_query
 def stream_event_metrics_5min(spark: SparkSession, folder: str) -> DataFrame:
-    return _event_stream(spark, folder, "approx").drop("unique_users")
+    return _event_stream(spark, folder, "approx")
 
 
 @_query
@@ -510,7 +556,7 @@ def stream_user_metrics_1hr(spark: SparkSession, folder: str) -> DataFrame:
     settings, path = _settings(spark), shared_dir(spark, "stream-users")
     frame = metric_streams.user_metric_stream(_stream(spark, folder), settings)
     metric_sinks.stream_user_metrics(frame, path, settings).awaitTermination()
-    return _plain(spark.read.parquet(path), *USER_FIELDS)
+    return _plain(read_dates(spark, path, USER_METRIC_SCHEMA), *USER_FIELDS)
 
 
 @_query
@@ -527,7 +573,7 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     twice = _stream(spark, folder).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     once = metric_streams.prepared(twice, settings).select(*EVENT_FIELDS)
     start_file_query(once, path, settings, "dedup").awaitTermination()
-    return _plain(spark.read.parquet(path), *EVENT_FIELDS)
+    return _plain(read_parts(spark, path, once.schema), *EVENT_FIELDS)
 
 
 @_query
@@ -548,3 +594,60 @@ def stream_landing(spark: SparkSession, folder: str) -> DataFrame:
     rejected = landing.read_rejected(spark, path).select(raw_type, _reasons())
     both = accepted.unionByName(rejected)
     return both.groupBy("event_type", "reasons").agg(F.count(F.lit(1)).alias("records"))
+
+
+def _halves(frame: DataFrame) -> list[DataFrame]:
+    """The rows in two parts, which together are all of them."""
+    first = F.col("platform").isin("web", "ios")
+    return [frame.where(first), frame.where(~first)]
+
+
+@_query
+def lake_stream_and_backfill(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the events by a stream, half by a backfill, into one lake."""
+    settings, path = _settings(spark), shared_dir(spark, "shared-lake")
+    streamed, _ = _halves(_stream(spark, folder))
+    _, filled = _halves(_events(spark, folder))
+    lake_sink.stream_lake(streamed, path, settings).awaitTermination()
+    lake_sink.append_lake(filled, path)
+    return _plain(lake_source.read_lake(spark, path), *EVENT_FIELDS, "year", "month", "day", "hour")
+
+
+@_query
+def landing_stream_and_backfill(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for records, the backfill first; accepted and rejected ones with their offsets."""
+    settings, path = _settings(spark), shared_dir(spark, "shared-landing")
+    streamed, _ = _halves(_stream(spark, folder, False))
+    _, filled = _halves(_events(spark, folder, False))
+    landing.append_landing(_records(filled), path)
+    landing.stream_landing(_records(streamed), path, settings).awaitTermination()
+    accepted = landing.read_accepted(spark, path).select("event_id", F.lit("").alias("reasons"))
+    offset = F.col("record")["offset"].alias("event_id")
+    return accepted.unionByName(landing.read_rejected(spark, path).select(offset, _reasons()))
+
+
+@_query
+def landing_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record again, from accepted rows and from the payloads of rejected ones."""
+    path = shared_dir(spark, "landing")
+    landing.append_landing(_records(_events(spark, folder, False)), path)
+    payload = F.col("payload").cast("string")
+    fields = [F.get_json_object(payload, f"$.{c}").alias(c) for c in ("event_id", "event_type", "user_id", "platform")]
+    accepted = landing.read_accepted(spark, path).select("event_id", "event_type", "user_id", "platform")
+    return accepted.unionByName(landing.read_rejected(spark, path).select(*fields))
+
+
+@_query
+def tables_after_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream fills the user table, then a batch job builds some of its days anew."""
+    settings, path = _settings(spark), shared_dir(spark, "tables")
+    table = f"{path}/{USER_METRIC_TABLE}"
+    frame = metric_streams.user_metric_stream(_stream(spark, folder), settings)
+    metric_sinks.stream_user_metrics(frame, table, settings).awaitTermination()
+    events = _events(spark, folder)
+
+    def read(start: datetime | None, end: datetime | None) -> DataFrame:
+        return events.where((F.col("timestamp") >= start) & (F.col("timestamp") < end))
+
+    tables.build_metric_tables(spark, read, path, datetime(2024, 1, 10), datetime(2024, 1, 20))
+    return _plain(read_parquet(spark, table), *USER_FIELDS)

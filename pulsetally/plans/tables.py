@@ -29,8 +29,8 @@ def build_metric_tables(
 ) -> None:
     """Compute the four metric tables below ``path`` for windows starting in a range.
 
-    The range must be whole UTC days: dates which are already there are
-    replaced, so a run can be repeated. The last sliding windows of a day reach
+    The range must be whole UTC days: all its dates are built anew, also those that
+    have become empty, so a run can be repeated. The last sliding windows of a day reach
     into the next, so run it at least one window length after ``end``.
     """
     for bound in (start, end):
@@ -41,9 +41,9 @@ def build_metric_tables(
     rollup.write_intermediates(read_events(start, reaching), folder)
     for name, metrics in rollup.metric_tables(spark, folder).items():
         rows = _starting_within(metrics, start, end)
-        replace_table(rows, f"{path}/{METRIC_TABLES[name]}", METRIC_SCHEMA)
+        replace_table(rows, f"{path}/{METRIC_TABLES[name]}", METRIC_SCHEMA, start, end)
     users = user_metrics(read_events(start, end))
-    replace_table(users, f"{path}/{USER_METRIC_TABLE}", USER_METRIC_SCHEMA)
+    replace_table(users, f"{path}/{USER_METRIC_TABLE}", USER_METRIC_SCHEMA, start, end)
 
 
 def refresh_top_users(

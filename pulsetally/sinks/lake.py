@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pulsetally.config import StreamSettings
 from pulsetally.operators.projections import with_calendar
 from pulsetally.schema import LAKE_PARTITIONS
+from pulsetally.sources.folders import BATCH
 from pulsetally.sources.lake import LAKE_SCHEMA, PROCESSING_TIME
 from pulsetally.streaming.start import start_file_query
 
@@ -48,15 +49,16 @@ def write_partitioned(
 
 
 def append_lake(events: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
-    """Append a batch (a backfill), in the layout the stream writes."""
+    """Append a batch (a backfill), next to what streams write."""
+    folder = f"{path.rstrip('/')}/{BATCH}"
     write_partitioned(
-        lake_rows(events), path, LAKE_PARTITIONS, maxRecordsPerFile=max_records_per_file
+        lake_rows(events), folder, LAKE_PARTITIONS, maxRecordsPerFile=max_records_per_file
     )
 
 
 def append_rejects(rejects: DataFrame, path: str) -> None:
     """Append rejected records with their reasons."""
-    rejects.write.mode("append").parquet(path)
+    rejects.write.mode("append").parquet(f"{path.rstrip('/')}/{BATCH}")
 
 
 def stream_lake(

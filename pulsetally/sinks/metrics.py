@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from datetime import datetime
 from typing import Literal
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,17 @@ from pulsetally.config import StreamSettings
 from pulsetally.operators.projections import as_table
 from pulsetally.schema import METRIC_SCHEMA, USER_METRIC_SCHEMA
 from pulsetally.sinks.lake import write_partitioned
-from pulsetally.sources.metric_tables import BATCH_ID, JdbcSettings, newest_per_key
+from pulsetally.sources.folders import (
+    BATCH,
+    BUILD,
+    BUILT,
+    VERSION,
+    existing,
+    new_version,
+    newest_builds,
+    read_dates,
+)
+from pulsetally.sources.metric_tables import BATCH_ID, RUN, JdbcSettings, newest_per_key
 from pulsetally.streaming.start import start_file_query, start_query
 
 log = logging.getLogger(__name__)
@@ -30,27 +41,53 @@ def table_rows(metrics: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def append_table(metrics: DataFrame, path: str, schema: T.StructType) -> None:
-    """Append a batch of metrics to a Parquet table."""
-    write_partitioned(table_rows(metrics, schema), path, (WINDOW_DATE,))
+    """Append a batch of metrics to a Parquet table, next to what streams write."""
+    write_partitioned(table_rows(metrics, schema), f"{path.rstrip('/')}/{BATCH}", (WINDOW_DATE,))
 
 
-def replace_table(metrics: DataFrame, path: str, schema: T.StructType) -> None:
-    """Replace the dates the metrics hold and leave the others: a repeatable backfill."""
-    rows = table_rows(metrics, schema)
-    write_partitioned(
-        rows, path, (WINDOW_DATE,), "overwrite", partitionOverwriteMode="dynamic"
-    )
-
+def replace_table(
+    metrics: DataFrame,
+    path: str,
+    schema: T.StructType,
+    start: datetime | None = None,
+    end: datetime | None = None,
+) -> None:
+    """Build dates of a table anew: those from ``start`` up to ``end``, and those the metrics hold.
 
-def parquet_batches(path: str, schema: T.StructType) -> BatchWriter:
+    A date in the range without rows becomes empty. Without bounds, all dates that were
+    built before are built again. Other dates are left. The build counts from the moment
+    its list of dates is written, so one that failed half-way changes nothing.
+    """
+    spark, path, version = metrics.sparkSession, path.rstrip("/"), new_version()
+    folder = f"{path}/{BUILD}/{VERSION}={version}"
+    write_partitioned(table_rows(metrics, schema), folder, (WINDOW_DATE,))
+    dated = T.StructType([*schema.fields, T.StructField(WINDOW_DATE, T.DateType())])
+    written = existing(spark, folder, dated)
+    dates = written.select(WINDOW_DATE)
+    if start is not None and end is not None and start < end:
+        days = F.explode(F.expr(f"sequence(DATE'{start:%Y-%m-%d}', DATE'{end:%Y-%m-%d}' - 1)"))
+        dates = dates.union(spark.range(1).select(days))
+    else:
+        before = newest_builds(spark, path).select(WINDOW_DATE)
+        if start is not None:
+            before = before.where(F.col(WINDOW_DATE) >= F.lit(start.date()))
+        if end is not None:
+            before = before.where(F.col(WINDOW_DATE) < F.lit(end.date()))
+        dates = dates.union(before)
+    dates.distinct().coalesce(1).write.parquet(f"{path}/{BUILT}/{VERSION}={version}")
+
+
+def parquet_batches(path: str, schema: T.StructType, run: str = "0") -> BatchWriter:
     """Writer of micro-batches for which a replay changes nothing.
 
-    Each batch owns the folder ``batch_id=<n>``; a replay replaces it as a whole.
+    Each batch owns the folder ``run=<run>/batch_id=<n>``; a replay replaces it as a
+    whole. Batch numbers start anew with every checkpoint, so ``run`` names it: see
+    ``run_of``, whose names sort by start.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = as_table(batch, schema)
-        rows.write.mode("overwrite").parquet(f"{path}/{BATCH_ID}={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{path}/{RUN}={run}/{BATCH_ID}={batch_id}")
 
     return write
 
@@ -58,19 +95,31 @@ def parquet_batches(path: str, schema: T.StructType) -> BatchWriter:
 def compact_batches(
     batches: DataFrame, path: str, schema: T.StructType, key: tuple[str, ...]
 ) -> None:
-    """Merge the batch folders into a table by date, newest batch per key."""
-    replace_table(newest_per_key(batches, key), path, schema)
+    """Merge batch folders into a table by date, newest run and batch per key.
+
+    Rows the table has for the same dates stay unless a batch has their key, so
+    folders can be merged in several steps.
+    """
+    spark = batches.sparkSession
+    dates = batches.select(F.to_date("window_start").alias(WINDOW_DATE)).distinct()
+    stored = read_dates(spark, path, schema).join(dates, WINDOW_DATE, "left_semi")
+    version = F.struct(F.col(RUN).cast("string").alias("run"), F.col(BATCH_ID).cast("bigint").alias("batch"))
+    new = as_table(newest_per_key(batches.withColumn("__version", version), key, "__version"), schema)
+    kept = as_table(stored, schema).join(new.select(*key), list(key), "left_anti")
+    replace_table(new.unionByName(kept), path, schema)
 
 
-def jdbc_batches(jdbc: JdbcSettings, table: str, schema: T.StructType) -> BatchWriter:
+def jdbc_batches(jdbc: JdbcSettings, table: str, schema: T.StructType, run: str = "0") -> BatchWriter:
     """Writer which appends micro-batches to a database table.
 
-    Rows carry their ``batch_id``, so readers can keep the newest per key after
-    a replay. At most ``jdbc.partitions`` connections are open at a time.
+    Rows carry their ``run`` and ``batch_id``, so readers can keep the newest per key
+    after a replay or a new checkpoint. At most ``jdbc.partitions`` connections are open at a time.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = as_table(batch, schema).withColumn(BATCH_ID, F.lit(batch_id).cast("bigint"))
+        rows = as_table(batch, schema).withColumns(
+            {RUN: F.lit(run), BATCH_ID: F.lit(batch_id).cast("bigint")}
+        )
         rows.write.format("jdbc").options(**jdbc_write_options(jdbc, table)).mode("append").save()
 
     return write

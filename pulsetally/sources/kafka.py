@@ -39,7 +39,7 @@ def stream_options(kafka: KafkaSettings) -> dict[str, str]:
     options = connection_options(kafka) | {
         "subscribe": kafka.topic,
         "startingOffsets": kafka.starting_offsets,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(kafka.fail_on_data_loss).lower(),
     }
     if kafka.max_offsets_per_trigger:
         options["maxOffsetsPerTrigger"] = str(kafka.max_offsets_per_trigger)
@@ -62,7 +62,7 @@ def read_batch(
         "subscribe": kafka.topic,
         "startingOffsets": starting,
         "endingOffsets": ending,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": "true",
     }
     if kafka.min_partitions:
         options["minPartitions"] = str(kafka.min_partitions)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from pulsetally.functions.time import as_timestamp
 from pulsetally.schema import EVENT_SCHEMA, LAKE_PARTITIONS
+from pulsetally.sources.folders import read_parts
 
 PROCESSING_TIME = "processing_time"
 LAKE_SCHEMA = T.StructType(
@@ -42,8 +43,8 @@ def read_lake(
     start: datetime | None = None,
     end: datetime | None = None,
 ) -> DataFrame:
-    """Events with ``start <= timestamp < end``; only those hours are read."""
-    return bounded(spark.read.schema(LAKE_SCHEMA).parquet(path), start, end)
+    """Events with ``start <= timestamp < end`` of all writers; only those hours are read."""
+    return bounded(read_parts(spark, path, LAKE_SCHEMA), start, end)
 
 
 def bounded(events: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:

@@ -7,11 +7,13 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsetally.functions.time import hours_before
-from pulsetally.schema import METRIC_TABLES
+from pulsetally.schema import METRIC_TABLES, TABLE_SCHEMAS
+from pulsetally.sources.folders import DATE, read_dates
 
-BATCH_ID = "batch_id"
+RUN, BATCH_ID = "run", "batch_id"
 
 
 def table_name(time_window: str) -> str:
@@ -29,24 +31,31 @@ def read_parquet(
     path: str,
     hours_back: int | None = None,
     as_of: datetime | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
-    """A metric table; ``hours_back`` prunes its ``window_date`` partitions too."""
-    metrics = spark.read.parquet(path)
+    """A metric table of all its writers; ``hours_back`` prunes its dates too.
+
+    The schema follows from the table's name, the last part of ``path``, if not given.
+    """
+    schema = schema or TABLE_SCHEMAS[path.rstrip("/").rpartition("/")[2]]
+    metrics = read_dates(spark, path, schema)
     if hours_back is None:
         return metrics
     since = hours_before(hours_back, as_of)
-    if "window_date" in metrics.columns:
-        metrics = metrics.where(F.col("window_date") >= since.cast("date"))
-    return metrics.where(F.col("window_start") >= since)
+    return metrics.where((F.col(DATE) >= since.cast("date")) & (F.col("window_start") >= since))
 
 
 def newest_per_key(metrics: DataFrame, key: tuple[str, ...], version: str = BATCH_ID) -> DataFrame:
     """Per natural key the row of the newest batch, for tables with replays or updates.
 
+    With a ``run`` column the later run counts first: batch numbers start anew in each.
     An aggregate, so versions of one key already combine on the map side.
     """
     values = [c for c in metrics.columns if c not in key]
-    newest = F.max_by(F.struct(*values), F.col(version)).alias("newest")
+    order = F.col(version)
+    if version == BATCH_ID and RUN in metrics.columns:
+        order = F.struct(F.col(RUN).cast("string"), order)
+    newest = F.max_by(F.struct(*values), order).alias("newest")
     return metrics.groupBy(*key).agg(newest).select(*key, "newest.*").select(*metrics.columns)
 
 

@@ -17,10 +17,11 @@ from pulsetally.plans.landing import stream_landing
 from pulsetally.schema import TABLE_SCHEMAS
 from pulsetally.sinks import lake
 from pulsetally.sinks import metrics as metric_sinks
+from pulsetally.sources.folders import run_of
 from pulsetally.streaming import metrics
 
-# (table name, its schema) -> writer of its micro-batches.
-WriterFor = Callable[[str, StructType], metric_sinks.BatchWriter]
+# (table name, its schema, run of the checkpoint) -> writer of its micro-batches.
+WriterFor = Callable[[str, StructType, str], metric_sinks.BatchWriter]
 
 
 def start_jobs(
@@ -50,7 +51,8 @@ def start_jobs(
         table = name.replace("-", "_")
         schema = TABLE_SCHEMAS[table]
         if writer_for is not None:
-            writer = writer_for(table, schema)
+            run = run_of(frame.sparkSession, settings.checkpoint(name))
+            writer = writer_for(table, schema, run)
             query = metric_sinks.stream_batches(frame, writer, settings, name, on_error=on_error)
         elif metrics_path:
             path = f"{metrics_path}/{table}"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from pulsetally.config import StreamSettings
+from pulsetally.sources.folders import stream_folder
 
 WIDTH = "spark.sql.shuffle.partitions"
 
@@ -38,8 +39,9 @@ def start_file_query(
     name: str,
     partitions: tuple[str, ...] = (),
 ) -> StreamingQuery:
-    """Append to a Parquet folder; the sink's commit log makes it exactly-once."""
-    writer = rows.writeStream.format("parquet").outputMode("append").option("path", path)
+    """Append to a table's folder for this checkpoint; its commit log makes it exactly-once."""
+    folder = stream_folder(rows.sparkSession, path, settings.checkpoint(name))
+    writer = rows.writeStream.format("parquet").outputMode("append").option("path", folder)
     if partitions:
         writer = writer.partitionBy(*partitions)
     return start_query(rows, writer, settings, name)

@@ -53,7 +53,7 @@ if __name__ == "__main__":
     db, sqls = connect(folder), entry.oracle_sql()
     bad = 0
     for name, query in entry.queries().items():
-        if len(sys.argv) > 2 and name not in sys.argv[2:]:
+        if name not in sqls or len(sys.argv) > 2 and name not in sys.argv[2:]:
             continue
         started = time.time()
         try:
@@ -62,5 +62,5 @@ if __name__ == "__main__":
             problem, count = f"{type(e).__name__}: {str(e)[:600]}", 0
         bad += problem is not None
         print(f"{'BAD' if problem else 'ok '} {name} {count} rows {time.time() - started:.1f}s {problem or ''}", flush=True)
-    print("set difference:", set(entry.queries()) ^ set(sqls))
+    print("without SQL:", sorted(set(entry.queries()) - set(sqls)))
     sys.exit(bool(bad))

@@ -1,6 +1,7 @@
 import json
 
 from helpers import rows
+from pulsetally.sources.metric_tables import read_parquet
 from pulsetally.__main__ import main
 
 
@@ -15,10 +16,10 @@ def test_backfill_and_tables(spark, tmp_path):
     landing, tables = str(tmp_path / "landing"), str(tmp_path / "tables")
     main(["backfill", "--files", str(tmp_path / "in.jsonl"), "--landing", landing])
     main(["tables", "--landing", landing, "--tables", tables, "--start", "2024-01-15", "--end", "2024-01-16"])
-    day = spark.read.parquet(f"{tables}/event_metrics_1day")
+    day = read_parquet(spark, f"{tables}/event_metrics_1day")
     assert rows(day, "event_type", "event_count", "unique_users") == [("like", 2, 2)]
-    sliding = spark.read.parquet(f"{tables}/event_metrics_5min")
+    sliding = read_parquet(spark, f"{tables}/event_metrics_5min")
     # Windows from 09:57 to 10:02, and those of the 15th which reach midnight.
     assert sliding.count() == 6 + 4
-    users = spark.read.parquet(f"{tables}/user_metrics_1hr")
+    users = read_parquet(spark, f"{tables}/user_metrics_1hr")
     assert rows(users, "user_id", "likes") == [("a", 1), ("b", 1)]

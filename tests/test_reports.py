@@ -14,7 +14,7 @@ NOW = datetime(2024, 1, 15, 12)
 
 @pytest.fixture(scope="module")
 def seed_events(spark):
-    data = [("like", "web", 150, 80), ("like", "ios", 200, 120), ("comment", "web", 50, 40), ("view", "android", 500, 300)]
+    data = [("share", "web", 120, 70), ("share", "ios", 180, 95), ("click", "web", 40, 33), ("comment", "android", 460, 210)]
     return _metrics(spark, [("2024-01-15 11:55:00", *r) for r in data])
 
 
@@ -33,9 +33,9 @@ def _metrics(spark, data):
 @pytest.fixture(scope="module")
 def seed_users(spark):
     data = [
-        ("user_1", "web", 45, 20, 5, 3, 15, 2),
-        ("user_2", "ios", 60, 30, 8, 4, 15, 3),
-        ("user_3", "android", 35, 15, 3, 2, 12, 3),
+        ("marta", "web", 41, 11, 9, 6, 10, 5),
+        ("ines", "ios", 73, 33, 10, 7, 19, 4),
+        ("otto", "android", 29, 9, 4, 5, 8, 3),
     ]
     frame = spark.createDataFrame(
         data, "user_id string, platform string, total_events long, likes long, comments long, shares long, views long, clicks long"
@@ -48,7 +48,7 @@ def seed_users(spark):
 
 def test_distribution(seed_events):
     got = reports.event_distribution_report(seed_events, 24, NOW).collect()
-    assert [tuple(r) for r in got] == [("view", 500, 55.56), ("like", 350, 38.89), ("comment", 50, 5.56)]
+    assert [tuple(r) for r in got] == [("comment", 460, 57.5), ("share", 300, 37.5), ("click", 40, 5.0)]
 
 
 def test_distribution_of_nothing_and_zero(spark, seed_events):
@@ -68,12 +68,12 @@ def test_share_rounds_half_to_even(spark):
 
 def test_platforms(seed_events):
     got = [tuple(r) for r in reports.platform_metrics_report(seed_events, 24, NOW).collect()]
-    assert got == [("android", 500, 300), ("ios", 200, 120), ("web", 200, 120)]
+    assert got == [("android", 460, 210), ("ios", 180, 95), ("web", 160, 103)]
 
 
 def test_top_users(seed_users):
     got = [tuple(r) for r in reports.top_users_report(seed_users, 24, 2, NOW).collect()]
-    assert got == [("user_2", "ios", 60, 1), ("user_1", "web", 45, 2)]
+    assert got == [("ines", "ios", 73, 1), ("marta", "web", 41, 2)]
 
 
 def test_top_users_ties_and_collation(spark, seed_users):
@@ -81,7 +81,7 @@ def test_top_users_ties_and_collation(spark, seed_users):
     exact = reports.top_users_report(more, 24, 10, NOW).collect()
     assert [r["rank"] for r in exact] == [1, 2, 3, 4, 5, 6]
     merged = reports.top_users_report(more, 24, 10, NOW, collation="UNICODE_CI_AI").collect()
-    assert [r.total_events for r in merged] == [120, 90, 70]
+    assert [r.total_events for r in merged] == [146, 82, 58]
 
 
 def test_event_report_filters_order_and_limit(spark):
@@ -107,11 +107,11 @@ def test_event_report_filters_order_and_limit(spark):
 
 def test_user_report(seed_users):
     got = reports.user_metrics_report(seed_users, 1, as_of=NOW).collect()
-    assert [r.user_id for r in got] == ["user_2", "user_1", "user_3"]
-    got = reports.user_metrics_report(seed_users, 1, user_id="user_1", as_of=NOW).collect()
-    assert [(r.likes, r.clicks) for r in got] == [(20, 2)]
-    assert reports.user_metrics_report(seed_users, 1, user_id="USER_1", as_of=NOW).count() == 0
-    loose = reports.user_metrics_report(seed_users, 1, user_id="USER_1", as_of=NOW, collation="UNICODE_CI_AI")
+    assert [r.user_id for r in got] == ["ines", "marta", "otto"]
+    got = reports.user_metrics_report(seed_users, 1, user_id="marta", as_of=NOW).collect()
+    assert [(r.likes, r.clicks) for r in got] == [(11, 5)]
+    assert reports.user_metrics_report(seed_users, 1, user_id="MARTA", as_of=NOW).count() == 0
+    loose = reports.user_metrics_report(seed_users, 1, user_id="MARTA", as_of=NOW, collation="UNICODE_CI_AI")
     assert loose.count() == 1
     assert reports.user_metrics_report(seed_users, 1, platform="ios", as_of=NOW).count() == 1
 

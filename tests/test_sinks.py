@@ -13,6 +13,7 @@ from pulsetally.sinks import kafka as kafka_sink
 from pulsetally.sinks import metrics as sink
 from pulsetally.sources import kafka as kafka_source
 from pulsetally.sources import metric_tables
+from pulsetally.sources.folders import read_dates
 
 VALUES = [c for c in METRIC_SCHEMA.names if c != "computed_at"]
 
@@ -39,7 +40,7 @@ def test_newest_batch_wins_and_compaction(spark, tmp_path):
     assert rows(newest, *columns) == want
     for _ in range(2):
         sink.compact_batches(batches, str(tmp_path / "c"), METRIC_SCHEMA, METRIC_KEY)
-    assert rows(spark.read.parquet(str(tmp_path / "c")), *columns) == want
+    assert rows(read_dates(spark, str(tmp_path / "c"), METRIC_SCHEMA), *columns) == want
     assert metric_tables.first_row(newest.where("event_type = 'view'")).event_count == 1
     assert metric_tables.first_row(newest.where("event_type = 'x'")) is None
 
@@ -51,7 +52,7 @@ def test_replace_leaves_other_dates(spark, tmp_path):
     sink.append_table(day1, path, METRIC_SCHEMA)
     sink.replace_table(day2, path, METRIC_SCHEMA)
     sink.replace_table(day2, path, METRIC_SCHEMA)
-    assert rows(spark.read.parquet(path), "window_start") == [(datetime(2024, 1, 15, 10),), (datetime(2024, 1, 16, 10),)]
+    assert rows(read_dates(spark, path, METRIC_SCHEMA), "window_start") == [(datetime(2024, 1, 15, 10),), (datetime(2024, 1, 16, 10),)]
 
 
 def test_error_policy(spark, caplog):

@@ -11,10 +11,12 @@ from pulsetally.config import StreamSettings
 from pulsetally.operators import metrics as m
 from pulsetally.operators.decode import decode_events
 from pulsetally.plans import landing
-from pulsetally.schema import METRIC_KEY, METRIC_SCHEMA
+from pulsetally.schema import METRIC_KEY, METRIC_SCHEMA, USER_METRIC_SCHEMA
 from pulsetally.sinks import lake, metrics as sinks
 from pulsetally.sources import metric_tables
 from pulsetally.sources.event_tables import as_events, stream_table
+from pulsetally.sources.folders import read_dates, read_parts
+from pulsetally.sources.lake import LAKE_SCHEMA
 from pulsetally.streaming import jobs, metrics
 from conftest import DATA
 
@@ -67,7 +69,7 @@ class Feed:
 def test_event_stream_equals_batch(spark, events, stream, settings, tmp_path, uniques):
     frame = metrics.event_metric_stream(stream, settings, uniques)
     sinks.stream_event_metrics(frame, str(tmp_path / "out"), settings).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).select(VALUES)
+    got = read_dates(spark, str(tmp_path / "out"), METRIC_SCHEMA).select(VALUES)
     batch = m.event_metrics(events, m.FIVE_MINUTES, m.ONE_MINUTE, "as_coded" if uniques == "as_coded" else "exact")
     want = closed(batch, events).select(VALUES)
     assert want.count() > 4000
@@ -78,7 +80,7 @@ def test_user_stream_equals_batch(spark, events, stream, settings, tmp_path):
     frame = metrics.user_metric_stream(stream, settings)
     sinks.stream_user_metrics(frame, str(tmp_path / "out"), settings).awaitTermination()
     batch = closed(m.user_metrics(events), events)
-    assert same(spark.read.parquet(str(tmp_path / "out")).select(batch.columns), batch)
+    assert same(read_dates(spark, str(tmp_path / "out"), USER_METRIC_SCHEMA).select(batch.columns), batch)
 
 
 def test_lake_stream_is_exactly_once(spark, events, stream, settings, tmp_path):
@@ -113,7 +115,7 @@ def test_late_rows_are_dropped(spark, settings, tmp_path):
     feed.add(("6", "like", "f", "2024-01-15T12:00:00"))
     frame = m.event_metrics(metrics.prepared(feed.events(), settings), m.FIVE_MINUTES)
     sinks.stream_table(frame, str(tmp_path / "out"), METRIC_SCHEMA, settings, "late").awaitTermination()
-    got = rows(spark.read.parquet(str(tmp_path / "out")), "window_start", "event_count", "unique_users")
+    got = rows(read_dates(spark, str(tmp_path / "out"), METRIC_SCHEMA), "window_start", "event_count", "unique_users")
     # 10:02 came behind the watermark of 10:50; 10:58 was out of order but in time.
     assert got == [
         (datetime(2024, 1, 15, 10), 1, 1),
@@ -133,7 +135,7 @@ def test_repeated_ids_are_dropped_within_the_watermark(spark, settings, tmp_path
     dedup = StreamSettings(settings.checkpoint_dir, available_now=True, dedup=True)
     frame = metrics.user_metric_stream(feed.events(), dedup)
     sinks.stream_user_metrics(frame, str(tmp_path / "out"), dedup).awaitTermination()
-    got = rows(spark.read.parquet(str(tmp_path / "out")), "window_start", "user_id", "likes")
+    got = rows(read_dates(spark, str(tmp_path / "out"), USER_METRIC_SCHEMA), "window_start", "user_id", "likes")
     assert got[:3] == [(datetime(2024, 1, 15, 10), u, n) for u, n in (("a", 1), ("b", 1), ("n", 3))]
 
 
@@ -202,9 +204,9 @@ def test_jobs_start_and_end_together(spark, events, stream, settings, tmp_path):
     queries = jobs.start_jobs(stream, settings, str(tmp_path / "lake"), str(tmp_path / "tables"))
     assert [q.name for q in queries] == ["raw-events", "event-metrics-5min", "user-metrics-1hr"]
     jobs.run_until_stopped(queries)
-    assert spark.read.parquet(str(tmp_path / "lake")).count() == events.count()
+    assert read_parts(spark, str(tmp_path / "lake"), LAKE_SCHEMA).count() == events.count()
     users = closed(m.user_metrics(events), events)
-    assert spark.read.parquet(str(tmp_path / "tables/user_metrics_1hr")).count() == users.count()
+    assert read_dates(spark, str(tmp_path / "tables/user_metrics_1hr"), USER_METRIC_SCHEMA).count() == users.count()
 
 
 def test_pipeline_from_records(spark, settings, tmp_path):
@@ -219,7 +221,7 @@ def test_pipeline_from_records(spark, settings, tmp_path):
     jobs.run_until_stopped(queries)
     assert rows(landing.read_accepted(spark, str(tmp_path / "landing")), "event_id") == [("1",), ("3",), ("4",)]
     assert landing.read_rejected(spark, str(tmp_path / "landing")).count() == 1
-    users = spark.read.parquet(str(tmp_path / "tables/user_metrics_1hr"))
+    users = read_dates(spark, str(tmp_path / "tables/user_metrics_1hr"), USER_METRIC_SCHEMA)
     assert rows(users, "window_start", "user_id", "likes") == [
         (datetime(2024, 1, 15, 10), "a", 1), (datetime(2024, 1, 15, 12), "a", 1),
     ]
@@ -237,7 +239,7 @@ def test_switches_choose_the_queries(spark, stream, tmp_path):
 def test_failure_of_one_query_stops_the_others(spark, stream, tmp_path):
     live = StreamSettings(str(tmp_path / "c"), trigger=timedelta(milliseconds=200))
 
-    def writer_for(table, schema):
+    def writer_for(table, schema, run):
         def write(batch, batch_id):
             if table == "user_metrics_1hr":
                 raise RuntimeError("table is gone")
