@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 # the clients' strip() removes too.
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
+# Characters printed as escapes, and how much longer the escape is.
+_UNSEEN = r"\p{Cf}\p{Zs}\p{Zl}\p{Zp}\p{Co}\p{Cn}"
+HIDDEN = (
+    (r"[\x7f-\xa0\xad]", 3),
+    (rf"[{_UNSEEN}&&[\x{{100}}-\x{{ffff}}]]", 5),
+    (rf"[{_UNSEEN}&&[\x{{10000}}-\x{{10ffff}}]]", 9),
+)
+# JSON escapes of characters beyond U+FFFF, and of those that have no sign.
+PAIR = r"(?i)\\ud[89ab][0-9a-f]{2}\\ud[c-f][0-9a-f]{2}"
+UNSEEN_PAIR = r"(?i)\\ud(?:8[c-f]|9[0-9a-f]|a[0-9a-f]|b[0-9a-f])[0-9a-f]\\ud[c-f][0-9a-f]{2}"
 
 
 def strip(text: Column) -> Column:
@@ -32,12 +42,11 @@ def outside(value: Column, domain: tuple[str, ...]) -> Column:
 
 
 def too_large_printed(json_text: Column, limit: int) -> Column:
-    """True where compact JSON, printed with spaces after its separators, is too long.
+    """True where compact JSON, in a dictionary's printed form, is too long.
 
-    The size rule counts a dictionary's printed form. That form has a space
-    after each ``,`` and ``:`` and prints an escaped double quote as one
-    character. It is never more than twice as long as the compact text, so
-    short texts pass unmeasured.
+    That form has a space after each ``,`` and ``:``, prints an escaped double quote as
+    one character, a control character as four, and characters that can't be shown
+    (``HIDDEN``) as their escapes.
     """
     # Literal replacements first, so that the one pattern left is a plain
     # character class: alternatives in a loop overflow the stack on long texts.
@@ -46,8 +55,14 @@ def too_large_printed(json_text: Column, limit: int) -> Column:
     escaped_quotes = (F.length(unescaped) - F.length(unquoted)) / 2
     bare = F.regexp_replace(unquoted, '"[^"]*"', "")
     separators = F.length(bare) - F.length(F.translate(bare, ",:", ""))
-    printed = F.length(json_text) + separators - escaped_quotes.cast("int")
-    return F.coalesce((F.length(json_text) > limit // 2) & (printed > limit), F.lit(False))
+    # \\u0001 is printed as \\x01, and a pair of surrogates as its character or as ten.
+    pairs = F.regexp_count(unescaped, F.lit(PAIR))
+    unseen_pairs = F.regexp_count(unescaped, F.lit(UNSEEN_PAIR))
+    units = F.length(unescaped) - F.length(F.replace(unescaped, F.lit("\\u"), F.lit("u")))
+    shorter = 2 * (units - 2 * pairs) + 11 * (pairs - unseen_pairs) + 2 * unseen_pairs
+    escapes = sum((F.regexp_count(json_text, F.lit(c)) * more for c, more in HIDDEN), F.lit(0))
+    printed = F.length(json_text) + separators - escaped_quotes.cast("int") - shorter + escapes
+    return F.coalesce(printed > limit, F.lit(False))
 
 
 def string_map(json_text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsetally import schema
 from pulsetally.functions import text, time
-from pulsetally.operators.decode import MALFORMED, METADATA_JSON, RECORD_TIME
+from pulsetally.operators.decode import MALFORMED, METADATA_JSON, RECORD_TIME, WRONG_TYPES
 
 REASONS = "reasons"
 GIVEN_TIME = "given_time"
@@ -22,20 +22,31 @@ def rules() -> dict[str, Column]:
     """Reason name -> condition under which a parsed record breaks that rule."""
     event_type, user_id, platform = (F.col(c) for c in ("event_type", "user_id", "platform"))
     length_ok = F.length(user_id).between(1, schema.USER_ID_MAX)
+
+    def wrong(field: str) -> Column:
+        return F.array_contains(WRONG_TYPES, field)
+
     return {
         "event_type_missing": event_type.isNull(),
         "event_type_unknown": text.outside(event_type, schema.EVENT_TYPES),
         "user_id_missing": user_id.isNull(),
+        "user_id_not_text": wrong("user_id"),
         "user_id_length": ~length_ok,
         "user_id_blank": length_ok & text.blank(user_id),
         "platform_missing": platform.isNull(),
         "platform_unknown": text.outside(platform, schema.PLATFORMS),
+        "event_id_not_text": wrong("event_id"),
+        "content_id_not_text": wrong("content_id"),
+        "session_id_not_text": wrong("session_id"),
+        "device_type_not_text": wrong("device_type"),
+        "location_not_text": wrong("location"),
         "content_id_too_long": text.too_long(F.col("content_id"), schema.CONTENT_ID_MAX),
         "session_id_too_long": text.too_long(F.col("session_id"), schema.SESSION_ID_MAX),
         "device_type_too_long": text.too_long(F.col("device_type"), schema.DEVICE_TYPE_MAX),
         "location_too_long": text.too_long(F.col("location"), schema.LOCATION_MAX),
         "timestamp_malformed": F.col("timestamp").isNotNull() & F.col(GIVEN_TIME).isNull(),
-        "metadata_not_object": F.col(METADATA_JSON).isNotNull() & F.col(GIVEN_METADATA).isNull(),
+        "metadata_not_object": wrong("metadata")
+        | (F.col(METADATA_JSON).isNotNull() & F.col(GIVEN_METADATA).isNull()),
         "metadata_too_large": text.too_large_printed(F.col(METADATA_JSON), schema.METADATA_MAX),
     }
 
@@ -97,7 +108,7 @@ def valid_events(
 
 def rejected_records(checked: DataFrame) -> DataFrame:
     """The invalid records as they came, with their reasons."""
-    return checked.where(~is_valid()).drop(GIVEN_TIME, GIVEN_METADATA)
+    return checked.where(~is_valid()).drop(GIVEN_TIME, GIVEN_METADATA, WRONG_TYPES)
 
 
 def record_defaults(parsed: DataFrame) -> dict:

@@ -70,6 +70,13 @@ def test_rules(spark):
         ({"timestamp": "2024-01-15"}, []),
         ({"metadata": [1]}, ["metadata_not_object"]),
         ({"metadata": "text"}, ["metadata_not_object"]),
+        ({"metadata": "{}"}, ["metadata_not_object"]),
+        ({"user_id": 5}, ["user_id_not_text"]),
+        ({"user_id": {"a": 1}}, ["user_id_not_text"]),
+        ({"user_id": ["a"]}, ["user_id_not_text"]),
+        ({"content_id": {"a": 1}, "location": True}, ["content_id_not_text", "location_not_text"]),
+        ({"event_id": 7}, ["event_id_not_text"]),
+        ({"session_id": 1.5, "device_type": None}, ["session_id_not_text"]),
         ({"metadata": {}}, []),
         ({"metadata": None}, []),
         ({"metadata": {"data": "x" * 1001}}, ["metadata_too_large"]),
@@ -84,14 +91,27 @@ def test_metadata_size_is_the_printed_form(spark):
         {"a": "x" * n, "b": [1, {"c": 2}], "d": 'say "x"', "e": "a,b:c", "f": True, "g": None}
         for n in range(890, 960)
     ]
+    samples += [{"a": "\xad" * 300}, {"a": "\u200b" * 160}, {"a": "\u200b" * 170}, {"a": "\U000e0001" * 98}, {"a": "\U000e0001" * 101}]
+    samples += [{"a": "é🎉" * 480}, {"a": "\x01" * 247}, {"a": "\x01" * 250}, {"a": "\\u00" * 190}, {"a": "\n\x7f" * 165}, {"a": "\n\x7f" * 167}]
     got = reasons(spark, *[{"metadata": m} for m in samples])
     want = [["metadata_too_large"] if len(str(m)) > 1000 else [] for m in samples]
     assert got == want and [] in got and ["metadata_too_large"] in got
 
 
+MALFORMED = [
+    json.dumps(GOOD) + " x",
+    json.dumps(GOOD) * 2,
+    json.dumps(GOOD).replace('"', "'"),
+    json.dumps([GOOD]),
+]
+
+
 def test_malformed_payload(spark):
-    checked = check_events(parse_payload(payloads(spark, ["{oops", None, ""])))
-    assert [r.reasons for r in checked.collect()] == [["payload_malformed"]] * 3
+    checked = check_events(parse_payload(payloads(spark, ["{oops", None, "", *MALFORMED])))
+    assert [r.reasons for r in checked.collect()] == [["payload_malformed"]] * (3 + len(MALFORMED))
+    text = json.dumps(GOOD)
+    checked = check_events(parse_payload(payloads(spark, [f" {text}\n"])))
+    assert [r.reasons for r in checked.collect()] == [[]]
 
 
 def test_normalised_events(spark):
