@@ -162,7 +162,27 @@ TURNS = f"""
 DECODED = _with(f"SELECT {FIELDS}, metadata_k FROM e")
 
 
+def _with_totals(report: str, value: str, hours: int) -> str:
+    return f"""
+    SELECT *, count(*) OVER () AS total_records, CAST(sum({value}) OVER () AS BIGINT) AS grand_total,
+           'Last {hours} hours' AS time_range
+    FROM ({report}) AS report"""
+
+
 def all_sql() -> dict[str, str]:
+    """Query name -> SQL; reports over stored tables are the direct ones with their totals."""
+    direct = _direct_sql()
+    stored = {
+        "report_event_metrics": ("event_count", DAY),
+        "report_user_metrics": ("total_events", DAY),
+        "report_top_users": ("total_events", WEEK),
+        "report_event_distribution": ("total_count", WEEK),
+        "report_platform_metrics": ("total_events", WEEK),
+    }
+    return direct | {f"{n}_stored": _with_totals(direct[n], *options) for n, options in stored.items()}
+
+
+def _direct_sql() -> dict[str, str]:
     sliding = _with(SLIDING)
     hourly, daily = _with(HOURLY), _with(DAILY)
     fields = _with(f"SELECT {FIELDS} FROM e")

@@ -18,7 +18,14 @@ from pulsetally.operators.decode import encode_events, parse_payload
 from pulsetally.operators.dedup import dedup_events
 from pulsetally.operators.projections import of_type, with_calendar
 from pulsetally.plans import landing, reports, tables
-from pulsetally.schema import METRIC_KEY, METRIC_SCHEMA, USER_COUNTERS, USER_METRIC_SCHEMA, USER_METRIC_TABLE
+from pulsetally.schema import (
+    METRIC_KEY,
+    METRIC_SCHEMA,
+    METRIC_TABLES,
+    USER_COUNTERS,
+    USER_METRIC_SCHEMA,
+    USER_METRIC_TABLE,
+)
 from pulsetally.session import pin_utc, shared_dir
 from pulsetally.sinks import lake as lake_sink
 from pulsetally.sinks import metrics as metric_sinks
@@ -469,6 +476,52 @@ def report_platform_metrics_sketch(spark: SparkSession, folder: str) -> DataFram
     )
 
 
+# --- reports over stored tables --------------------------------------------------
+
+
+def _stored(spark: SparkSession, folder: str) -> Callable[[str, int], DataFrame]:
+    """The metric tables of the last days, written; gives a reader of (table, hours back)."""
+    path, events = shared_dir(spark, "tables"), _events(spark, folder)
+
+    def read(start: datetime | None, end: datetime | None) -> DataFrame:
+        return events.where((F.col("timestamp") >= start) & (F.col("timestamp") < end))
+
+    tables.build_metric_tables(spark, read, path, datetime(2024, 1, 24), datetime(2024, 1, 31))
+    return lambda table, hours: read_parquet(spark, f"{path}/{table}", hours, AS_OF)
+
+
+@_query
+def report_event_metrics_stored(spark: SparkSession, folder: str) -> DataFrame:
+    table = _stored(spark, folder)(METRIC_TABLES["5min"], DAY)
+    report = reports.event_metrics_report({"5min": table}, "5min", DAY, as_of=AS_OF)
+    return _plain(reports.with_totals(report.select(*METRIC_FIELDS), DAY, "event_count"))
+
+
+@_query
+def report_user_metrics_stored(spark: SparkSession, folder: str) -> DataFrame:
+    table = _stored(spark, folder)(USER_METRIC_TABLE, DAY)
+    report = reports.user_metrics_report(table, DAY, as_of=AS_OF)
+    return _plain(reports.with_totals(report.select(*USER_FIELDS), DAY, "total_events"))
+
+
+@_query
+def report_top_users_stored(spark: SparkSession, folder: str) -> DataFrame:
+    table = _stored(spark, folder)(USER_METRIC_TABLE, WEEK)
+    return reports.with_totals(reports.top_users_report(table, WEEK, 100, AS_OF), WEEK, "total_events")
+
+
+@_query
+def report_event_distribution_stored(spark: SparkSession, folder: str) -> DataFrame:
+    table = _stored(spark, folder)(METRIC_TABLES["5min"], WEEK)
+    return reports.with_totals(reports.event_distribution_report(table, WEEK, AS_OF), WEEK, "total_count")
+
+
+@_query
+def report_platform_metrics_stored(spark: SparkSession, folder: str) -> DataFrame:
+    table = _stored(spark, folder)(METRIC_TABLES["5min"], WEEK)
+    return reports.with_totals(reports.platform_metrics_report(table, WEEK, AS_OF), WEEK, "total_events")
+
+
 # --- sinks and streams -----------------------------------------------------------
 
 

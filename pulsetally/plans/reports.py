@@ -218,3 +218,15 @@ def _check_member(name: str, value: str | None, domain: tuple[str, ...]) -> None
 
 def _if_present(rows: DataFrame, name: str) -> list[str]:
     return [name] if name in rows.columns else []
+
+
+def with_totals(report: DataFrame, hours_back: int, value: str | None = None) -> DataFrame:
+    """A report with its number of rows, the sum of ``value`` and its label in every row.
+
+    For reports only, which hold some thousand rows at most: they meet in one task.
+    """
+    whole = Window.partitionBy()
+    totals = {"total_records": F.count(F.lit(1)).over(whole)}
+    if value is not None:
+        totals["grand_total"] = F.sum(value).over(whole)
+    return with_time_range(report.withColumns(totals), hours_back)
