@@ -203,4 +203,33 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op10_jaccard": """
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+                WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2),
+                    lambda i: array_to_string(w[i : i + 3], ' '))) END AS s
+            FROM worded
+        ), shingles AS (
+            SELECT doc_id, unnest(s) AS shingle FROM sets
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared
+            JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+            WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)
+        ), reached AS (
+            SELECT doc_id AS a, doc_id AS b FROM sets
+            UNION
+            SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+        )
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, least_id AS component_id
+        FROM sets JOIN (SELECT a, min(b) AS least_id FROM reached GROUP BY a) ON a = doc_id
+    """,
 }
