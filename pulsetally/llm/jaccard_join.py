@@ -13,8 +13,9 @@
 4. Pairs are checked against the sketches' bound of the symmetric difference, then
    against whole sets, of which only those needed are made again and moved.
 5. Links join to components. In keys with more than ``BUCKET`` nodes, nodes outside the
-   main component are then compared with all nodes of other components in the same way,
-   so that no link between components is lost.
+   main component are compared with further pivots of it, as long as that finds links.
+   Those that remain are compared with all nodes of other components, so that no link
+   between components is lost.
 
 The classes, pivots and bounds only save work; the links do not depend on them. Work for
 a key is linear in its nodes, apart from nodes that remain outside its main component.
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsetally.llm.common import bit_table, hash64, in_table, stash
@@ -44,7 +45,9 @@ CHUNK, REPORTED = 4_000_000, 4
 #: Largest set whose frequent shingles are indexed in pairs.
 PAIRED = 128
 #: Nodes of a key that are compared with each other; keys with more use pivots.
-BUCKET, PIVOTS = 64, 3
+BUCKET, PIVOTS = 16, 2
+#: Pivots of a main component for the nodes outside it, and rounds of new ones.
+FURTHER, ROUNDS = 16, 2
 #: Sets a task remembers to have emitted.
 SEEN_MAX = 1_000_000
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -270,6 +273,8 @@ def _linked(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int,
         .mapInArrow(near, "a long, b long, a_doc long, b_doc long"),
         "near-pairs",
     )
+    if maybe.isEmpty():
+        return maybe.select("a", "b")
     wanted = maybe.select(F.explode(F.array("a_doc", "b_doc")).alias("doc")).select(F.xxhash64("doc").alias("hash"))
     table = documents.sparkSession.sparkContext.broadcast(bit_table(wanted))
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
@@ -303,18 +308,29 @@ def _linked(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int,
     )
 
 
-def _outsiders(large: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of a large key in different components, one of them outside the key's main component."""
+def _parted(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """Nodes of the large keys that lie in several components: (key, node, n, place, component, main, most)."""
     own = large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = own.groupBy("key", "component").agg(F.count("*").alias("nodes"))
-    main = sizes.groupBy("key").agg(
-        F.max_by("component", F.struct("nodes", "component")).alias("main"), F.count("*").alias("parts")
+    main = (
+        sizes.groupBy("key")
+        .agg(
+            F.max_by("component", F.struct("nodes", "component")).alias("main"),
+            F.max("nodes").alias("most"), F.count("*").alias("parts"),
+        )
+        .filter("parts > 1")
+    )
+    return stash(own.join(main.drop("parts"), "key"), "parted-keys")
+
+
+def _outside(parted: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a node outside its key's main component with ``others`` of the key in other components."""
+    left = parted.filter("component <> main").select(
+        "key", *(F.col(c).alias(f"l_{c}") for c in ("node", "n", "place", "component"))
     )
-    several = own.join(main.filter("parts > 1").select("key", "main"), "key")
-    left = several.filter("component <> main").select("key", *(F.col(c).alias(f"l_{c}") for c in ("node", "n", "place", "component")))
     room = F.least(F.col("n") - F.col("place"), F.col("l_n") - F.col("l_place"))
     return (
-        left.join(several, "key")
+        left.join(others, "key")
         .filter(
             (F.col("component") != F.col("l_component"))
             & ((F.col("component") == F.col("main")) | (F.col("l_node") < F.col("node")))
@@ -325,6 +341,17 @@ def _outsiders(large: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _further_pivots(parted: DataFrame, seed: int) -> DataFrame:
+    """Some nodes of the main component of every key that has one of several nodes."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(seed)), "node")
+    return (
+        parted.filter("component = main AND most > 1")
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= FURTHER)
+        .drop("rank")
+    )
+
+
 def jaccard_components(
     documents: DataFrame,
     *,
@@ -353,10 +380,20 @@ def jaccard_components(
     found = stash(_bucket_pairs(_keys(known, words, frequent, percent), percent), "key-pairs")
     links = _linked(found.filter("b IS NOT NULL").select("a", "b"), nodes, known, words, percent)
     labels = components(links)
-    large = found.filter("key IS NOT NULL").select("key", F.col("a").alias("node"), "n", "place")
-    if not large.isEmpty():
-        more = _linked(_outsiders(large, labels, percent), nodes, known, words, percent)
-        labels = components(links.unionByName(more))
+    large = found.filter("key IS NOT NULL").select("key", F.col("a").alias("node"), "n", "place").distinct()
+    for seed in range(ROUNDS + 1):
+        parted = _parted(large, labels)
+        if parted.isEmpty():
+            break
+        others = _further_pivots(parted, seed) if seed < ROUNDS else parted
+        more = _linked(_outside(parted, others, percent), nodes, known, words, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+        elif seed < ROUNDS:
+            more = _linked(_outside(parted, parted, percent), nodes, known, words, percent)
+            labels = components(links.unionByName(more))
+            break
     ids = (
         nodes.select("node", "doc")
         .join(labels, "node", "left")
