@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsetally.session import shared_dir
@@ -28,9 +30,15 @@ def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def filled(column: str) -> Column:
-    """A text column with the empty text for null."""
-    return F.coalesce(F.col(column), F.lit(""))
+#: Rows that a Python task holds at once, so that memory follows single texts, not batches.
+SLICE = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``SLICE`` rows; parts share the batch's memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def hash64(data: bytes) -> int:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsetally.llm.common import bit_table, hash64, in_table
+from pulsetally.llm.common import bit_table, hash64, in_table, slices
 
 #: Template words of a window, and the plain words it needs.
 WINDOW, PLAIN = 8, 5
@@ -170,7 +170,7 @@ def item_windows(items: DataFrame, *, id_column: str = "item_id", text_column: s
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text is None:
@@ -224,7 +224,7 @@ def contaminated(
         def listed(hashes: np.ndarray) -> np.ndarray:
             return np.flatnonzero(in_table(bits, hashes))
 
-        for batch in batches:
+        for batch in slices(batches):
             rows = [
                 (doc, *hit[:3])
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)

@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsetally.llm.common import bit_table, hash64, in_table, stash
+from pulsetally.llm.common import bit_table, hash64, in_table, slices, stash
 from pulsetally.llm.components import components
 from pulsetally.llm.shingles import Shingler, odd_distance, odd_sketch
 
 #: A shingle is frequent from this many documents, or this share of them (bounds the table of frequent ones).
 FREQUENT, FREQUENT_SHARE = 64, 1e-4
 #: Shingles that are counted at once, and the count from which a chunk reports one.
-CHUNK, REPORTED = 4_000_000, 4
+CHUNK, REPORTED = 2_000_000, 4
 #: Largest set whose frequent shingles are indexed in pairs.
 PAIRED = 128
 #: Nodes of a key that are compared with each other; keys with more use pivots.
@@ -76,7 +76,7 @@ def _sets(documents: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
             none = [None] * int(many.sum())
             return _batch({"doc_id": none, "n": none, "node": none, "odd": none, "token": tokens[starts][many].view(np.int64), "count": counts[many]}, docs)
 
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingler.of(t.as_py()) for t in batch.column(1)]
             none = [None] * len(sets)
             yield _batch(
@@ -142,7 +142,7 @@ def _keys(documents: DataFrame, size: int, frequent: np.ndarray, percent: int) -
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(size), set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, places, nodes, sizes = [], [], [], []
             for t in batch.column(1):
                 shingles = shingler.of(t.as_py())
@@ -258,7 +258,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int,
         return frame.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             a, b, n, odd, other_n, other_odd = (batch.column(c).to_pylist() for c in ("a", "b", "a_n", "a_odd", "b_n", "b_odd"))
             keep = [
                 odd_distance(odd[i], other_odd[i]) * (100 + percent) <= (100 - percent) * (n[i] + other_n[i])
@@ -281,14 +281,14 @@ def _linked(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int,
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
-        for batch in batches:
-            keep = in_table(table.value, batch.column(2).to_numpy())
+        for batch in slices(batches):
+            keep = in_table(table.value, batch.column(2).to_numpy(zero_copy_only=False))
             sets = [shingler.of(t) for t in batch.column(1).filter(pa.array(keep)).to_pylist()]
             sets = [s for s in sets if len(s)]
             yield _batch({"node": [_node(s) for s in sets], "shingles": [s.tobytes() for s in sets]}, schema)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for left, right in zip(batch.column("a_shingles"), batch.column("b_shingles"), strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))

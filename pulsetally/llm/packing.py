@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsetally.llm.common import slices
 from pulsetally.llm.tokens import ChunkTokenizer
 
 PIECES = (
@@ -172,7 +173,7 @@ def pack_documents(
         stops = np.concatenate([words.ids(mark)[-1:] for mark in ".!?"])
         closing = np.array([end_id], "<u4").tobytes()
         lane = Lane(size, sentence_fee, stretch_fee, stops, TaskContext.get().partitionId() << 32)
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 pieces = words.pieces(text.as_py() or "")
                 lane.add(doc_id, np.frombuffer(b"".join((*pieces, closing)), "<u4"))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsetally.llm.common import slices
+
 # Kinds in their order, patterns and least lengths.
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(
@@ -181,7 +183,7 @@ def scan_secrets(
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             spans = [
                 [dict(zip(("kind", "start", "end", "entropy"), s, strict=True)) for s in find_secrets(t.as_py() or "", pattern, values)]
                 for t in batch.column(1)
@@ -217,7 +219,7 @@ def redact_secrets(
     place = documents.columns.index(text_column)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             field = batch.schema.field(place)
             texts = [
                 None if t is None else redact(t, find_secrets(t, pattern, values), mask)

@@ -7,7 +7,7 @@ import numpy as np
 from pulsetally.llm.common import hash64
 
 #: Words a worker remembers; at the bound the memory is emptied.
-WORDS_MAX = 500_000
+WORDS_MAX = 250_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -24,6 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsetally.llm.common import slices
 from pulsetally.llm.tokens import ChunkTokenizer
 
 KEYS = ("source", "lang", "tokenizer")
@@ -103,7 +104,7 @@ def count_tokens(documents: DataFrame, tokenizer: str, columns: list[str], text_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ChunkTokenizer(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             found = pa.array([words.count(t.as_py() or "") for t in batch.column(len(columns))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], found], [*columns, "n_tokens"])
 
