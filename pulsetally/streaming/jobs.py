@@ -6,6 +6,7 @@ from collections.abc import Callable
 from typing import Literal
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -35,12 +36,15 @@ def start_jobs(
 ) -> list[StreamingQuery]:
     """Start the lake query and both metric queries, as the settings switch them on.
 
+    Events without a time fit no hour of the lake; they go to its ``rejects`` folder.
     Metrics go to Parquet tables below ``metrics_path``, or to the micro-batch
     writers which ``writer_for`` gives.
     """
     queries = []
     if settings.enable_lake and lake_path:
         queries.append(lake.stream_lake(events, lake_path, settings))
+        untimed = events.where(F.col("timestamp").isNull())
+        queries.append(lake.stream_rejects(untimed, f"{lake_path}/rejects", settings))
     if not settings.enable_metrics:
         return queries
     frames = {

@@ -202,7 +202,7 @@ def test_logged_failures_lose_only_their_batch(spark, events, stream, settings,
 
 def test_jobs_start_and_end_together(spark, events, stream, settings, tmp_path):
     queries = jobs.start_jobs(stream, settings, str(tmp_path / "lake"), str(tmp_path / "tables"))
-    assert [q.name for q in queries] == ["raw-events", "event-metrics-5min", "user-metrics-1hr"]
+    assert [q.name for q in queries] == ["raw-events", "rejected-records", "event-metrics-5min", "user-metrics-1hr"]
     jobs.run_until_stopped(queries)
     assert read_parts(spark, str(tmp_path / "lake"), LAKE_SCHEMA).count() == events.count()
     users = closed(m.user_metrics(events), events)
@@ -233,7 +233,7 @@ def test_switches_choose_the_queries(spark, stream, tmp_path):
     only = StreamSettings(str(tmp_path / "c"), available_now=True, enable_metrics=False)
     queries = jobs.start_jobs(stream, only, str(tmp_path / "l"), str(tmp_path / "t"))
     jobs.run_until_stopped(queries)
-    assert [q.name for q in queries] == ["raw-events"]
+    assert [q.name for q in queries] == ["raw-events", "rejected-records"]
 
 
 def test_failure_of_one_query_stops_the_others(spark, stream, tmp_path):
