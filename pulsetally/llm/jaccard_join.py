@@ -47,7 +47,7 @@ PAIRED = 128
 #: Nodes of a key that are compared with each other; keys with more use pivots.
 BUCKET, PIVOTS = 16, 2
 #: Pivots of a main component for the nodes outside it, and rounds of new ones.
-FURTHER, ROUNDS = 16, 2
+FURTHER, ROUNDS = 16, 1
 #: Sets a task remembers to have emitted.
 SEEN_MAX = 1_000_000
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
