@@ -58,7 +58,7 @@ def power_of_two(n: float, least: int, most: int) -> int:
 
 
 #: Bits of a table for each entry, and its greatest size: 16 MB.
-TABLE_BITS, TABLE_MOST = 32, 1 << 27
+TABLE_BITS, TABLE_MOST = 256, 1 << 27
 
 
 def bit_table(hashes: DataFrame) -> np.ndarray:
