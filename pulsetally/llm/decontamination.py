@@ -10,8 +10,11 @@ item) form a run. A run counts if it covers enough of the item and its slots are
 consistent: each value of the item stands for one value of the document. Runs with
 equal values are ``exact``, others ``reparameterised``.
 
-Windows with too few plain words match nothing, since placeholders alone say little;
-items shorter than a window are matched whole. Rows of a run are at most the item's
+Template windows with too few plain words match nothing, since placeholders alone say
+little. If an item's other windows can't cover enough of it, one window stands for its
+whole template instead, unless that has slots only. Windows of the raw words (lower
+case, values kept, any number of plain words) are hashed too, so exact copies of every
+item are found, of the shortest as well. Items shorter than a window are matched whole. Rows of a run are at most the item's
 words, so no group is unbounded, and a window that very many documents share meets the
 benchmark's side of the join only.
 
@@ -22,8 +25,9 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,12 @@ from pulsetally.llm.common import bit_table, hash64, in_table, slices
 
 #: Template words of a window, and the plain words it needs.
 WINDOW, PLAIN = 8, 5
-#: Words an item needs to be matched at all.
+#: Template words an item needs to be matched with other values.
 ITEM_LEAST = 5
+#: Forms of a text: its words in lower case, and its template.
+FORMS = ("raw", "names")
+#: Characters of texts that are read together.
+PART = 1 << 20
 #: Words a worker remembers; at the bound the memory is emptied.
 WORDS_MAX = 300_000
 
@@ -57,6 +65,7 @@ _NUM, _UNIT, _QTY, _TITLE, _STOP = 1, 2, 4, 8, 16
 _MARKS = re.compile(r"^[^\w$€£+-]+|[^\w%$€£]+$|[%$€£&*#!]{2,}$")
 _CODES = {name: np.uint64(hash64(name.encode())) for name in ("<num>", "<qty>", "<name>")}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_UNSTEP = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
 def _word(chunk: str) -> tuple[str, int]:
@@ -82,7 +91,7 @@ class Templates:
         self.known: dict[str, int] = {}
         self.low: list[str] = []
         self.hashes = np.zeros(1024, np.uint64)
-        self.flags = np.zeros(1024, np.uint8)
+        self.flags = np.zeros(1024, np.uint16)
 
     def _rows(self, chunks: list[str]) -> np.ndarray:
         known = self.known
@@ -107,27 +116,46 @@ class Templates:
                     rows[i] = row
         return np.array(rows, np.int64)
 
-    def of(self, text: str) -> tuple[np.ndarray, ...]:
-        """(codes, slots, starts, ends, rows): each template word's hash, whether it is a slot, and its chunks."""
-        rows = self._rows(text.split())
-        if not len(rows):
-            return np.zeros(0, np.uint64), np.zeros(0, bool), rows, rows, rows
+    def read(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """The chunks' rows, and for each of ``FORMS`` (codes, slots, starts, ends, text numbers) of its words."""
+        parts = [text.split() for text in texts]
+        rows = self._rows([chunk for part in parts for chunk in part])
+        texts_of = np.repeat(np.arange(len(parts)), [len(part) for part in parts])
+        first = np.concatenate(([True], texts_of[1:] != texts_of[:-1]))[: len(rows)]
         flags = self.flags[rows]
-        before = np.concatenate(([_STOP], flags[:-1])).astype(np.uint8)
+        before = np.concatenate(([_STOP], flags[:-1])).astype(np.uint16)[: len(rows)]
+        before[first] = _STOP
         number = (flags & _NUM) > 0
         unit = ((flags & _UNIT) > 0) & ((before & _NUM) > 0)
         quantity = (flags & _QTY) > 0
-        measured = number & np.concatenate((unit[1:], [False]))
-        name = ((flags & _TITLE) > 0) & ((before & _STOP) == 0) & ~number & ~unit & ~quantity
-        codes = self.hashes[rows].copy()
-        codes[number], codes[quantity | measured], codes[name] = _CODES["<num>"], _CODES["<qty>"], _CODES["<name>"]
-        # A unit belongs to its number, a further name to the name before it; marks alone are no words.
-        empty = self.hashes[rows] == _NOTHING
-        joined = unit | (name & np.concatenate(([False], name[:-1])))
-        starts = np.flatnonzero(~joined & ~empty)
-        ends = np.concatenate((starts[1:], [len(rows)]))[: len(starts)]
-        slot = (number | quantity | name)[starts]
-        return codes[starts], slot, starts, ends, rows
+        measured = number & np.concatenate((unit[1:], [False]))[: len(rows)]
+        title = ((flags & _TITLE) > 0) & ~number & ~unit & ~quantity
+        inside = (before & _STOP) == 0
+        words = self.hashes[rows]
+        empty = words == _NOTHING
+
+        def template(name: np.ndarray, further: np.ndarray) -> tuple[np.ndarray, ...]:
+            # A unit belongs to its number, a further name to the name before it; marks alone are no words.
+            codes = words.copy()
+            codes[number], codes[quantity | measured], codes[name] = _CODES["<num>"], _CODES["<qty>"], _CODES["<name>"]
+            starts = np.flatnonzero(~unit & ~further & ~empty)
+            slot = number | quantity | name
+            return codes[starts], slot[starts], starts, np.append(starts[1:], len(rows))[: len(starts)], texts_of[starts]
+
+        def after(mask: np.ndarray) -> np.ndarray:
+            return np.concatenate(([False], mask[:-1]))[: len(rows)] & ~first
+
+        name = title & inside
+        plain = np.flatnonzero(~empty)
+        return rows, [
+            (words[plain], np.zeros(len(plain), bool), plain, plain + 1, texts_of[plain]),
+            template(name, name & after(name)),
+        ]
+
+    def of(self, text: str) -> tuple[np.ndarray, ...]:
+        """(codes, slots, starts, ends, rows): each template word's hash, whether it is a slot, and its chunks."""
+        rows, forms = self.read([text])
+        return *forms[FORMS.index("names")][:4], rows
 
     def value(self, rows: np.ndarray) -> str:
         return " ".join(filter(None, (self.low[r] for r in rows.tolist())))
@@ -136,65 +164,109 @@ class Templates:
 _NOTHING = np.uint64(hash64(b""))
 
 
-def windows(codes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows with enough plain words."""
-    n = len(codes) - width + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = np.full(n, width, np.uint64)
-    for k in range(width):
-        total = (total ^ codes[k : k + n]) * _STEP
-        total ^= total >> np.uint64(29)
-    plain = np.concatenate(([0], np.cumsum(~slots)))
-    enough = np.flatnonzero(plain[width:] - plain[:n] >= min(PLAIN, max(1, width * PLAIN // WINDOW)))
-    return enough, total[enough]
-
-
-def _found(templates: Templates, text: str, widths: list[int], wanted) -> Iterator[tuple[int, int, list[str], int]]:
-    """(place, hash, slot values, words in all) of the windows that ``wanted`` lets through."""
-    codes, slots, starts, ends, rows = templates.of(text)
-    for width in widths:
-        places, hashes = windows(codes, slots, width)
-        if not len(places):
-            continue
-        keep = wanted(hashes)
-        for place, code in zip(places[keep].tolist(), hashes[keep].astype(np.int64).tolist(), strict=True):
-            values = [
-                templates.value(rows[starts[i] : ends[i]]) for i in range(place, place + width) if slots[i]
-            ]
-            yield place, code, values, len(codes)
-
-
-def item_windows(items: DataFrame, *, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
-    """Windows of every item: (item_id, item_words, width, item_place, hash, item_values)."""
+class Windows:
+    """Hashes of the windows of any width over the words of one form, from sums of codes times powers."""
+
+    def __init__(self, form: int, words: tuple[np.ndarray, ...]) -> None:
+        codes, self.slots, self.starts, self.ends, self.texts = words
+        powers = np.full(len(codes), _STEP)
+        powers[:1] = 1
+        inverse = np.full(len(codes), _UNSTEP)
+        inverse[:1] = 1
+        self.back = np.cumprod(inverse, dtype=np.uint64)
+        self.sums = np.append(np.uint64(0), np.cumsum(codes * np.cumprod(powers, dtype=np.uint64), dtype=np.uint64))
+        self.plain = np.append(0, np.cumsum(~self.slots))
+        self.form = form
+
+    def of(self, width: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes; of templates only windows with enough plain words, unless they stand for whole items."""
+        n = len(self.slots) - width + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        good = self.texts[width - 1 :] == self.texts[:n]
+        if self.form and not whole:
+            good &= self.plain[width:] - self.plain[:n] >= _least(width)
+        places = np.flatnonzero(good)
+        hashes = (self.sums[places + width] - self.sums[places]) * self.back[places]
+        hashes ^= np.uint64(hash64(f"{FORMS[self.form]} {width} {whole}".encode()))
+        hashes ^= hashes >> np.uint64(32)
+        hashes *= _STEP
+        return places, hashes ^ (hashes >> np.uint64(29))
+
+
+def _least(width: int) -> int:
+    """Plain words that a window of a template needs."""
+    return min(PLAIN, max(1, width * PLAIN // WINDOW))
+
+
+def _parts(texts: Iterable[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Numbers and texts, without nulls, in parts of about ``PART`` characters."""
+    numbers, part, held = [], [], 0
+    for i, text in enumerate(texts):
+        if text is not None:
+            numbers.append(i)
+            part.append(text)
+            held += len(text)
+            if held >= PART:
+                yield numbers, part
+                numbers, part, held = [], [], 0
+    if part:
+        yield numbers, part
+
+
+def _values(templates: Templates, rows: np.ndarray, windows: Windows, place: int, width: int) -> list[str]:
+    return [
+        templates.value(rows[windows.starts[i] : windows.ends[i]])
+        for i in range(place, place + width)
+        if windows.slots[i]
+    ]
+
+
+def item_windows(
+    items: DataFrame, *, id_column: str = "item_id", text_column: str = "text", least_share: float = 0.5
+) -> DataFrame:
+    """Windows of every item: (item_id, item_key, form, item_words, width, whole, item_place, hash, item_values)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in slices(batches):
-            rows = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out = []
+            for item, text, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text is None:
                     continue
-                n = len(templates.of(text)[0])
-                if n >= ITEM_LEAST:
-                    width = min(WINDOW, n)
-                    everything = slice(None)
-                    for place, code, values, _ in _found(templates, text, [width], lambda h: everything):
-                        rows.append((item, n, width, place, code, values))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+                rows, forms = templates.read([text])
+                for form, words in enumerate(forms):
+                    n = len(words[0])
+                    if n < (ITEM_LEAST if form else 1):
+                        continue
+                    windows, width, whole = Windows(form, words), min(WINDOW, n), False
+                    places, hashes = windows.of(width, whole)
+                    reached = {i for p in places.tolist() for i in range(p, p + width)}
+                    if len(reached) < math.ceil(n * least_share) and not words[1].all():
+                        width, whole = n, True
+                        places, hashes = windows.of(width, whole)
+                    for place, code in zip(places.tolist(), hashes.astype(np.int64).tolist(), strict=True):
+                        values = _values(templates, rows, windows, place, width)
+                        out.append((item, key, form, n, width, whole, place, code, values))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 9
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["item_id", "item_words", "width", "item_place", "hash", "item_values"],
+                ["item_id", "item_key", "form", "item_words", "width", "whole", "item_place", "hash", "item_values"],
             )
 
     return (
-        items.select(F.col(id_column).cast("long").alias("item_id"), F.col(text_column).alias("text"))
+        items.select(
+            F.col(id_column).cast("long").alias("item_id"),
+            F.col(text_column).alias("text"),
+            F.xxhash64(text_column).alias("item_key"),
+        )
         .mapInArrow(
             cut,
-            "item_id long, item_words long, width long, item_place long, hash long, item_values array<string>",
+            "item_id long, item_key long, form long, item_words long, width long, whole boolean, item_place long, "
+            "hash long, item_values array<string>",
         )
-        .dropDuplicates(["item_id", "item_place", "hash"])
+        .dropDuplicates(["item_id", "item_key", "item_place", "hash"])
     )
 
 
@@ -208,12 +280,13 @@ def contaminated(
 ) -> DataFrame:
     """A row for each document and item it holds: doc_id, item_id, kind, covered, item_words, place, slots.
 
-    ``covered`` counts the item's template words inside matched windows, at least
-    ``least_share`` of ``item_words``; ``place`` is the template word of the document
-    where the item starts; ``slots`` maps the item's values to the document's.
+    ``covered`` counts the item's words inside matched windows, at least ``least_share``
+    of ``item_words``; ``place`` is the word of the document where the item starts;
+    ``slots`` maps the item's values to the document's. Words are those of the template,
+    or where only the raw words match, these, without slots.
     """
-    wanted = item_windows(items).cache()
-    widths = sorted(r["width"] for r in wanted.select("width").distinct().collect())
+    wanted = item_windows(items, least_share=least_share).cache()
+    widths = sorted(map(tuple, wanted.select("form", "width", "whole").distinct().collect()))
     sent = documents.sparkSession.sparkContext.broadcast(bit_table(wanted))
     kind = documents.schema[id_column].dataType.simpleString()
     doc_kind = pa.int64() if kind in ("bigint", "int") else None
@@ -221,16 +294,20 @@ def contaminated(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, templates = sent.value, Templates()
 
-        def listed(hashes: np.ndarray) -> np.ndarray:
-            return np.flatnonzero(in_table(bits, hashes))
-
         for batch in slices(batches):
-            rows = [
-                (doc, *hit[:3])
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-                if text.is_valid
-                for hit in _found(templates, text.as_py(), widths, listed)
-            ]
+            rows, ids = [], batch.column(0).to_pylist()
+            for numbers, texts in _parts(t.as_py() for t in batch.column(1)):
+                chunks, forms = templates.read(texts)
+                of_form = {form: Windows(form, forms[form]) for form in {w[0] for w in widths}}
+                for form, width, whole in widths:
+                    windows = of_form[form]
+                    places, hashes = windows.of(width, whole)
+                    keep = in_table(bits, hashes)
+                    for place, code in zip(places[keep].tolist(), hashes[keep].astype(np.int64).tolist(), strict=True):
+                        text = windows.texts[place]
+                        values = _values(templates, chunks, windows, place, width)
+                        at = place - int(np.searchsorted(windows.texts, text))
+                        rows.append((ids[numbers[text]], at, code, values))
             if rows:
                 columns = list(zip(*rows, strict=True))
                 kinds = [doc_kind or batch.column(0).type, pa.int64(), pa.int64(), pa.list_(pa.string())]
@@ -249,7 +326,7 @@ def contaminated(
     runs = (
         hits.join(wanted, "hash")
         .withColumn("diagonal", F.col("place") - F.col("item_place"))
-        .groupBy("doc_id", "item_id", "item_words", "width", "diagonal")
+        .groupBy("doc_id", "item_id", "item_key", "form", "item_words", "width", "diagonal")
         .agg(
             F.array_sort(F.collect_set("item_place")).alias("places"),
             F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
@@ -268,14 +345,18 @@ def contaminated(
     )
     keys = F.array_distinct(F.transform("slots", lambda p: p["item"]))
     same = F.forall("slots", lambda p: p["item"] == p["document"])
-    rank = F.struct("covered", F.when(same, 1).otherwise(0).alias("exact"), (-F.col("diagonal")).alias("order"))
+    raw = F.when(F.col("form") == 0, -len(FORMS)).otherwise(-F.col("form"))
+    rank = F.struct(
+        (F.col("covered") / F.col("item_words")).alias("share"), F.when(same, 1).otherwise(0).alias("exact"),
+        raw.alias("form"), (-F.col("diagonal")).alias("order"),
+    )
     return (
         runs.filter((F.col("covered") >= F.ceil(F.col("item_words") * least_share)) & (F.size(keys) == F.size("slots")))
-        .groupBy("doc_id", "item_id", "item_words")
-        .agg(F.max_by(F.struct("covered", F.col("diagonal").alias("place"), F.array_sort("slots").alias("slots"), same.alias("exact")), rank).alias("best"))
+        .groupBy("doc_id", "item_id", "item_key")
+        .agg(F.max_by(F.struct("covered", "item_words", F.col("diagonal").alias("place"), F.array_sort("slots").alias("slots"), same.alias("exact")), rank).alias("best"))
         .select(
             "doc_id", "item_id", F.when(F.col("best.exact"), "exact").otherwise("reparameterised").alias("kind"),
-            "best.covered", "item_words", "best.place", "best.slots",
+            "best.covered", "best.item_words", "best.place", "best.slots",
         )
     )
 

@@ -75,3 +75,13 @@ def test_odd_documents(spark):
     assert contaminated(no_documents(spark), bench).count() == 0
     null = odd.filter("doc_id IS NULL")
     assert drop_contaminated(odd, items(spark, ["a text without an id, and it is long enough"])).count() == odd.count() - null.count()
+
+
+def test_items_of_numbers_and_names(spark):
+    bench = ["Compute 12, 15, 18, 21, 24, 27 and 30.", "Who Wrote Pride And Prejudice In England", "Why 7?", "3 4 5 6 7 8 9 10 11"]
+    texts = [f"Words before it. {text} Words after it." for text in bench]
+    texts += ["Compute 2, 5, 8, 11, 14, 17 and 20.", "Compute 2, 5, 8 and 20.", "5 6 7 8 9 10 11 12 13", "Who Wrote It In England"]
+    got = found(spark, texts, bench)
+    assert {k: r.kind for k, r in got.items()} == {
+        (0, 0): "exact", (1, 1): "exact", (2, 2): "exact", (3, 3): "exact", (4, 0): "reparameterised"
+    }
