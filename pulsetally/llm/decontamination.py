@@ -10,6 +10,9 @@ item) form a run. A run counts if it covers enough of the item and its slots are
 consistent: each value of the item stands for one value of the document. Runs with
 equal values are ``exact``, others ``reparameterised``.
 
+Sentence starts, headings and case hide names, so two more templates are hashed: one takes
+any capitalised word for a name (a line break ends a name), one takes none.
+
 Template windows with too few plain words match nothing, since placeholders alone say
 little. If an item's other windows can't cover enough of it, one window stands for its
 whole template instead, unless that has slots only. Windows of the raw words (lower
@@ -40,8 +43,9 @@ from pulsetally.llm.common import bit_table, hash64, in_table, slices
 WINDOW, PLAIN = 8, 5
 #: Template words an item needs to be matched with other values.
 ITEM_LEAST = 5
-#: Forms of a text: its words in lower case, and its template.
-FORMS = ("raw", "names")
+#: Forms of a text: its words in lower case, and templates with names inside sentences,
+#: with any capitalised word as a possible name, and without names.
+FORMS = ("raw", "names", "all names", "no names")
 #: Characters of texts that are read together.
 PART = 1 << 20
 #: Words a worker remembers; at the bound the memory is emptied.
@@ -61,7 +65,8 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 _QUANTITY = re.compile(r"[+-]?(?:[$€£]\d[\d.,]*|\d[\d.,]*([a-z%$€£]+))")
-_NUM, _UNIT, _QTY, _TITLE, _STOP = 1, 2, 4, 8, 16
+_NUM, _UNIT, _QTY, _TITLE, _STOP, _LINE = 1, 2, 4, 8, 16, 32
+_BREAK = " \0 "
 _MARKS = re.compile(r"^[^\w$€£+-]+|[^\w%$€£]+$|[%$€£&*#!]{2,}$")
 _CODES = {name: np.uint64(hash64(name.encode())) for name in ("<num>", "<qty>", "<name>")}
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -70,6 +75,8 @@ _UNSTEP = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 def _word(chunk: str) -> tuple[str, int]:
     """A chunk without marks in lower case, and its flags."""
+    if chunk == _BREAK.strip(" "):
+        return "", _LINE
     core = _MARKS.sub("", _MARKS.sub("", chunk))
     low = core.lower()
     flags = _STOP if chunk.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", "|", "") else 0
@@ -118,9 +125,12 @@ class Templates:
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
         """The chunks' rows, and for each of ``FORMS`` (codes, slots, starts, ends, text numbers) of its words."""
-        parts = [text.split() for text in texts]
+        parts = [text.replace("\n", _BREAK).split() for text in texts]
         rows = self._rows([chunk for part in parts for chunk in part])
         texts_of = np.repeat(np.arange(len(parts)), [len(part) for part in parts])
+        lines = (self.flags[rows] & _LINE) > 0
+        broken = np.concatenate(([False], lines[:-1]))[: len(rows)][~lines]
+        rows, texts_of = rows[~lines], texts_of[~lines]
         first = np.concatenate(([True], texts_of[1:] != texts_of[:-1]))[: len(rows)]
         flags = self.flags[rows]
         before = np.concatenate(([_STOP], flags[:-1])).astype(np.uint16)[: len(rows)]
@@ -145,11 +155,13 @@ class Templates:
         def after(mask: np.ndarray) -> np.ndarray:
             return np.concatenate(([False], mask[:-1]))[: len(rows)] & ~first
 
-        name = title & inside
+        name, nothing = title & inside, np.zeros(len(rows), bool)
         plain = np.flatnonzero(~empty)
         return rows, [
             (words[plain], np.zeros(len(plain), bool), plain, plain + 1, texts_of[plain]),
             template(name, name & after(name)),
+            template(title, title & after(title) & inside & ~broken),
+            template(nothing, nothing),
         ]
 
     def of(self, text: str) -> tuple[np.ndarray, ...]:

@@ -85,3 +85,22 @@ def test_items_of_numbers_and_names(spark):
     assert {k: r.kind for k, r in got.items()} == {
         (0, 0): "exact", (1, 1): "exact", (2, 2): "exact", (3, 3): "exact", (4, 0): "reparameterised"
     }
+
+
+def test_names_anywhere(spark):
+    apples = "Tom has 3 apples. Anna has 5 apples. Ben has 7 apples. How many are there?"
+    named = "yesterday the Miller gave some Wine to his Brother and a little Bread to one Sister before old Anton came with Berta to buy 20 Roses"
+    bench = [apples, named, "Carla buys red paint for Dora today"]
+    texts = [
+        apples.replace("Tom", "Bob").replace("Anna", "Lisa").replace("Ben", "Max"),
+        apples.replace("Ben", "Tom").replace("Anna", "Tom"),
+        named.lower(), named.upper(), named.lower().replace("20", "31"),
+        "the exercise\nCarla buys red paint for Dora today", "Exercise\n\nErika buys red paint for Frieda today",
+    ]
+    got = found(spark, texts, bench)
+    assert {k: r.kind for k, r in got.items()} == {
+        (0, 0): "reparameterised", (1, 0): "reparameterised", (2, 1): "exact", (3, 1): "exact",
+        (4, 1): "reparameterised", (5, 2): "exact", (6, 2): "reparameterised",
+    }
+    swapped = apples.replace("Anna", "Tom")
+    assert not found(spark, [apples.replace("Ben", "Max")], [swapped])
