@@ -1,14 +1,16 @@
 """Find benchmark items in documents, also with other numbers, names or units.
 
-Texts become templates: a number is ``<num>``, a number with its unit ``<qty>``, a run
-of capitalised words inside a sentence ``<name>``, any other word itself in lower case
-without marks around it. Windows of template words are hashed on both sides. The task
-that reads a document keeps only windows that a bit table of the benchmark's windows
-(of bounded size) lets through; a hash join with the benchmark's windows decides.
-Matches of a document and item on one diagonal (place in the document less place in the
-item) form a run. A run counts if it covers enough of the item and its slots are
-consistent: each value of the item stands for one value of the document. Runs with
-equal values are ``exact``, others ``reparameterised``.
+Texts become templates: a number (neighbouring number words are one) is ``<num>``, a
+number with its unit ``<qty>``, a run of capitalised words inside a sentence ``<name>``,
+any other word itself in lower case without marks around it. Windows of template words
+are hashed on both sides. The task that reads a document keeps only windows that a bit
+table of the benchmark's windows (of bounded size) lets through; a hash join with the
+benchmark's windows decides. Matches of a document and item on one diagonal (place in
+the document less place in the item), or in order on diagonals at most ``DRIFT`` apart
+from one to the next, form a run, so words put in or left out don't end it. A run counts
+if it covers enough of the item and its slots are consistent: each value of the item
+stands for one value of the document. Runs with equal values are ``exact``, others
+``reparameterised``.
 
 Sentence starts, headings and case hide names, so two more templates are hashed: one takes
 any capitalised word for a name (a line break ends a name), one takes none.
@@ -17,8 +19,10 @@ Template windows with too few plain words match nothing, since placeholders alon
 little. If an item's other windows can't cover enough of it, one window stands for its
 whole template instead, unless that has slots only. Windows of the raw words (lower
 case, values kept, any number of plain words) are hashed too, so exact copies of every
-item are found, of the shortest as well. Items shorter than a window are matched whole. Rows of a run are at most the item's
-words, so no group is unbounded, and a window that very many documents share meets the
+item are found, of the shortest as well. Items shorter than a window are matched whole.
+
+Runs are looked for in overlapping stretches of a document whose length follows the
+item's, so no group is unbounded, and a window that very many documents share meets the
 benchmark's side of the join only.
 
 Null and empty texts and items have no windows. Null document ids are compared as any
@@ -46,6 +50,10 @@ ITEM_LEAST = 5
 #: Forms of a text: its words in lower case, and templates with names inside sentences,
 #: with any capitalised word as a possible name, and without names.
 FORMS = ("raw", "names", "all names", "no names")
+#: Words by which a run's pieces may be apart from one diagonal to the next.
+DRIFT = WINDOW
+#: Runs are looked for in stretches of so many times the item's length and a window.
+SPAN = 4
 #: Characters of texts that are read together.
 PART = 1 << 20
 #: Words a worker remembers; at the bound the memory is emptied.
@@ -65,7 +73,7 @@ UNITS = frozenset(
 )
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 _QUANTITY = re.compile(r"[+-]?(?:[$€£]\d[\d.,]*|\d[\d.,]*([a-z%$€£]+))")
-_NUM, _UNIT, _QTY, _TITLE, _STOP, _LINE = 1, 2, 4, 8, 16, 32
+_NUM, _UNIT, _QTY, _TITLE, _STOP, _LINE, _SPELT, _SCALE, _MARK = 1, 2, 4, 8, 16, 32, 64, 128, 256
 _BREAK = " \0 "
 _MARKS = re.compile(r"^[^\w$€£+-]+|[^\w%$€£]+$|[%$€£&*#!]{2,}$")
 _CODES = {name: np.uint64(hash64(name.encode())) for name in ("<num>", "<qty>", "<name>")}
@@ -82,12 +90,18 @@ def _word(chunk: str) -> tuple[str, int]:
     flags = _STOP if chunk.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":", "|", "") else 0
     if _NUMBER.fullmatch(low) and not low.startswith(("$", "€", "£")) or low in NUMBER_WORDS:
         flags |= _NUM
+    elif "-" in low and NUMBER_WORDS.issuperset(low.split("-")):
+        flags |= _NUM
     elif (m := _QUANTITY.fullmatch(low)) and (m[1] is None or m[1] in UNITS):
         flags |= _QTY
     elif low in UNITS:
         flags |= _UNIT
     if len(core) > 1 and core[0].isupper() and core[1:].islower() and not flags & (_NUM | _UNIT):
         flags |= _TITLE
+    if flags & _NUM and low[0].isalpha():
+        flags |= _SPELT | (_SCALE if low in ("hundred", "thousand", "million") else 0)
+    if not chunk.lower().endswith(low):
+        flags |= _MARK
     return low, flags
 
 
@@ -138,6 +152,9 @@ class Templates:
         number = (flags & _NUM) > 0
         unit = ((flags & _UNIT) > 0) & ((before & _NUM) > 0)
         quantity = (flags & _QTY) > 0
+        # Neighbouring number words, and hundreds and the like after any number, are one number.
+        spelt = (((flags & _SPELT) > 0) & ((before & _SPELT) > 0)) | (((flags & _SCALE) > 0) & ((before & _NUM) > 0))
+        spelt &= (before & (_MARK | _STOP)) == 0
         measured = number & np.concatenate((unit[1:], [False]))[: len(rows)]
         title = ((flags & _TITLE) > 0) & ~number & ~unit & ~quantity
         inside = (before & _STOP) == 0
@@ -148,7 +165,8 @@ class Templates:
             # A unit belongs to its number, a further name to the name before it; marks alone are no words.
             codes = words.copy()
             codes[number], codes[quantity | measured], codes[name] = _CODES["<num>"], _CODES["<qty>"], _CODES["<name>"]
-            starts = np.flatnonzero(~unit & ~further & ~empty)
+            starts = np.flatnonzero(~unit & ~spelt & ~further & ~empty)
+            codes[starts[np.searchsorted(starts, late, "right") - 1]] = _CODES["<qty>"]
             slot = number | quantity | name
             return codes[starts], slot[starts], starts, np.append(starts[1:], len(rows))[: len(starts)], texts_of[starts]
 
@@ -156,6 +174,7 @@ class Templates:
             return np.concatenate(([False], mask[:-1]))[: len(rows)] & ~first
 
         name, nothing = title & inside, np.zeros(len(rows), bool)
+        late = np.flatnonzero(measured & spelt)
         plain = np.flatnonzero(~empty)
         return rows, [
             (words[plain], np.zeros(len(plain), bool), plain, plain + 1, texts_of[plain]),
@@ -282,6 +301,59 @@ def item_windows(
     )
 
 
+def best_run(hits: list[dict], width: int, least: int) -> tuple[int, int, list[tuple[str, str]]] | None:
+    """(covered, place, slots) of the best run with consistent slots that covers ``least`` places, or none.
+
+    Windows that touch on one diagonal are a piece. Pieces in order, with diagonals at
+    most ``DRIFT`` apart from one to the next, are a run.
+    """
+    diagonals: dict[int, list[dict]] = {}
+    for hit in hits:
+        diagonals.setdefault(hit["place"] - hit["item_place"], []).append(hit)
+    pieces = []
+    for diagonal, own in diagonals.items():
+        if _merged({}, {(p["item"], p["document"]) for hit in own for p in hit["slots"]}) is None:
+            continue
+        own.sort(key=lambda hit: hit["item_place"])
+        for hit in own:
+            at, slots = hit["item_place"], {(p["item"], p["document"]) for p in hit["slots"]}
+            if pieces and pieces[-1][2] == diagonal and at <= pieces[-1][1]:
+                pieces[-1][1] = at + width
+                pieces[-1][3] |= slots
+            else:
+                pieces.append([at, at + width, diagonal, slots])
+    pieces.sort(key=lambda p: (p[0] + p[2], p[0]))
+    runs: list[tuple[int, dict, int]] = []
+    for j, (at, end, diagonal, slots) in enumerate(pieces):
+        before = []
+        for i in range(j - 1, -1, -1):
+            start, stop, other, _ = pieces[i]
+            if start < at and stop < end and start + other < at + diagonal and abs(other - diagonal) <= DRIFT:
+                before.append((runs[i][0] + end - max(at, stop), i))
+        run = (end - at, _merged({}, slots), diagonal)
+        for covered, i in sorted(before, key=lambda b: (-b[0], b[1])):
+            if covered <= run[0]:
+                break
+            if (values := _merged(runs[i][1], slots)) is not None:
+                run = (covered, values, runs[i][2])
+                break
+        runs.append(run)
+    good = [r for r in runs if r[0] >= least]
+    if not good:
+        return None
+    covered, values, place = max(good, key=lambda r: (r[0], all(a == b for a, b in r[1].items()), -r[2]))
+    return covered, place, sorted(values.items())
+
+
+def _merged(values: dict[str, str], slots: set[tuple[str, str]]) -> dict[str, str] | None:
+    """``values`` with ``slots``, or none where a value of the item stands for two of the document."""
+    merged = dict(values)
+    for item, document in slots:
+        if merged.setdefault(item, document) != document:
+            return None
+    return merged
+
+
 def contaminated(
     documents: DataFrame,
     items: DataFrame,
@@ -335,37 +407,50 @@ def contaminated(
         F.arrays_zip("item_values", "values"),
         lambda p: F.struct(p["item_values"].alias("item"), p["values"].alias("document")),
     )
-    runs = (
+    span = SPAN * (F.col("item_words") + WINDOW)
+    cell = F.floor(F.col("place") / span)
+    same_item = ["doc_id", "item_id", "item_key"]
+    groups = (
         hits.join(wanted, "hash")
-        .withColumn("diagonal", F.col("place") - F.col("item_place"))
-        .groupBy("doc_id", "item_id", "item_key", "form", "item_words", "width", "diagonal")
-        .agg(
-            F.array_sort(F.collect_set("item_place")).alias("places"),
-            F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
-        )
-        .withColumn(
-            "covered",
-            F.col("width")
-            + F.aggregate(
-                F.sequence(F.lit(1), F.size("places")),
-                F.lit(0).cast("long"),
-                lambda total, i: F.when(i >= F.size("places"), total).otherwise(
-                    total + F.least(F.col("width"), F.get("places", i) - F.get("places", i - 1))
-                ),
-            ),
-        )
+        .withColumn("block", F.explode(F.array(cell, cell + 1)))
+        .groupBy(*same_item, "form", "item_words", "width", "block")
+        .agg(F.collect_set(F.struct("item_place", "place", pairs.alias("slots"))).alias("hits"))
+    )
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            least, width, hit_rows = (batch.column(batch.schema.get_field_index(c)) for c in ("item_words", "width", "hits"))
+            taken, best = [], []
+            for i in range(batch.num_rows):
+                found = best_run(hit_rows[i].as_py(), width[i].as_py(), math.ceil(least[i].as_py() * least_share))
+                if found:
+                    taken.append(i)
+                    best.append(found)
+            if taken:
+                kept = batch.take(pa.array(taken, pa.int64()))
+                covered, place, slots = zip(*best, strict=True)
+                pair = pa.struct([("item", pa.string()), ("document", pa.string())])
+                names = [*same_item, "form", "item_words"]
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column(kept.schema.get_field_index(c)) for c in names]
+                    + [pa.array(covered, pa.int64()), pa.array(place, pa.int64())]
+                    + [pa.array([[{"item": a, "document": b} for a, b in s] for s in slots], pa.list_(pair))],
+                    [*names, "covered", "place", "slots"],
+                )
+
+    given_fields = ", ".join(f"{c} {groups.schema[c].dataType.simpleString()}" for c in [*same_item, "form", "item_words"])
+    runs = groups.mapInArrow(
+        chain, f"{given_fields}, covered long, place long, slots array<struct<item:string,document:string>>"
     )
-    keys = F.array_distinct(F.transform("slots", lambda p: p["item"]))
     same = F.forall("slots", lambda p: p["item"] == p["document"])
     raw = F.when(F.col("form") == 0, -len(FORMS)).otherwise(-F.col("form"))
     rank = F.struct(
         (F.col("covered") / F.col("item_words")).alias("share"), F.when(same, 1).otherwise(0).alias("exact"),
-        raw.alias("form"), (-F.col("diagonal")).alias("order"),
+        raw.alias("form"), (-F.col("place")).alias("order"),
     )
     return (
-        runs.filter((F.col("covered") >= F.ceil(F.col("item_words") * least_share)) & (F.size(keys) == F.size("slots")))
-        .groupBy("doc_id", "item_id", "item_key")
-        .agg(F.max_by(F.struct("covered", "item_words", F.col("diagonal").alias("place"), F.array_sort("slots").alias("slots"), same.alias("exact")), rank).alias("best"))
+        runs.groupBy(*same_item)
+        .agg(F.max_by(F.struct("covered", "item_words", "place", "slots", same.alias("exact")), rank).alias("best"))
         .select(
             "doc_id", "item_id", F.when(F.col("best.exact"), "exact").otherwise("reparameterised").alias("kind"),
             "best.covered", "best.item_words", "best.place", "best.slots",

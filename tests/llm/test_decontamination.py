@@ -102,5 +102,30 @@ def test_names_anywhere(spark):
         (0, 0): "reparameterised", (1, 0): "reparameterised", (2, 1): "exact", (3, 1): "exact",
         (4, 1): "reparameterised", (5, 2): "exact", (6, 2): "reparameterised",
     }
-    swapped = apples.replace("Anna", "Tom")
-    assert not found(spark, [apples.replace("Ben", "Max")], [swapped])
+
+
+def test_words_put_in_and_left_out(spark):
+    words = [f"{a}{b}" for a in ("river", "stone", "cloud") for b in "abcdefghij"]
+    more = [*words[:10], "really", *words[10:20], "truly", *words[20:]]
+    less = [*words[:9], *words[10:19], *words[20:]]
+    far = [*words[:10], *["filler"] * 9, *words[10:20], *["filler"] * 9, *words[20:]]
+    turned = [*words[20:], *words[10:20], *words[:10]]
+    counted = "Each of the farmers sold 25 baskets to the market and took 40 euros home for his children there"
+    spelt = counted.replace("25", "twenty five").replace("40", "thirty-two").replace("children", "own children")
+    long = "filler " * 1000
+    texts = [" ".join(t) for t in (more, less, far, turned)] + [spelt, long + " ".join(more) + " " + long, f"{long} {' '.join(more)}"]
+    got = found(spark, texts, [" ".join(words), counted])
+    assert {k: (r.kind, r.covered) for k, r in got.items()} == {
+        (0, 0): ("exact", 30), (1, 0): ("exact", 28), (4, 1): ("reparameterised", 16), (5, 0): ("exact", 30), (6, 0): ("exact", 30),
+    }
+    assert {(s.item, s.document) for s in got[4, 1].slots} == {("25", "twenty five"), ("40 euros", "thirty-two euros")}
+    assert got[5, 0].place == got[6, 0].place == 1000
+
+
+def test_number_words():
+    def values(text):
+        t = Templates()
+        codes, slots, starts, ends, rows = t.of(text)
+        return [t.value(rows[a:b]) for s, a, b in zip(slots, starts, ends) if s]
+
+    assert values("twenty five km, two, three or 5 million at six. Seven go") == ["twenty five km", "two", "three", "5 million", "six", "seven"]
