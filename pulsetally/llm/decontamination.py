@@ -25,8 +25,9 @@ Runs are looked for in overlapping stretches of a document whose length follows
 item's, so no group is unbounded, and a window that very many documents share meets the
 benchmark's side of the join only.
 
-Null and empty texts and items have no windows. Null document ids are compared as any
-id; rows with equal ids are one document. An empty table on either side gives no rows.
+Null and empty texts and items have no windows. Every row is
+judged by its own text: null and repeated ids are told apart by a digest of the text, and
+rows that agree in both are one document. An empty table on either side gives no rows.
 Extra columns are ignored.
 """
 
@@ -38,7 +39,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsetally.llm.common import bit_table, hash64, in_table, slices
@@ -367,8 +368,20 @@ def contaminated(
     ``covered`` counts the item's words inside matched windows, at least ``least_share``
     of ``item_words``; ``place`` is the word of the document where the item starts;
     ``slots`` maps the item's values to the document's. Words are those of the template,
-    or where only the raw words match, these, without slots.
+    or where only the raw words match, these, without slots. Rows with equal ids and
+    other texts have rows of their own.
     """
+    return _contaminated(documents, items, id_column, text_column, least_share).drop("digest")
+
+
+def _digest(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _contaminated(
+    documents: DataFrame, items: DataFrame, id_column: str, text_column: str, least_share: float
+) -> DataFrame:
+    """The rows of ``contaminated``, and the digest of each document's text."""
     wanted = item_windows(items, least_share=least_share).cache()
     widths = sorted(map(tuple, wanted.select("form", "width", "whole").distinct().collect()))
     sent = documents.sparkSession.sparkContext.broadcast(bit_table(wanted))
@@ -379,7 +392,7 @@ def contaminated(
         bits, templates = sent.value, Templates()
 
         for batch in slices(batches):
-            rows, ids = [], batch.column(0).to_pylist()
+            rows, ids, digests = [], batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for numbers, texts in _parts(t.as_py() for t in batch.column(1)):
                 chunks, forms = templates.read(texts)
                 of_form = {form: Windows(form, forms[form]) for form in {w[0] for w in widths}}
@@ -391,17 +404,19 @@ def contaminated(
                         text = windows.texts[place]
                         values = _values(templates, chunks, windows, place, width)
                         at = place - int(np.searchsorted(windows.texts, text))
-                        rows.append((ids[numbers[text]], at, code, values))
+                        rows.append((ids[numbers[text]], digests[numbers[text]], at, code, values))
             if rows:
                 columns = list(zip(*rows, strict=True))
-                kinds = [doc_kind or batch.column(0).type, pa.int64(), pa.int64(), pa.list_(pa.string())]
+                kinds = [doc_kind or batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                    ["doc_id", "place", "hash", "values"],
+                    ["doc_id", "digest", "place", "hash", "values"],
                 )
 
-    hits = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
-        search, f"doc_id {'long' if doc_kind else kind}, place long, hash long, `values` array<string>"
+    hits = documents.select(
+        F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), _digest(F.col(text_column)).alias("digest")
+    ).mapInArrow(
+        search, f"doc_id {'long' if doc_kind else kind}, digest long, place long, hash long, `values` array<string>"
     )
     pairs = F.transform(
         F.arrays_zip("item_values", "values"),
@@ -409,7 +424,7 @@ def contaminated(
     )
     span = SPAN * (F.col("item_words") + WINDOW)
     cell = F.floor(F.col("place") / span)
-    same_item = ["doc_id", "item_id", "item_key"]
+    same_item = ["doc_id", "digest", "item_id", "item_key"]
     groups = (
         hits.join(wanted, "hash")
         .withColumn("block", F.explode(F.array(cell, cell + 1)))
@@ -452,14 +467,21 @@ def contaminated(
         runs.groupBy(*same_item)
         .agg(F.max_by(F.struct("covered", "item_words", "place", "slots", same.alias("exact")), rank).alias("best"))
         .select(
-            "doc_id", "item_id", F.when(F.col("best.exact"), "exact").otherwise("reparameterised").alias("kind"),
+            "doc_id", "digest", "item_id", F.when(F.col("best.exact"), "exact").otherwise("reparameterised").alias("kind"),
             "best.covered", "best.item_words", "best.place", "best.slots",
         )
     )
 
 
-def drop_contaminated(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``documents`` without those that hold an item."""
-    found = contaminated(documents, items, **options).select("doc_id").distinct()
-    column = options.get("id_column", "doc_id")
-    return documents.join(found, documents[column].eqNullSafe(found["doc_id"]), "left_anti")
+def drop_contaminated(
+    documents: DataFrame,
+    items: DataFrame,
+    *,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    least_share: float = 0.5,
+) -> DataFrame:
+    """``documents`` without the rows that hold an item."""
+    found = _contaminated(documents, items, id_column, text_column, least_share).select("doc_id", "digest").distinct()
+    same = documents[id_column].eqNullSafe(found["doc_id"]) & (_digest(documents[text_column]) == found["digest"])
+    return documents.join(found, same, "left_anti")

@@ -129,3 +129,14 @@ def test_number_words():
         return [t.value(rows[a:b]) for s, a, b in zip(slots, starts, ends) if s]
 
     assert values("twenty five km, two, three or 5 million at six. Seven go") == ["twenty five km", "two", "three", "5 million", "six", "seven"]
+
+
+def test_rows_without_an_id_or_with_the_same(spark):
+    other = ITEM.replace("120", "87")
+    clean = "nothing of the kind is in here, only some plain words that follow each other"
+    for key in (None, 7):
+        rows = spark.createDataFrame([(key, t) for t in (ITEM, other, clean, clean + " twice", None)], "doc_id long, text string")
+        got = contaminated(rows, items(spark, [ITEM])).collect()
+        assert sorted(r.kind for r in got) == ["exact", "reparameterised"]
+        kept = [r.text for r in drop_contaminated(rows, items(spark, [ITEM])).collect()]
+        assert sorted(kept, key=str) == [None, clean, clean + " twice"]
