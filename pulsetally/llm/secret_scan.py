@@ -5,8 +5,9 @@ every candidate, a run of at least ``WINDOW`` characters of key material, a wind
 slides by one character; its symbol counts change by one in and one out, and with
 them the Shannon entropy. A window of one character class (decimal, hexadecimal,
 lower or upper letters with digits, mixed) is high above that class's threshold.
-Overlapping high windows join to one span; the allow-list (patterns and exact
-values) suppresses spans that are known not to be secrets. Base spans stay.
+Overlapping high windows join to one span. A span is suppressed if it is an exact value
+of the allow-list, or if a pattern of it matches every part (between ``/``, ``.`` and
+``=``) that the span touches: one unknown part keeps the whole span. Base spans stay.
 
 Runs are found on bytes with numpy, so prose costs a table lookup per byte.
 Everything happens in the task that reads the text: no shuffle, memory of one batch.
@@ -49,10 +50,10 @@ CLASSES = (
     ("one case", ("[a-z0-9]+", "[A-Z0-9]+"), 3.5),
     ("mixed", (), 3.8),
 )
-#: Spans of these shapes are not secrets: UUIDs, dotted or slashed words, ranges of words and years, rulers.
+#: Parts of these shapes are not secrets: UUIDs, words of one case or capitalised, also joined or with years, rulers.
 ALLOW = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"/*[A-Za-z]+\d{0,4}([./_=-]+[A-Za-z]+\d{0,4})*[./_=-]*\d{0,4}[./_=-]*",
+    r"/*([a-z]+|[A-Z]+|[A-Z][a-z]+)\d{0,4}([./_=-]+([a-z]+|[A-Z]+|[A-Z][a-z]+)\d{0,4})*[./_=-]*\d{0,4}[./_=-]*",
     r"(?i).*(example|placeholder|changeme|your[_-]?key|x{6}|0{8}|1234567).*",
     r"[./_=+-]+",
 )
@@ -60,6 +61,7 @@ SPANS = "array<struct<kind:string,start:long,end:long,entropy:double>>"
 
 _RUN = np.zeros(256, bool)
 _RUN[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-", np.uint8)] = True
+_PARTS, _PIECES = re.compile(r"[/.=]+"), re.compile(r"[_+-]+")
 _NLOGN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
@@ -78,7 +80,7 @@ def _classes_at(candidate: str) -> list[float]:
 
 def entropy_spans(candidate: str, allow: re.Pattern, values: frozenset[str]) -> Iterator[tuple[int, int, float]]:
     """(start, end, highest entropy) of the joined high windows that are not allowed."""
-    if len(candidate) < WINDOW or candidate in values or allow.fullmatch(candidate):
+    if len(candidate) < WINDOW or candidate in values:
         return
     limits = _classes_at(candidate)
     counts: dict[str, int] = {}
@@ -110,11 +112,23 @@ def entropy_spans(candidate: str, allow: re.Pattern, values: frozenset[str]) ->
 
 
 def _kept(candidate, start, end, most, allow, values):
-    part = candidate[start:end]
-    if part not in values and not allow.fullmatch(part):
+    first = max(candidate.rfind(mark, 0, start) for mark in "/.=") + 1
+    last = min((at for mark in "/.=" if (at := candidate.find(mark, end)) >= 0), default=len(candidate))
+    parts = [p for p in _PARTS.split(candidate[first:last]) if p]
+    if parts and len(parts[-1]) <= 4 and parts[-1].isdigit() and not _PARTS.sub("", candidate[last:]):
+        parts.pop()
+    if candidate[start:end] not in values and not all(_allowed(p, allow, values) for p in parts):
         yield start, end, round(most, 6)
 
 
+def _allowed(part, allow, values):
+    """Whether the list allows the part, and every piece of it that is as long as a window."""
+    return part in values or (
+        allow.fullmatch(part) is not None
+        and all(allow.fullmatch(p) for p in _PIECES.split(part) if WINDOW <= len(p) < len(part))
+    )
+
+
 def find_secrets(text: str, allow: re.Pattern, values: frozenset[str]) -> list[tuple[str, int, int, float | None]]:
     """(kind, start, end, entropy) by start, then kind in the order of ``KINDS``."""
     found: list[tuple[int, int, int, float | None]] = []
