@@ -1,21 +1,17 @@
-"""Find licence texts by MinHash bands and exact containment, with DataFrame functions only.
+"""Find licence texts by anchor words and exact containment, with DataFrame functions only.
 
-Templates are cut into pieces of at most ``PIECE`` words; the shingles of a piece are its
-pairs of neighbouring words. Overlapping windows of a document have the lengths of the
-pieces. ``BANDS`` bands of one MinHash each retrieve pieces: a window whose Jaccard
-similarity with a piece is s shares a band with probability 1 - (1 - s) ** BANDS, which
-is 0.999998 at s = 2/3, the least a window with 80 % of the shingles can have. Every
-retrieved pair is then compared exactly: the share of the piece's shingles in the window.
+The shingles of a template are its pairs of neighbouring words. A template is reported
+for a document if a window of the template's length, shorter at the text's end, holds the
+share ``contained`` of its shingles, in any order.
 
-Windows are only made where a match can be. A match lacks at most
-``slack = (1 - contained) * shingles`` shingles of its piece, so it holds one of the words
-whose loss would take more: the piece's anchors, its longest words. An anchor lies at
-its place in the piece, or as far from it as ``slack`` allows. Windows away from every
-anchor can't match, so this drops nothing.
+Windows are only made where a match can be. A match lacks at most ``slack =
+(1 - contained) * shingles`` shingles, so it holds one of the words whose loss would take
+more: the template's anchors, its longest words. Around an anchor, the words that any
+window over it can reach must hold enough shingles; then every window over it is compared.
+This drops nothing.
 
-A template is reported for a document if the best windows of its pieces hold the share
-``contained`` of its shingles. Where windows of several pieces match at one anchor, the
-best ones count.
+Where windows of several templates match at one anchor, the best ones count. For that,
+the anchors of one template are looked up for every template that has these words.
 
 Null and empty texts match nothing. Rows with equal ids are scanned apart and reported
 together; null ids are reported as null. Templates of fewer than two words match nothing.
@@ -32,7 +28,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PIECE, BANDS = 12, 12
 _BREAK = r"[^\p{L}\p{N}]+"
 
 # Short notices of common licences.
@@ -65,48 +60,32 @@ NOTICES = (
 )
 
 
-def _pieces(templates: Iterable[tuple[str, str]], contained: float) -> tuple[list[tuple], list[tuple]]:
-    """Pieces (piece, template, license, words, of, slack) and anchors (word, length, place, slack)."""
-    pieces, anchors = [], set()
+def _rows(templates: Iterable[tuple[str, str]], contained: float) -> tuple[list[tuple], list[tuple]]:
+    """Templates (template, license, words, least) and anchors (word, template)."""
+    rows, names = [], set()
     for number, (license_, text) in enumerate(templates):
         words = [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
         if len(words) < 2:
             continue
-        parts = -(-len(words) // PIECE)
-        edges = [len(words) * i // parts for i in range(parts + 1)]
-        whole = sum(len(set(zip(p, p[1:], strict=False))) for p in (words[a:b] for a, b in zip(edges, edges[1:], strict=False)))
-        for a, b in zip(edges, edges[1:], strict=False):
-            part = words[a:b]
-            n = len(set(zip(part, part[1:], strict=False)))
-            slack = n - math.ceil(round(contained * n, 9))
-            lost: set[int] = set()
-            for word in sorted(set(part), key=lambda w: (-len(w), w)):
-                places = [i for i, w in enumerate(part) if w == word]
-                lost |= {j for i in places for j in (i - 1, i) if 0 <= j < len(part) - 1}
-                anchors |= {(word, len(part), i, slack) for i in places}
-                if len(lost) > slack:
-                    break
-            pieces.append((len(pieces), number, license_, part, whole, slack))
-    return pieces, sorted(anchors)
+        pairs = list(zip(words, words[1:], strict=False))
+        n = len(set(pairs))
+        least = max(1, math.ceil(round(contained * n, 9)))
+        lost: set[tuple[str, str]] = set()
+        for word in sorted(set(words), key=lambda w: (-len(w), w)):
+            lost |= {pair for pair in pairs if word in pair}
+            names.add(word)
+            if len(lost) > n - least:
+                break
+        rows.append((number, license_, words, least))
+    return rows, sorted((word, row[0]) for row in rows for word in names & set(row[2]))
 
 
 def _shingles(words: Column) -> Column:
-    """Hashes of the pairs of neighbouring words, distinct."""
-    pairs = F.transform(
+    """Hashes of the pairs of neighbouring words, in order."""
+    return F.transform(
         F.sequence(F.lit(1), F.size(words) - 1),
         lambda i: F.xxhash64(F.element_at(words, i.cast("int")), F.element_at(words, (i + 1).cast("int"))),
     )
-    return F.array_distinct(pairs)
-
-
-def _bands(shingles: Column) -> Column:
-    """The smallest hash of every band, hashed with the band's number."""
-
-    def band(k: int) -> Column:
-        number = F.lit(k)
-        return F.xxhash64(number, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, number))))
-
-    return F.array(*map(band, range(BANDS)))
 
 
 def scan_licenses(
@@ -120,25 +99,26 @@ def scan_licenses(
     """Rows (doc_id, license, containment, place): the licences of every document.
 
     ``containment`` is the share of the template's shingles found, ``place`` the word of
-    the document at which its first window starts.
+    the document at which the first of its best windows starts.
     """
     spark: SparkSession = documents.sparkSession
-    pieces, anchors = _pieces(templates, contained)
+    rows, anchors = _rows(templates, contained)
     kind = documents.schema[id_column].dataType.simpleString()
-    if not pieces:
+    if not rows:
         return spark.createDataFrame([], f"doc_id {kind}, license string, containment double, place int")
-    piece_rows = spark.createDataFrame(
-        pieces, "piece int, template int, license string, words array<string>, of int, slack int"
-    ).select("piece", "template", "license", "of", F.size("words").alias("length"), _shingles(F.col("words")).alias("own"))
-    piece_bands = piece_rows.select("piece", "length", F.explode(_bands(F.col("own"))).alias("band"))
-    anchor_rows = spark.createDataFrame(anchors, "word string, length int, offset int, slack int")
+    template_rows = spark.createDataFrame(
+        rows, "template int, license string, words array<string>, least int"
+    ).select("template", "license", "least", F.size("words").alias("length"), F.array_distinct(_shingles(F.col("words"))).alias("own"))
+    anchor_rows = F.broadcast(
+        spark.createDataFrame(anchors, "word string, template int").join(template_rows, "template")
+    )
 
     names = F.array(*(F.lit(w) for w in sorted({a[0] for a in anchors})))
-    reach = PIECE + max(a[3] for a in anchors)
+    reach = max(len(row[2]) for row in rows) - 1
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_column), F.lit(""))), _BREAK), lambda w: w != "")
     found = documents.select(F.col(id_column).alias("doc_id"), words.alias("words")).filter(
-        F.arrays_overlap("words", names)
-    )
+        (F.size("words") > 1) & F.arrays_overlap("words", names)
+    ).select("doc_id", "words", _shingles(F.col("words")).alias("pairs"))
     places = F.filter(
         F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(names, F.get("words", i.cast("int")))
     )
@@ -151,38 +131,31 @@ def scan_licenses(
                     i.alias("at"),
                     F.get("words", i).alias("word"),
                     F.greatest(i - reach, F.lit(0)).alias("first"),
-                    F.slice("words", F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1).alias("near"),
+                    F.slice("pairs", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach).alias("near"),
                 ),
             )
         ).alias("hit"),
     ).select("doc_id", "hit.*")
-    start = F.col("at") - F.col("offset")
-    windows = (
-        hits.join(anchor_rows, "word")
-        .select("doc_id", "at", "first", "near", "length", F.explode(F.sequence(start - F.col("slack"), start + F.col("slack"))).alias("start"))
-        .filter((F.col("start") >= F.col("first")) & (F.col("start") - F.col("first") + F.col("length") <= F.size("near")))
-        .select("doc_id", "at", "start", "length", _shingles(F.slice("near", F.col("start") - F.col("first") + 1, F.col("length"))).alias("theirs"))
-    )
-    retrieved = (
-        windows.withColumn("band", F.explode(_bands(F.col("theirs"))))
-        .join(piece_bands, ["length", "band"])
-        .select("doc_id", "at", "start", "theirs", "piece")
-        .distinct()
-    )
-    held = F.size(F.array_intersect("own", "theirs"))
+
+    def held(start: Column, length: Column) -> Column:
+        """Shingles of the template among ``length`` pairs of the document from the word ``start`` on."""
+        return F.size(F.array_intersect("own", F.slice("near", start - F.col("first") + 1, length)))
+
+    start = F.greatest(F.col("at") - F.col("length") + 1, F.lit(0))
     best = Window.partitionBy("doc_id", "at")
     return (
-        retrieved.join(piece_rows, "piece")
-        .withColumn("held", held)
+        hits.join(anchor_rows, "word")
+        .filter(held(start, F.col("at") - start + F.col("length") - 1) >= F.col("least"))
+        .withColumn("start", F.explode(F.sequence(start, F.col("at"))))
+        .withColumn("held", held(F.col("start"), F.col("length") - 1))
+        .filter(F.col("held") >= F.col("least"))
         .withColumn("share", F.col("held") / F.size("own"))
-        .filter(F.col("share") >= contained)
+        .groupBy("doc_id", "at", "template", "license")
+        .agg(F.max(F.struct("share", "held", (-F.col("start")).alias("order"))).alias("top"))
+        .select("doc_id", "at", "license", "top.*")
         .withColumn("most", F.max(F.struct("share", "held")).over(best))
         .filter((F.col("share") == F.col("most.share")) & (F.col("held") == F.col("most.held")))
-        .groupBy("doc_id", "template", "license", "of", "piece")
-        .agg(F.max("held").alias("held"), F.min("start").alias("place"))
-        .groupBy("doc_id", "template", "license", "of")
-        .agg((F.sum("held") / F.first("of")).alias("containment"), F.min("place").alias("place"))
-        .filter(F.col("containment") >= contained)
         .groupBy("doc_id", "license")
-        .agg(F.max("containment").alias("containment"), F.min("place").alias("place"))
+        .agg(F.max(F.struct("share", "order")).alias("top"))
+        .select("doc_id", "license", F.col("top.share").alias("containment"), (-F.col("top.order")).alias("place"))
     )

@@ -77,3 +77,13 @@ def test_odd_documents(spark):
     assert [(r.license, r.place) for r in scan_licenses(twice).collect()] == [("MIT", 5000)]
     null = odd_documents(spark).selectExpr("CAST(NULL AS long) AS doc_id", "'All rights reserved' AS text").limit(2)
     assert [r.doc_id for r in scan_licenses(null).collect()] == [None]
+
+
+def test_the_whole_template_decides(spark):
+    spread = PERMISSION.replace("obtaining", "receiving").replace("(the \"Software\")", "(the \"Program\")")
+    turned = "Under the GNU General Public License, version 3, this work is licensed"
+    cut = PERMISSION.rsplit(" ", 3)[0]
+    texts = [f"words before {spread} and after", f"words before {turned} as all know", f"words before {cut}", cut.split(" ", 2)[2]]
+    got = found(spark, texts)
+    assert set(got) == {(0, "MIT"), (1, "GPL-3.0"), (2, "MIT"), (3, "MIT")}
+    assert got[0, "MIT"].place == 2 and got[1, "GPL-3.0"].containment > 0.9
