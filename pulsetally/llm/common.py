@@ -30,6 +30,11 @@ def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def given_fields(frame: DataFrame, keep: list[str] | None, without: set[str]) -> list[str]:
+    """The columns to keep, all by default, less those whose names the result needs."""
+    return [c for c in (frame.columns if keep is None else keep) if c not in without]
+
+
 #: Rows that a Python task holds at once, so that memory follows single texts, not batches.
 SLICE = 500
 

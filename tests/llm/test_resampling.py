@@ -1,0 +1,106 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from support import documents, no_documents, odd_documents
+
+from pulsetally.llm.resampling import bucket_gains, ngram_hashes, ngram_pattern, resample
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda c: c[0].lower(), text or ""))
+
+
+def grams(text, longest=2):
+    w = words(text)
+    return [" ".join(w[i : i + n]) for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+
+
+def brute(rows, target, buckets=10_000, percent=25, least=20):
+    """(doc_id, n_features, weight, score, rank) of every row (doc_id, text)."""
+    def place(gram):
+        return zlib.crc32(gram.encode()) % buckets
+
+    s, t = Counter(), Counter()
+    for _, text in rows:
+        s.update(map(place, grams(text)))
+    for text in target:
+        t.update(map(place, grams(text)))
+    S, T = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1.0) * (S + buckets) / ((s[b] + 1.0) * (T + buckets)))) for b in range(buckets)]
+    out = []
+    for doc_id, text in rows:
+        g = [gain[place(x)] for x in grams(text)]
+        weight = math.floor(sum(g) / len(g)) if g else 0
+        h = int(hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out.append([doc_id, len(g), weight, score, None, len(words(text)) >= least])
+    chosen = sorted((r for r in out if r[5]), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, row in enumerate(chosen[: percent * len(chosen) // 100], 1):
+        row[4] = rank
+    return sorted((tuple(r[:5]) for r in out), key=repr)
+
+
+def got(frame):
+    return sorted((tuple(r) for r in frame.select("doc_id", "n_features", "weight", "score", "rank").collect()), key=repr)
+
+
+TEXT = st.text(st.one_of(st.sampled_from("aZ9 .-\té\x7f\x00_"), st.characters(codec="utf-8")), max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXT, st.integers(1, 4))
+def test_spans_are_those_of_all_ngrams(text, longest):
+    hashes, count = ngram_hashes(text.encode(), ngram_pattern(longest))
+    assert sorted(hashes.tolist()) == sorted(zlib.crc32(g.encode()) for g in grams(text, longest))
+    assert count == len(words(text))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(300)] + ["É", "naïve", "x-y", "A1"]
+    return [" ".join(rng.choice(vocabulary, rng.integers(0, 90)).tolist()) for _ in range(400)]
+
+
+def test_all_rows_against_brute_force(spark, corpus):
+    target = ["w1 w2 w3 w4 naïve", None, "w2 w2"]
+    benchmark = spark.createDataFrame([(i, t, "x") for i, t in enumerate(target)], "item_id long, text string, score string")
+    out = resample(documents(spark, corpus), benchmark)
+    assert got(out) == brute(list(enumerate(corpus)), target)
+    assert {"text", "lang", "source"} < set(out.columns)  # the drawn documents come with their texts
+    assert {r.doc_id: r.text for r in out.collect()} == dict(enumerate(corpus))
+
+
+def test_odd_documents(spark):
+    rows = [(r.doc_id, r.text) for r in odd_documents(spark).collect()]
+    benchmark = documents(spark, ["twice the same", ""])
+    out = resample(odd_documents(spark), benchmark, percent=100, least_words=5)
+    assert got(out) == brute(rows, ["twice the same", ""], percent=100, least=5)
+    assert out.columns.count("score") == 1 and out.schema["score"].dataType.simpleString() == "bigint"
+
+
+def test_draws_towards_the_target(spark):
+    near, far = "alpha beta gamma delta " * 10, "one two three four " * 10
+    texts = [near if i % 4 == 0 else far for i in range(400)]
+    drawn = resample(documents(spark, texts), documents(spark, [near] * 20)).filter("rank IS NOT NULL").collect()
+    assert len(drawn) == 100 and sum(r.text == near for r in drawn) > 90
+    assert sorted(r["rank"] for r in drawn) == list(range(1, 101))
+
+
+def test_equal_rows_are_drawn_one_by_one(spark):
+    text = "word " * 30
+    frame = documents(spark, [text] * 5).selectExpr("7L AS doc_id", "text")
+    out = resample(frame, documents(spark, []), percent=60).collect()
+    assert sorted(r["rank"] or 0 for r in out) == [0, 0, 1, 2, 3] and len({r.score for r in out}) == 1
+
+
+def test_empty_tables(spark):
+    assert resample(no_documents(spark), no_documents(spark)).count() == 0
+    assert bucket_gains(np.zeros(4, np.int64), np.zeros(4, np.int64)).tolist() == [0] * 4
