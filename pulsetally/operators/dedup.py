@@ -14,14 +14,15 @@ def dedup_events(events: DataFrame) -> DataFrame:
     On a stream the frame must have a watermark; copies are then recognised
     while they arrive within the watermark delay, which bounds the state, and the
     first to arrive stays. In a batch copies already meet on the map side; of copies
-    that differ the earliest stays, then the one whose JSON text is smallest, so a
-    repeated run keeps the same ones.
+    that differ the earliest stays (one without a time only if all are), then the one
+    whose JSON text is smallest, so a repeated run keeps the same ones.
     """
     sent_id = F.nullif(F.col("event_id"), F.lit(""))
     keyed = events.withColumn(KEY, F.coalesce(sent_id, F.uuid()))
     if events.isStreaming:
         return keyed.dropDuplicatesWithinWatermark([KEY]).drop(KEY)
     whole = F.struct(*events.columns)
-    order = F.struct(F.col("timestamp"), F.to_json(whole))
+    times = [F.col("timestamp").isNull(), F.col("timestamp")] if "timestamp" in events.columns else []
+    order = F.struct(*times, F.to_json(whole))
     kept = keyed.groupBy(KEY).agg(F.min_by(whole, order).alias("kept"))
     return kept.select("kept.*")

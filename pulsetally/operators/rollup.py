@@ -34,6 +34,13 @@ def metric_tables(
     """The tables by granularity name, from written intermediates."""
     counts = spark.read.parquet(f"{folder}/pane_counts")
     activity = spark.read.parquet(f"{folder}/user_activity")
+    return tables_from(counts, activity, dimensions)
+
+
+def tables_from(
+    counts: DataFrame, activity: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS
+) -> dict[str, DataFrame]:
+    """The tables from pane counts, which may be partial, and one row of activity a block and user."""
     sliding = panes.join_parts(
         panes.window_counts(counts, FIVE_MINUTES, ONE_MINUTE, dimensions),
         panes.window_users(activity, FIVE_MINUTES, ONE_MINUTE, dimensions),

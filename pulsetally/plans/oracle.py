@@ -169,6 +169,23 @@ def _with_totals(report: str, value: str, hours: int) -> str:
     FROM ({report}) AS report"""
 
 
+def _pipeline() -> str:
+    """Landed records and all tables of the valid ones, in common columns."""
+    tables = {"event_metrics_5min": SLIDING, "event_metrics_1hr": HOURLY, "event_metrics_1day": DAILY}
+    metric_rows = " UNION ALL ".join(
+        f"SELECT '{name}', window_start, event_type, platform, event_count, unique_users FROM ({sql})"
+        for name, sql in tables.items()
+    )
+    return f"""WITH given AS ({_events(False)}), e AS (SELECT * FROM given WHERE {VALID})
+    SELECT 'accepted' AS source, "timestamp" AS window_start, event_id AS name, platform,
+           CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS m FROM e
+    UNION ALL
+    SELECT 'rejected', NULL, event_id, 'event_type_unknown', 1, 0 FROM given WHERE NOT ({VALID})
+    UNION ALL {metric_rows}
+    UNION ALL
+    SELECT 'user_metrics_1hr', window_start, user_id, platform, total_events, views FROM ({_user_metrics()})"""
+
+
 def all_sql() -> dict[str, str]:
     """Query name -> SQL; reports over stored tables are the direct ones with their totals."""
     direct = _direct_sql()
@@ -295,6 +312,20 @@ def _direct_sql() -> dict[str, str]:
     SELECT 'id-' || user_id AS event_id, min("timestamp") AS "timestamp" FROM e GROUP BY user_id"""),
         "replay_after_new_checkpoint": daily,
         "compaction_in_steps": daily,
+        "compaction_other_dates": daily,
+        "append_after_build": daily,
+        "stream_after_build": _with(f"""
+    SELECT * FROM ({_user_metrics()})
+    WHERE window_start < (SELECT date_trunc('hour', max("timestamp")) - INTERVAL '1 hour' FROM e)"""),
+        "failed_batch_replayed": daily,
+        "stream_pipeline": _pipeline(),
+        "lake_compacted": _with(f"SELECT {FIELDS}, {CALENDAR} FROM e"),
+        "lake_compacted_files": _with(f"""
+    SELECT year, month, day, hour, CAST(1 AS BIGINT) AS files
+    FROM (SELECT DISTINCT {CALENDAR} FROM e)"""),
+        "stream_late_corrected": sliding,
+        "stream_event_metrics_1hr": hourly,
+        "stream_event_metrics_1day": daily,
         "lake_stream_and_backfill": _with(f"SELECT {FIELDS}, {CALENDAR} FROM e"),
         "landing_stream_and_backfill": _with(
             f"SELECT event_id, CASE WHEN {VALID} THEN '' ELSE 'event_type_unknown' END AS reasons FROM e",

@@ -17,7 +17,7 @@ from pulsetally.operators import batches, decode, metrics, rollup, validate
 from pulsetally.operators.decode import encode_events, parse_payload
 from pulsetally.operators.dedup import dedup_events
 from pulsetally.operators.projections import of_type, with_calendar
-from pulsetally.plans import landing, reports, tables
+from pulsetally.plans import landing, parts, reports, tables
 from pulsetally.schema import (
     METRIC_KEY,
     METRIC_SCHEMA,
@@ -29,11 +29,13 @@ from pulsetally.schema import (
 from pulsetally.session import pin_utc, shared_dir
 from pulsetally.sinks import lake as lake_sink
 from pulsetally.sinks import metrics as metric_sinks
+from pulsetally.sinks.micro import files_by_partition
 from pulsetally.sources import lake as lake_source
 from pulsetally.sources.folders import read_dates, read_parts
 from pulsetally.sources.event_tables import as_events, read_table, stream_table
 from pulsetally.sources.metric_tables import newest_per_key, pick_table, read_parquet
 from pulsetally.streaming import metrics as metric_streams
+from pulsetally.streaming import one_pass
 from pulsetally.streaming.start import start_file_query
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -572,6 +574,63 @@ def compaction_in_steps(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(read_dates(spark, path, METRIC_SCHEMA), *METRIC_FIELDS)
 
 
+@_query
+def compaction_other_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches merged one by one that hold different dates, the first half of the month last."""
+    batches, path = shared_dir(spark, "batches"), shared_dir(spark, "compacted")
+    table = metrics.event_metrics(_events(spark, folder), metrics.ONE_DAY)
+    write = metric_sinks.parquet_batches(batches, METRIC_SCHEMA)
+    early = F.dayofmonth("window_start") <= 15
+    for batch, part in enumerate((~early, early)):
+        write(table.where(part), batch)
+        step = spark.read.parquet(batches).where(F.col("batch_id") == batch)
+        metric_sinks.compact_batches(step, path, METRIC_SCHEMA, METRIC_KEY)
+    return _plain(read_dates(spark, path, METRIC_SCHEMA), *METRIC_FIELDS)
+
+
+@_query
+def append_after_build(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows appended to dates that were built before are read next to the built ones."""
+    path = shared_dir(spark, "built")
+    table = metrics.event_metrics(_events(spark, folder), metrics.ONE_DAY)
+    built, later = _halves(table)
+    metric_sinks.replace_table(built, path, METRIC_SCHEMA)
+    metric_sinks.append_table(later, path, METRIC_SCHEMA)
+    return _plain(read_dates(spark, path, METRIC_SCHEMA), *METRIC_FIELDS)
+
+
+@_query
+def stream_after_build(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream's windows of dates that were built from half of the events take their place."""
+    settings, path = _settings(spark), shared_dir(spark, "built")
+    half = _events(spark, folder).where(F.col("event_id").cast("bigint") % 2 == 0)
+    metric_sinks.replace_table(metrics.user_metrics(half), path, USER_METRIC_SCHEMA)
+    frame = metric_streams.user_metric_stream(_stream(spark, folder), settings)
+    metric_sinks.stream_user_metrics(frame, path, settings).awaitTermination()
+    last = _events(spark, folder).agg(F.date_trunc("hour", F.max("timestamp")).alias("last"))
+    rows = read_dates(spark, path, USER_METRIC_SCHEMA).join(F.broadcast(last))  # one row
+    return _plain(rows.where("window_start < last - INTERVAL 1 HOUR"), *USER_FIELDS)
+
+
+@_query
+def failed_batch_replayed(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch whose write fails is kept, the next one is written, and a replay adds the first."""
+    path, kept = shared_dir(spark, "table"), shared_dir(spark, "failed")
+    table = metrics.event_metrics(_events(spark, folder), metrics.ONE_DAY)
+    write = metric_sinks.parquet_batches(path, METRIC_SCHEMA)
+
+    def down(batch: DataFrame, batch_id: int) -> None:
+        if batch_id == 0:
+            raise OSError("the table's store is down")
+        write(batch, batch_id)
+
+    guarded = metric_sinks.guarded(down, "metrics", "keep", kept)
+    for batch_id, part in enumerate(_halves(table)):
+        guarded(part, batch_id)
+    metric_sinks.replay_failed(spark, kept, lambda run: write)
+    return _plain(newest_per_key(spark.read.parquet(path), METRIC_KEY), *METRIC_FIELDS)
+
+
 def _stream(spark: SparkSession, folder: str, map_types: bool = True) -> DataFrame:
     pin_utc(spark)
     return as_events(stream_table(spark, folder), map_types)
@@ -704,3 +763,96 @@ def tables_after_stream(spark: SparkSession, folder: str) -> DataFrame:
 
     tables.build_metric_tables(spark, read, path, datetime(2024, 1, 10), datetime(2024, 1, 20))
     return _plain(read_parquet(spark, table), *USER_FIELDS)
+
+
+# --- one pass over the records for all sinks ------------------------------------------
+
+
+def _one_pass(
+    spark: SparkSession, records: DataFrame, landing_path: str | None, parts_path: str | None
+) -> None:
+    one_pass.start_one_pass(records, _settings(spark), landing_path, parts_path).awaitTermination()
+
+
+def _landing_and_parts(spark: SparkSession) -> tuple[str, str]:
+    return shared_dir(spark, "landing"), shared_dir(spark, "parts")
+
+
+@_query
+def stream_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """One query lands records and keeps all tables: the rows of each, in common columns."""
+    pin_utc(spark)
+    landing_path, parts_path = _landing_and_parts(spark)
+    tables_path = shared_dir(spark, "tables")
+    _one_pass(spark, _records(_stream(spark, folder, False)), landing_path, parts_path)
+    parts.refresh_tables(spark, parts_path, tables_path)
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    accepted = landing.read_accepted(spark, landing_path).select(
+        F.lit("accepted").alias("source"), F.col("timestamp").alias("window_start"), F.col("event_id").alias("name"),
+        "platform", one.alias("n"), none.alias("m"),
+    )
+    rejected = landing.read_rejected(spark, landing_path).select(
+        F.lit("rejected"), F.lit(None).cast("timestamp"), F.col("record")["offset"], _reasons(), one, none
+    )
+    rows = accepted.union(rejected)
+    for name in METRIC_TABLES.values():
+        table = read_parquet(spark, f"{tables_path}/{name}")
+        rows = rows.union(table.select(F.lit(name), "window_start", "event_type", "platform", "event_count", "unique_users"))
+    users = read_parquet(spark, f"{tables_path}/{USER_METRIC_TABLE}")
+    return _plain(rows.union(users.select(F.lit(USER_METRIC_TABLE), "window_start", "user_id", "platform", "total_events", "views")))
+
+
+@_query
+def lake_compacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Streamed, packed, streamed again: every event once, and the files its hour has."""
+    pin_utc(spark)
+    path, _ = _landing_and_parts(spark)
+    first, second = _halves(_stream(spark, folder))
+    _one_pass(spark, _records(first), path, None)
+    one_pass.pack_landing(spark, path)
+    _one_pass(spark, _records(second), path, None)
+    fields = [*EVENT_FIELDS, "year", "month", "day", "hour"]
+    return _plain(landing.read_accepted(spark, path), *fields)
+
+
+@_query
+def lake_compacted_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of every hour after two streams and a pack."""
+    pin_utc(spark)
+    path, _ = _landing_and_parts(spark)
+    for half in _halves(_stream(spark, folder)):
+        _one_pass(spark, _records(half), path, None)
+    one_pass.pack_landing(spark, path)
+    return files_by_partition(spark, path, landing.LANDING_SCHEMA, landing.PARTITIONS).drop("accepted")
+
+
+@_query
+def stream_late_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the events come after the tables are built, a month late: their dates are built again."""
+    pin_utc(spark)
+    _, parts_path = _landing_and_parts(spark)
+    tables_path = shared_dir(spark, "tables")
+    for half in _halves(_stream(spark, folder)):
+        _one_pass(spark, _records(half), None, parts_path)
+        parts.refresh_tables(spark, parts_path, tables_path)
+    return _plain(read_parquet(spark, f"{tables_path}/{METRIC_TABLES['5min']}"), *METRIC_FIELDS)
+
+
+def _streamed_table(spark: SparkSession, folder: str, granularity: str) -> DataFrame:
+    pin_utc(spark)
+    _, parts_path = _landing_and_parts(spark)
+    for half in _halves(_stream(spark, folder)):
+        _one_pass(spark, _records(half), None, parts_path)
+    parts.pack_parts(spark, parts_path)
+    return _plain(parts.tables_of_parts(spark, parts_path)[METRIC_TABLES[granularity]], *METRIC_FIELDS)
+
+
+@_query
+def stream_event_metrics_1hr(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly metrics with exact users from the packed parts of two streams."""
+    return _streamed_table(spark, folder, "1hr")
+
+
+@_query
+def stream_event_metrics_1day(spark: SparkSession, folder: str) -> DataFrame:
+    return _streamed_table(spark, folder, "1day")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
 from typing import Literal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -21,10 +21,14 @@ from pulsetally.sources.folders import (
     BUILD,
     BUILT,
     VERSION,
+    days,
     existing,
+    finished,
     new_version,
     newest_builds,
     read_dates,
+    remove,
+    subfolders,
 )
 from pulsetally.sources.metric_tables import BATCH_ID, RUN, JdbcSettings, newest_per_key
 from pulsetally.streaming.start import start_file_query, start_query
@@ -33,6 +37,7 @@ log = logging.getLogger(__name__)
 
 WINDOW_DATE = "window_date"
 BatchWriter = Callable[[DataFrame, int], None]
+OnError = Literal["raise", "log", "keep"]
 
 
 def table_rows(metrics: DataFrame, schema: T.StructType) -> DataFrame:
@@ -42,7 +47,8 @@ def table_rows(metrics: DataFrame, schema: T.StructType) -> DataFrame:
 
 def append_table(metrics: DataFrame, path: str, schema: T.StructType) -> None:
     """Append a batch of metrics to a Parquet table, next to what streams write."""
-    write_partitioned(table_rows(metrics, schema), f"{path.rstrip('/')}/{BATCH}", (WINDOW_DATE,))
+    folder = f"{path.rstrip('/')}/{BATCH}/{VERSION}={new_version()}"
+    write_partitioned(table_rows(metrics, schema), folder, (WINDOW_DATE,))
 
 
 def replace_table(
@@ -51,30 +57,32 @@ def replace_table(
     schema: T.StructType,
     start: datetime | None = None,
     end: datetime | None = None,
+    dates: list[date] | None = None,
 ) -> None:
-    """Build dates of a table anew: those from ``start`` up to ``end``, and those the metrics hold.
+    """Build dates of a table anew: ``dates``, or those from ``start`` up to ``end``, and those the metrics hold.
 
-    A date in the range without rows becomes empty. Without bounds, all dates that were
-    built before are built again. Other dates are left. The build counts from the moment
-    its list of dates is written, so one that failed half-way changes nothing.
+    A date in the range without rows becomes empty. Without bounds and dates, all dates
+    that were built before are built again. Other dates are left. The build counts from
+    the moment its list of dates is written, so one that failed half-way changes nothing.
     """
     spark, path, version = metrics.sparkSession, path.rstrip("/"), new_version()
     folder = f"{path}/{BUILD}/{VERSION}={version}"
     write_partitioned(table_rows(metrics, schema), folder, (WINDOW_DATE,))
     dated = T.StructType([*schema.fields, T.StructField(WINDOW_DATE, T.DateType())])
     written = existing(spark, folder, dated)
-    dates = written.select(WINDOW_DATE)
-    if start is not None and end is not None and start < end:
-        days = F.explode(F.expr(f"sequence(DATE'{start:%Y-%m-%d}', DATE'{end:%Y-%m-%d}' - 1)"))
-        dates = dates.union(spark.range(1).select(days))
+    listed = written.select(WINDOW_DATE)
+    if dates is None and start is not None and end is not None:
+        dates = days(start, end)
+    if dates is not None:
+        listed = listed.union(spark.createDataFrame([(d,) for d in dates], f"{WINDOW_DATE} date"))
     else:
         before = newest_builds(spark, path).select(WINDOW_DATE)
         if start is not None:
             before = before.where(F.col(WINDOW_DATE) >= F.lit(start.date()))
         if end is not None:
             before = before.where(F.col(WINDOW_DATE) < F.lit(end.date()))
-        dates = dates.union(before)
-    dates.distinct().coalesce(1).write.parquet(f"{path}/{BUILT}/{VERSION}={version}")
+        listed = listed.union(before)
+    listed.distinct().coalesce(1).write.parquet(f"{path}/{BUILT}/{VERSION}={version}")
 
 
 def parquet_batches(path: str, schema: T.StructType, run: str = "0") -> BatchWriter:
@@ -98,15 +106,16 @@ def compact_batches(
     """Merge batch folders into a table by date, newest run and batch per key.
 
     Rows the table has for the same dates stay unless a batch has their key, so
-    folders can be merged in several steps.
+    folders can be merged in several steps; other dates are left as they are.
     """
     spark = batches.sparkSession
-    dates = batches.select(F.to_date("window_start").alias(WINDOW_DATE)).distinct()
-    stored = read_dates(spark, path, schema).join(dates, WINDOW_DATE, "left_semi")
+    held = batches.select(F.to_date("window_start").alias(WINDOW_DATE)).distinct()
+    dates = [row[WINDOW_DATE] for row in held.collect()]
+    stored = read_dates(spark, path, schema).where(F.col(WINDOW_DATE).isin(dates))
     version = F.struct(F.col(RUN).cast("string").alias("run"), F.col(BATCH_ID).cast("bigint").alias("batch"))
     new = as_table(newest_per_key(batches.withColumn("__version", version), key, "__version"), schema)
     kept = as_table(stored, schema).join(new.select(*key), list(key), "left_anti")
-    replace_table(new.unionByName(kept), path, schema)
+    replace_table(new.unionByName(kept), path, schema, dates=dates)
 
 
 def jdbc_batches(jdbc: JdbcSettings, table: str, schema: T.StructType, run: str = "0") -> BatchWriter:
@@ -134,24 +143,49 @@ def jdbc_write_options(jdbc: JdbcSettings, table: str) -> dict[str, str]:
 
 
 def guarded(
-    write: BatchWriter, name: str, on_error: Literal["raise", "log"] = "raise"
+    write: BatchWriter, name: str, on_error: OnError = "raise", failed_path: str | None = None, run: str = "0"
 ) -> BatchWriter:
     """Error policy: ``raise`` stops the query so that the batch is tried again.
 
-    ``log`` goes on without the failed batch, which loses its rows. The batch
-    is still computed to its end, because the query's state must move on.
+    ``log`` goes on without the failed batch, which loses its rows. The batch is still
+    computed to its end, because the query's state must move on. ``keep`` goes on too,
+    and stores the batch's rows below ``failed_path`` by run and batch, for
+    ``replay_failed``; if that fails as well, the query stops.
     """
     if on_error == "raise":
         return write
+    if on_error == "keep" and not failed_path:
+        raise ValueError("on_error='keep' needs a folder for failed batches")
 
-    def write_or_log(batch: DataFrame, batch_id: int) -> None:
+    def write_or_go_on(batch: DataFrame, batch_id: int) -> None:
         try:
             write(batch, batch_id)
         except Exception:
             log.exception("batch %s of %s was not written", batch_id, name)
-            batch.write.format("noop").mode("overwrite").save()
+            if on_error == "keep":
+                batch.write.mode("overwrite").parquet(f"{failed_path}/{RUN}={run}/{BATCH_ID}={batch_id}")
+            else:
+                batch.write.format("noop").mode("overwrite").save()
+
+    return write_or_go_on
+
 
-    return write_or_log
+def replay_failed(spark: SparkSession, failed_path: str, writer_for: Callable[[str], BatchWriter]) -> list[tuple[str, int]]:
+    """Write the kept batches with the writer of their run; returns (run, batch) of each.
+
+    A batch's folder goes once its write has ended, so a replay that fails can be repeated.
+    """
+    done = []
+    for folder in subfolders(spark, failed_path):
+        run = folder.rpartition(f"{RUN}=")[2]
+        for kept in subfolders(spark, folder):
+            batch_id = int(kept.rpartition("=")[2])
+            if not finished(spark, kept):
+                continue
+            writer_for(run)(spark.read.parquet(kept), batch_id)
+            remove(spark, kept)
+            done.append((run, batch_id))
+    return done
 
 
 def stream_batches(
@@ -160,10 +194,12 @@ def stream_batches(
     settings: StreamSettings,
     name: str,
     output_mode: Literal["append", "update"] = "append",
-    on_error: Literal["raise", "log"] = "raise",
+    on_error: OnError = "raise",
+    failed_path: str | None = None,
+    run: str = "0",
 ) -> StreamingQuery:
     """Hand every micro-batch of a metric stream to a writer."""
-    writer = metrics.writeStream.foreachBatch(guarded(write, name, on_error))
+    writer = metrics.writeStream.foreachBatch(guarded(write, name, on_error, failed_path, run))
     return start_query(metrics, writer.outputMode(output_mode), settings, name)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Literal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +31,15 @@ def start_jobs(
     metrics_path: str | None = None,
     writer_for: WriterFor | None = None,
     uniques: Uniques = "approx",
-    on_error: Literal["raise", "log"] = "raise",
+    on_error: metric_sinks.OnError = "raise",
+    failed_path: str | None = None,
 ) -> list[StreamingQuery]:
     """Start the lake query and both metric queries, as the settings switch them on.
 
     Events without a time fit no hour of the lake; they go to its ``rejects`` folder.
     Metrics go to Parquet tables below ``metrics_path``, or to the micro-batch
-    writers which ``writer_for`` gives.
+    writers which ``writer_for`` gives. ``on_error`` and ``failed_path``, the folder for the
+    batches that "keep" stores, are those of ``sinks.metrics.guarded``.
     """
     queries = []
     if settings.enable_lake and lake_path:
@@ -57,7 +58,10 @@ def start_jobs(
         if writer_for is not None:
             run = run_of(frame.sparkSession, settings.checkpoint(name))
             writer = writer_for(table, schema, run)
-            query = metric_sinks.stream_batches(frame, writer, settings, name, on_error=on_error)
+            kept = f"{failed_path}/{table}" if failed_path else None
+            query = metric_sinks.stream_batches(
+                frame, writer, settings, name, on_error=on_error, failed_path=kept, run=run
+            )
         elif metrics_path:
             path = f"{metrics_path}/{table}"
             query = metric_sinks.stream_table(frame, path, schema, settings, name)
