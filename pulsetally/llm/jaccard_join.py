@@ -3,22 +3,24 @@
 1. One pass makes a row for every document: the number of shingles, a 64-bit digest of
    the set (the node: equal sets are one node) and an odd sketch. The same pass counts
    shingles inside chunks; sums of these counts give the frequent class.
-2. Shingles are ordered rare class first, then by hash. Two sets that link share a
-   shingle in their prefixes. Rare prefix shingles are indexed singly. If the rare ones
-   do not fill a prefix, it is extended by one, and pairs of its frequent shingles are
-   indexed (single frequent ones for large sets, where pairs would be too many). A
-   document emits keys once a task for each node, so copies do not pile up.
-3. Keys with up to ``BUCKET`` nodes give their pairs that pass the size and the
-   positional filter. Larger ones give pairs with a few pivots only.
+2. Shingles are ordered rare class first (by hash), then the frequent by their counts. Two
+   sets that link share a shingle in their prefixes. Rare prefix shingles are indexed
+   singly. If the rare ones do not fill a prefix, it is extended by one, and pairs of its
+   frequent shingles are indexed (single frequent ones for large sets, where pairs would be
+   too many). A document emits keys once a task for each node, so copies do not pile up.
+3. At the first key that two sets share, all shingles before it are in one of them only.
+   So a key carries the number of these shingles, and the sum over both sets bounds the
+   symmetric difference. Keys with up to ``BUCKET`` nodes give their pairs that pass this
+   and the size filter. Larger ones give pairs with a few pivots only, the nodes with
+   the fewest shingles before the key.
 4. Pairs are checked against the sketches' bound of the symmetric difference, then
    against whole sets, of which only those needed are made again and moved.
-5. Links join to components. In keys with more than ``BUCKET`` nodes, nodes outside the
-   main component are compared with further pivots of it, as long as that finds links.
-   Those that remain are compared with all nodes of other components, so that no link
-   between components is lost.
+5. Links join to components. In keys with more than ``BUCKET`` nodes, those outside the
+   main component are compared with the nodes of other components by both filters and by
+   sketch, block against block, so that no link between components is lost. Only pairs
+   that pass are given out; large keys are dealt over several tasks.
 
-The classes, pivots and bounds only save work; the links do not depend on them. Work for
-a key is linear in its nodes, apart from nodes that remain outside its main component.
+The classes, pivots and bounds only save work; the links do not depend on them.
 
 Null or empty texts have no shingles and link to nothing. Rows with a null id get no
 component and take no part in links. Rows with equal ids are documents of their own,
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsetally.llm.common import bit_table, hash64, in_table, slices, stash
@@ -46,8 +48,8 @@ CHUNK, REPORTED = 2_000_000, 4
 PAIRED = 128
 #: Nodes of a key that are compared with each other; keys with more use pivots.
 BUCKET, PIVOTS = 16, 2
-#: Pivots of a main component for the nodes outside it, and rounds of new ones.
-FURTHER, ROUNDS = 16, 1
+#: Nodes outside a main component, and nodes of a key, that are compared in one group; pairs of them at once.
+OUTSIDE, STREAMED, PAIRS = 1024, 8192, 1 << 16
 #: Sets a task remembers to have emitted.
 SEEN_MAX = 1_000_000
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -62,8 +64,8 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def _sets(documents: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node, odd) of every document, and (token, count) of chunk counts."""
-    docs = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("odd", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
+    """(doc_id, mark, n, node, odd) of every document, and (token, count) of chunk counts."""
+    docs = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("odd", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, waiting = Shingler(size), [], 0
@@ -74,14 +76,14 @@ def _sets(documents: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
             counts = np.diff(np.concatenate((starts, [len(tokens)])))
             many = counts >= REPORTED
             none = [None] * int(many.sum())
-            return _batch({"doc_id": none, "n": none, "node": none, "odd": none, "token": tokens[starts][many].view(np.int64), "count": counts[many]}, docs)
+            return _batch({"doc_id": none, "mark": none, "n": none, "node": none, "odd": none, "token": tokens[starts][many].view(np.int64), "count": counts[many]}, docs)
 
         for batch in slices(batches):
             sets = [shingler.of(t.as_py()) for t in batch.column(1)]
             none = [None] * len(sets)
             yield _batch(
                 {
-                    "doc_id": batch.column(0), "n": [len(s) for s in sets],
+                    "doc_id": batch.column(0), "mark": batch.column(2), "n": [len(s) for s in sets],
                     "node": [_node(s) if len(s) else None for s in sets],
                     "odd": [odd_sketch(s) for s in sets], "token": none, "count": none,
                 },
@@ -97,29 +99,36 @@ def _sets(documents: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         if held:
             yield reported()
 
+    marked = documents.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     found = stash(
-        documents.mapInArrow(scan, "doc_id long, n long, node long, odd binary, token long, count long"), "shingle-sets"
+        marked.mapInArrow(scan, "doc_id long, mark long, n long, node long, odd binary, token long, count long"), "shingle-sets"
     )
     return (
-        found.filter("n IS NOT NULL").select("doc_id", "n", "node", "odd"),
+        found.filter("n IS NOT NULL").select("doc_id", "mark", "n", "node", "odd"),
         found.filter("token IS NOT NULL").select("token", "count"),
     )
 
 
-def _ordered(shingles: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rare and the frequent shingles, each by hash."""
+def _ordered(shingles: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rare shingles by hash, and the frequent ones by rank."""
     if not len(frequent):
         return shingles, shingles[:0]
-    at = np.searchsorted(frequent, shingles)
-    is_frequent = frequent[np.minimum(at, len(frequent) - 1)] == shingles
-    return shingles[~is_frequent], shingles[is_frequent]
+    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+    is_frequent = frequent[at] == shingles
+    common = shingles[is_frequent]
+    return shingles[~is_frequent], common[np.argsort(ranks[at[is_frequent]])]
 
 
-def prefix_keys(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a set, and for each the place of its first shingle in the order."""
+def prefix_keys(
+    shingles: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set, and for each the number of other shingles before its last one in the order.
+
+    ``frequent`` are in order of hash, ``ranks`` their places by count.
+    """
     n = len(shingles)
     prefix = n + (-percent * n // 100) + 1  # n less the least overlap, plus one
-    rare, common = _ordered(shingles, frequent)
+    rare, common = _ordered(shingles, frequent, ranks)
     keys, places = [rare[:prefix]], [np.arange(min(prefix, len(rare)))]
     first = prefix - len(rare)
     if first > 0 and n > 1:
@@ -128,14 +137,14 @@ def prefix_keys(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> tup
             i, j = np.triu_indices(len(part), 1)
             i, j = i[i < first], j[i < first]
             keys.append((part[i] * _MIX) ^ (part[j] >> np.uint64(1)) ^ (part[j] << np.uint64(63)))
-            places.append(len(rare) + i)
+            places.append(len(rare) + j - 1)
         if n > PAIRED:
             keys.append(common[:first])
             places.append(len(rare) + np.arange(len(common[:first])))
     return np.concatenate(keys), np.concatenate(places)
 
 
-def _keys(documents: DataFrame, size: int, frequent: np.ndarray, percent: int) -> DataFrame:
+def _keys(documents: DataFrame, size: int, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
     """(key, node, n, place) of every document, each node once a task."""
     sent = documents.sparkSession.sparkContext.broadcast(frequent)
     schema = pa.schema([(c, pa.int64()) for c in ("key", "node", "n", "place")])
@@ -150,7 +159,7 @@ def _keys(documents: DataFrame, size: int, frequent: np.ndarray, percent: int) -
                     continue
                 if len(seen) < SEEN_MAX:
                     seen.add(node)
-                k, p = prefix_keys(shingles, sent.value, percent)
+                k, p = prefix_keys(shingles, *sent.value, percent)
                 keys.append(k)
                 places.append(p)
                 nodes.append(np.full(len(k), node))
@@ -168,10 +177,14 @@ def _keys(documents: DataFrame, size: int, frequent: np.ndarray, percent: int) -
 
 
 def may_link(n, place, other_n, other_place, percent: int):
-    """The size and positional filters, for numbers or arrays: whether the overlap can be enough."""
-    room = 1 + np.minimum(n - place, other_n - other_place) - 1
-    return (room * (100 + percent) >= percent * (n + other_n)) & (
-        np.minimum(n, other_n) * 100 >= percent * np.maximum(n, other_n)
+    """The filters by place and size, for numbers, arrays or columns.
+
+    At the first key of two sets the shingles before it are not shared, so the symmetric
+    difference is at least the sum of the places.
+    """
+    least, most = (F.least, F.greatest) if isinstance(n, Column) else (np.minimum, np.maximum)
+    return ((place + other_place) * (100 + percent) <= (100 - percent) * (n + other_n)) & (
+        least(n, other_n) * 100 >= percent * most(n, other_n)
     )
 
 
@@ -246,7 +259,7 @@ def _bucket_pairs(keys: DataFrame, percent: int) -> DataFrame:
 
     return (
         keys.repartition("key")
-        .sortWithinPartitions("key", "node")
+        .sortWithinPartitions("key", "place", "node")
         .mapInArrow(scan, "key long, a long, b long, n long, place long")
     )
 
@@ -309,49 +322,126 @@ def _linked(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, size: int,
 
 
 def _parted(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nodes of the large keys that lie in several components: (key, node, n, place, component, main, most)."""
+    """Nodes of the large keys that lie in several components: (key, node, n, place, component, main, most, total)."""
     own = large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = own.groupBy("key", "component").agg(F.count("*").alias("nodes"))
     main = (
         sizes.groupBy("key")
         .agg(
             F.max_by("component", F.struct("nodes", "component")).alias("main"),
-            F.max("nodes").alias("most"), F.count("*").alias("parts"),
+            F.max("nodes").alias("most"), F.sum("nodes").alias("total"), F.count("*").alias("parts"),
         )
         .filter("parts > 1")
     )
     return stash(own.join(main.drop("parts"), "key"), "parted-keys")
 
 
-def _outside(parted: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a node outside its key's main component with ``others`` of the key in other components."""
-    left = parted.filter("component <> main").select(
-        "key", *(F.col(c).alias(f"l_{c}") for c in ("node", "n", "place", "component"))
-    )
-    room = F.least(F.col("n") - F.col("place"), F.col("l_n") - F.col("l_place"))
-    return (
-        left.join(others, "key")
-        .filter(
-            (F.col("component") != F.col("l_component"))
-            & ((F.col("component") == F.col("main")) | (F.col("l_node") < F.col("node")))
-            & (room * (100 + percent) >= percent * (F.col("n") + F.col("l_n")))
-            & (F.least("n", "l_n") * 100 >= percent * F.greatest("n", "l_n"))
-        )
-        .select(F.col("l_node").alias("a"), F.col("node").alias("b"))
+def _outside(parted: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a node outside its key's main component and one of another component.
+
+    They pass the filters and the bound by their sketches. The nodes outside are dealt in
+    blocks of about ``OUTSIDE``, all nodes of the key in blocks of about ``STREAMED``; every
+    pair of blocks is a group of its own, in which the second block streams by.
+    """
+    rows = parted.join(nodes.select("node", "odd"), "node").select(
+        "key", "node", "n", "place", "component", (F.col("component") == F.col("main")).alias("inside"), "odd",
+        F.ceil((F.col("total") - F.col("most")) / OUTSIDE).cast("int").alias("lefts"),
+        F.ceil(F.col("total") / STREAMED).cast("int").alias("rights"),
     )
 
+    def dealt(column: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(column)).cast("int")
+
+    def every(column: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(column) - 1))
+
+    names = ["key", "left", "right", "second", "node", "n", "place", "component", "inside", "odd"]
+    first = rows.filter("NOT inside").withColumns({"left": dealt("lefts"), "right": every("rights"), "second": F.lit(False)})
+    second = rows.withColumns({"left": every("lefts"), "right": dealt("rights"), "second": F.lit(True)})
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in slices(batches):
+            ids = np.stack([batch.column(c).to_numpy() for c in ("key", "left", "right")], axis=1)
+            edges = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]).any(axis=1), [True])))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if tuple(ids[lo]) != group:
+                    group, held = tuple(ids[lo]), []
+                part = batch.slice(lo, hi - lo)
+                is_second = part.column("second").to_numpy(zero_copy_only=False)
+                at = int(np.searchsorted(is_second, True))
+                if at:
+                    held.append(_Block(part.slice(0, at)))
+                if at < part.num_rows:
+                    block = _Block(part.slice(at))
+                    for left in held:
+                        a, b = left.near(block, percent)
+                        if len(a):
+                            yield _batch({"a": a, "b": b}, schema)
 
-def _further_pivots(parted: DataFrame, seed: int) -> DataFrame:
-    """Some nodes of the main component of every key that has one of several nodes."""
-    order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(seed)), "node")
     return (
-        parted.filter("component = main AND most > 1")
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= FURTHER)
-        .drop("rank")
+        first.select(*names).unionByName(second.select(*names))
+        .repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "second", "place", "node")
+        .mapInArrow(compare, "a long, b long")
     )
 
 
+class _Block:
+    """Nodes of one key as arrays, and their sketches by length."""
+
+    def __init__(self, rows: pa.RecordBatch):
+        self.node, self.n, self.place, self.component = (rows.column(c).to_numpy() for c in ("node", "n", "place", "component"))
+        self.inside = rows.column("inside").to_numpy(zero_copy_only=False)
+        odd = [o.as_buffer() for o in rows.column("odd")]
+        self.words = np.array([len(o) // 8 for o in odd])
+        self.sketches = {
+            size: (np.flatnonzero(self.words == size), np.stack([np.frombuffer(o, np.uint64) for o in odd if len(o) == 8 * size]))
+            for size in np.unique(self.words).tolist()
+        }
+
+    def near(self, other: _Block, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of nodes that may link, by filters and sketches."""
+        n, place, node = self.n[:, None], self.place[:, None], self.node[:, None]
+        maybe = may_link(n, place, other.n, other.place, percent) & (self.component[:, None] != other.component)
+        maybe &= other.inside | (node < other.node)
+        found = []
+        for size, (rows, left) in self.sketches.items():
+            for other_size, (columns, right) in other.sketches.items():
+                small = min(size, other_size)
+                x, y = _folded(left, small), _folded(right, small)
+                i, j = np.nonzero(maybe[np.ix_(rows, columns)])
+                for at in range(0, len(i), PAIRS):
+                    p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+                    apart = np.bitwise_count(x[p] ^ y[q]).sum(axis=1, dtype=np.int64)
+                    sizes = self.n[rows[p]] + other.n[columns[q]]
+                    ok = apart * (100 + percent) <= (100 - percent) * sizes
+                    found.append(np.stack((self.node[rows[p[ok]]], other.node[columns[q[ok]]])))
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return a, b
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches made as if for smaller sets."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links; only the components these join are worked on."""
+
+    def named(side: str) -> DataFrame:
+        return labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
+
+    edges = links.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    joined = components(
+        edges.select(F.coalesce("a_component", "a").alias("a"), F.coalesce("b_component", "b").alias("b"))
+    ).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    new = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    every = labels.unionByName(new).join(joined, "component", "left")
+    return stash(every.select("node", F.coalesce("whole", "component").alias("component")), "labels")
+
+
 def jaccard_components(
     documents: DataFrame,
     *,
@@ -364,13 +454,25 @@ def jaccard_components(
 
     ``component_id`` is the smallest id that is reachable by links, itself included.
     """
+    return _classes(documents, words, percent, id_column, text_column).select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(documents: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """Rows (doc_id, mark, n_shingles, component, component_id); ``mark`` is a hash of the text."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50, as pairs of frequent shingles need an overlap of two")
     documents = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     rows, counts = _sets(documents, words)
     known = documents.filter("doc_id IS NOT NULL")
     total = rows.count()
     least = max(FREQUENT, int(total * FREQUENT_SHARE))
-    often = counts.groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") >= least).select("token")
-    frequent = np.sort(np.array([r["token"] for r in often.toLocalIterator()], np.int64).view(np.uint64))
+    often = counts.groupBy("token").agg(F.sum("count").alias("count")).filter(F.col("count") >= least)
+    both = np.array([(r["token"], r["count"]) for r in often.toLocalIterator()], np.int64).reshape(-1, 2)
+    tokens = both[:, 0].copy().view(np.uint64)
+    order = np.argsort(tokens)
+    ranks = np.empty(len(order), np.int32)
+    ranks[np.lexsort((tokens, both[:, 1]))] = np.arange(len(order))
+    frequent = (tokens[order], ranks[order])
     nodes = stash(
         rows.filter("node IS NOT NULL AND doc_id IS NOT NULL")
         .groupBy("node")
@@ -381,35 +483,46 @@ def jaccard_components(
     links = _linked(found.filter("b IS NOT NULL").select("a", "b"), nodes, known, words, percent)
     labels = components(links)
     large = found.filter("key IS NOT NULL").select("key", F.col("a").alias("node"), "n", "place").distinct()
-    for seed in range(ROUNDS + 1):
-        parted = _parted(large, labels)
-        if parted.isEmpty():
-            break
-        others = _further_pivots(parted, seed) if seed < ROUNDS else parted
-        more = _linked(_outside(parted, others, percent), nodes, known, words, percent)
+    parted = _parted(large, labels)
+    if not parted.isEmpty():
+        more = _linked(_outside(parted, nodes, percent), nodes, known, words, percent)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
-        elif seed < ROUNDS:
-            more = _linked(_outside(parted, parted, percent), nodes, known, words, percent)
-            labels = components(links.unionByName(more))
-            break
+            labels = _merged(labels, more)
     ids = (
         nodes.select("node", "doc")
         .join(labels, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
     smallest = ids.groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = stash(ids.join(smallest, "component").select("node", "component_id"), "node-components")
+    named = stash(ids.join(smallest, "component").select("node", "component", "component_id"), "node-components")
+    known_id = F.col("doc_id").isNotNull()
     return rows.join(named, "node", "left").select(
-        "doc_id",
+        "doc_id", "mark",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(known_id, F.col("component")).alias("component"),
+        F.when(known_id, F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
 
 
-def keep_one(documents: DataFrame, *, id_column: str = "doc_id", **options) -> DataFrame:
-    """``documents`` without all but the smallest id of every component; null ids stay."""
-    groups = jaccard_components(documents, id_column=id_column, **options)
-    extra = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    return documents.join(extra, documents[id_column] == extra["__copy"], "left_anti")
+def keep_one(
+    documents: DataFrame, *, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``documents`` with one row of every component: that with the smallest id.
+
+    Rows with equal ids are judged by their own texts, and of equal rows one stays. Rows
+    without an id or without words stay.
+    """
+    rows = _classes(documents, words, percent, id_column, text_column).filter("component IS NOT NULL")
+    own = stash(rows.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("rows")), "component-rows")
+    first = F.struct("doc_id", "mark")
+    kept = own.groupBy("component").agg(F.min(first).alias("kept"))
+    extra = own.join(kept, "component").filter(first != F.col("kept")).select(
+        F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")
+    ).distinct()
+    marked = documents.withColumns({"__id": F.col(id_column).cast("long"), "__mark": F.xxhash64(text_column)})
+    out = marked.join(extra, ["__id", "__mark"], "left_anti")
+    repeated = own.filter("rows > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"))
+    if not repeated.isEmpty():
+        once = out.join(repeated, ["__id", "__mark"], "left_semi").dropDuplicates(["__id", "__mark"])
+        out = out.join(repeated, ["__id", "__mark"], "left_anti").unionByName(once)
+    return out.select(*documents.columns)

@@ -125,5 +125,37 @@ def test_odd_documents(spark):
     assert by_id[3][1] == 2 and by_id[8] == (8, 1, 8)
     kept = keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted(map(repr, kept.collect())) == sorted(map(repr, odd.filter("doc_id IS NULL OR doc_id <> 5").collect()))
+    want = odd.filter("doc_id IS NULL OR doc_id <> 5").distinct()  # of two equal rows one stays
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, c), (9, c), (9, None), (9, None), (None, a), (2, b + " more")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    # b and its longer copy are one component, of which id 2 stays.
+    want = [(3, a), (9, c), (9, None), (9, None), (None, a), (2, b + " more")]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_low_thresholds_are_refused(spark):
+    with pytest.raises(ValueError):
+        jaccard_components(documents(spark, ["a b"]), percent=50)
+
+
+def test_alike_sets_that_do_not_link(spark, monkeypatch):
+    """Many texts share a passage below the threshold; in blocks of a few nodes each."""
+    monkeypatch.setattr(jaccard_join, "OUTSIDE", 7)
+    monkeypatch.setattr(jaccard_join, "STREAMED", 16)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 8)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(160):
+        words = list(passage)
+        for at in rng.sample(range(60), rng.randint(0, 3)):
+            words[at] = f"q{i}-{at}"
+        texts.append(" ".join(words))
+    for percent in (80, 85):
+        assert answer(spark, texts, 4, percent) == brute(texts, 4, percent)
     assert jaccard_components(no_documents(spark)).collect() == []
