@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from pulsetally.session import shared_dir
 
@@ -48,9 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def hash64(data: bytes) -> int:
     """A 64-bit hash that does not depend on the process (xxhash64)."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(data)
+    return xxh64_intdigest(data)
 
 
 def ceil_div(a: int, b: int) -> int:

@@ -82,8 +82,26 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _UNSTEP = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
+def _letters(head: str, mark: str) -> tuple[str, int]:
+    """The same as ``_word`` for letters alone, with one closing mark or none."""
+    low = head.lower()
+    if low in NUMBER_WORDS:
+        flags = _NUM | _SPELT | (_SCALE if low in ("hundred", "thousand", "million") else 0)
+    elif low in UNITS:
+        flags = _UNIT
+    else:
+        flags = _TITLE if len(head) > 1 and head[0].isupper() and head[1:].islower() else 0
+    if mark:
+        flags |= _MARK | (_STOP if mark in ".!?:" else 0)
+    return low, flags
+
+
 def _word(chunk: str) -> tuple[str, int]:
     """A chunk without marks in lower case, and its flags."""
+    if chunk.isalpha():
+        return _letters(chunk, "")
+    if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+        return _letters(chunk[:-1], chunk[-1])
     if chunk == _BREAK.strip(" "):
         return "", _LINE
     core = _MARKS.sub("", _MARKS.sub("", chunk))

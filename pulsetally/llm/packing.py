@@ -82,7 +82,9 @@ class Lane:
 
     def __init__(self, size: int, sentence_fee: int, stretch_fee: int, stops: np.ndarray, first: int):
         self.size, self.sentence_fee, self.stretch_fee = size, sentence_fee, stretch_fee
-        self.stops, self.sequence = stops, first
+        self.is_stop = np.zeros(int(stops.max(initial=0)) + 2, bool)
+        self.is_stop[stops] = True
+        self.sequence = first
         self.docs: deque[list] = deque()  # doc id, ids, tokens of it that are already placed
         self.waiting = 0
 
@@ -91,26 +93,20 @@ class Lane:
         self.waiting += len(ids)
 
     def _places(self) -> tuple[np.ndarray, np.ndarray]:
-        places, fees, base = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 0
-        for _, ids, done in self.docs:
-            inside = np.flatnonzero(np.isin(ids[done:-1], self.stops)) + 1
-            edges = np.concatenate(([0], inside, [len(ids) - done]))
-            gaps = np.diff(edges)
-            fee = np.full(len(inside) + 1, self.sentence_fee, np.int64)
-            fee[-1] = 0
-            long = np.flatnonzero(gaps > STRETCH)
-            if len(long):
-                extra = np.concatenate([np.arange(edges[i] + STEP, edges[i + 1], STEP) for i in long])
-                where = np.concatenate((edges[1:], extra))
-                fee = np.concatenate((fee, np.full(len(extra), self.stretch_fee, np.int64)))
-                order = np.argsort(where, kind="stable")
-                where, fee = where[order], fee[order]
-            else:
-                where = edges[1:]
-            places.append(where + base)
-            fees.append(fee)
-            base += len(ids) - done
-        return np.concatenate(places), np.concatenate(fees)
+        """Where cuts may fall in the ids that wait, and the fee of each."""
+        parts = [ids[done:] for _, ids, done in self.docs]
+        ids, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        # Ids beyond the table fall on its last place, which is none of the stops.
+        stop = self.is_stop[np.minimum(ids, len(self.is_stop) - 1)]
+        stop[ends - 1] = False
+        fees = np.full(len(ids) + 1, -1, np.int64)
+        fees[np.flatnonzero(stop) + 1] = self.sentence_fee
+        fees[ends] = fees[0] = 0
+        edges = np.flatnonzero(fees >= 0)
+        for at in np.flatnonzero(np.diff(edges) > STRETCH).tolist():
+            fees[edges[at] + STEP : edges[at + 1] : STEP] = self.stretch_fee
+        places = np.flatnonzero(fees >= 0)
+        return places, fees[places]
 
     def cut(self, last: bool) -> Iterator[tuple]:
         """Pieces of the windows that are settled; of all of them when ``last``."""

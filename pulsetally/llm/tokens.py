@@ -9,14 +9,13 @@ whole.
 
 from __future__ import annotations
 
-import re
 import struct
 
 import numpy as np
 
 #: Chunks a worker remembers; at the bound the memory is emptied (results do not change).
 CHUNKS_MAX = 600_000
-_WHOLE = re.compile("[\x1c-\x1f]|<\\|")
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 #: White space that ends a chunk must be the same for both sides.
 _ENDS = ".,!?;:"
 
@@ -44,6 +43,20 @@ def _plain(letters: str) -> bool:
     return max(letters) < "\u0250" and "\u0130" not in letters
 
 
+class _Memory(dict):
+    """Ids of the chunks met so far; those of an unknown chunk are made by ``make``."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self.make(chunk)
+        if len(chunk) <= 64:
+            self[chunk] = got
+        return got
+
+
 class ChunkTokenizer:
     """Ids of texts by a tokenizer file, as little-endian unsigned 16- or 32-bit bytes."""
 
@@ -52,7 +65,7 @@ class ChunkTokenizer:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        self._chunks: dict[str, bytes] = {}
+        self._chunks = _Memory(self._chunk)
         self._words: dict[str, bytes] = {}
         self._dtype = dtype
         self._pack = [struct.Struct(f"<{n}{'I' if dtype == '<u4' else 'H'}") for n in range(16)]
@@ -80,33 +93,24 @@ class ChunkTokenizer:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of one chunk; a closing mark after letters is a token of its own."""
+        if len(chunk) == 1:
+            return self._direct(chunk)
         if chunk[-1] in _ENDS:
             head = chunk[:-1]
             if head.isalpha() and (head.isascii() or _plain(head)):
-                return self._word(head) + self._known(chunk[-1])
+                return self._word(head) + self._chunks[chunk[-1]]
         elif chunk.isalpha() and (chunk.isascii() or _plain(chunk)):
             return self._word(chunk)
         return self._direct(chunk)
 
-    def _known(self, chunk: str) -> bytes:
-        got = self._chunks.get(chunk)
-        if got is None:
-            got = self._chunk(chunk) if len(chunk) > 1 else self._direct(chunk)
-            if len(chunk) <= 64:
-                self._chunks[chunk] = got
-        return got
-
     def pieces(self, text: str) -> list[bytes]:
         """The ids as bytes, chunk by chunk (one piece for a text taken whole)."""
-        if _WHOLE.search(text):
+        if any(mark in text for mark in _WHOLE):
             return [self._direct(text)]
-        chunks = text.split()
-        out = list(map(self._chunks.get, chunks))
-        if None in out:
-            out = [self._known(c) if got is None else got for c, got in zip(chunks, out, strict=True)]
-            for memory in (self._chunks, self._words):
-                if len(memory) > CHUNKS_MAX:
-                    memory.clear()
+        out = list(map(self._chunks.__getitem__, text.split()))
+        for memory in (self._chunks, self._words):
+            if len(memory) > CHUNKS_MAX:
+                memory.clear()
         return out
 
     def ids(self, text: str) -> np.ndarray:
