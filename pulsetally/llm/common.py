@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 from collections.abc import Iterator
 
@@ -52,6 +54,14 @@ def hash64(data: bytes) -> int:
     return xxh64_intdigest(data)
 
 
+def release_memory() -> None:
+    """Give this process's free memory back to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 
