@@ -1,6 +1,10 @@
 import re
 
+import random
+
+from pulsetally.llm import license_scan
 from pulsetally.llm.license_scan import NOTICES, scan_licenses
+from pulsetally.llm.queries import op1_licenses
 from support import documents, no_documents, odd_documents
 
 PERMISSION = NOTICES[1][1]
@@ -48,8 +52,6 @@ def plain(texts, templates, contained):
 
 
 def test_against_every_window(spark):
-    import random
-
     rng = random.Random(9)
     templates = [("x", "one two three four five six seven eight"), ("y", "red green blue"), ("z", "alpha beta alpha gamma beta delta alpha beta")]
     vocabulary = " ".join(t for _, t in templates).split()
@@ -87,3 +89,72 @@ def test_the_whole_template_decides(spark):
     got = found(spark, texts)
     assert set(got) == {(0, "MIT"), (1, "GPL-3.0"), (2, "MIT"), (3, "MIT")}
     assert got[0, "MIT"].place == 2 and got[1, "GPL-3.0"].containment > 0.9
+
+
+def best_windows(text, templates, contained):
+    """Licence -> (containment, place) by comparing every window over every anchor with every template."""
+    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    best = {}
+    rows = license_scan._rows(templates, contained)
+    for at, word in enumerate(words):
+        tops = {}
+        for number, name, own, _, least, anchors in rows:
+            if word not in anchors:
+                continue
+            pairs = set(zip(own, own[1:]))
+            for start in range(max(0, at - len(own) + 1), at + 1):
+                part = words[start : start + len(own)]
+                held = len(pairs & set(zip(part, part[1:])))
+                if held >= least:
+                    tops[number, name] = max(tops.get((number, name), (0,)), (held / len(pairs), held, -start))
+        most = max((t[:2] for t in tops.values()), default=None)
+        for (_, name), top in tops.items():
+            if top[:2] == most:
+                best[name] = max(best.get(name, (0,)), (top[0], top[2]))
+    return {name: (share, -start) for name, (share, start) in best.items()}
+
+
+def test_query_against_every_window(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {(r.doc_id, r.license): (r.containment, r.place) for r in op1_licenses(spark, folder).collect()}
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert got and got == {
+        (r.doc_id, name): top for r in texts for name, top in best_windows(r.text, NOTICES, 0.8).items()
+    }
+
+
+def test_changed_notices_against_every_window(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            words = rng.choice(NOTICES)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 1)] = rng.sample(["license", "software", "of", "other"], rng.randint(0, 2))
+                words = words or ["other"]
+            parts += words + ["between"] * rng.randint(0, 3)
+        texts.append(" ".join(parts))
+    got = {key: (r.containment, r.place) for key, r in found(spark, texts).items()}
+    assert got == {(i, name): top for i, t in enumerate(texts) for name, top in best_windows(t, NOTICES, 0.8).items()}
+
+
+def test_chance_of_a_miss(spark):
+    rng = random.Random(6)
+    own = [f"w{i}" for i in range(21)]
+    texts = []
+    for i in range(400):
+        copy = list(own)
+        for at in rng.sample(range(3, 18, 3), 2):  # 4 of 20 shingles go: 0.8 are left
+            copy[at] = f"x{i}"
+        texts.append(" ".join([f"b{i}", f"c{i}"] * 4 + copy + [f"d{i}", f"e{i}"] * 4))
+    template = [("t", " ".join(own))]
+    assert len(found(spark, texts, templates=template)) == 400
+    # The texts differ in few words around one template, so far fewer than 400 chances are independent.
+    rough = len(found(spark, texts, templates=template, missed=0.2))
+    assert 0.8 * 400 <= rough
+
+    length, step, bands = license_scan._windows(license_scan._rows(template, 0.8), 1e-6)[0]
+    alike = 16 / (20 + length + step - 2 - 16)
+    assert (1 - alike) ** bands <= 1e-6 < (1 - alike) ** (bands - 1)
