@@ -1,11 +1,13 @@
 """Shards of near equal bytes by sampled splitters, with DataFrame functions only.
 
 1. Every record gets a key: the hash of its group (equal texts), then the hash of
-   its id. Records are thin: key, id, size; texts are read once.
+   its id. Records are thin: key, id, size; texts are read once. Equal records are counted
+   into one, and those with many copies are cut into parts with keys of their own.
 2. A sample draws each record with a probability in proportion to its size, so
    every drawn key stands for the same number of bytes. Quantiles of the sample are
    splitters of ``RANGES`` times as many ranges as shards. A splitter inside a group
-   falls on the group's start, unless the group alone holds more than a range.
+   falls on the group's start, unless the group alone holds more than a range; such a
+   group has splitters at its start and end too, so its ranges hold nothing else.
 3. Records are range-partitioned by a two-level search in the sorted splitters.
    Exact sizes of the ranges are counted; ranges above ``OVERFULL`` times their share
    are split again by a sample of their own records alone.
@@ -14,11 +16,12 @@
    no shard is ever sorted in one task.
 
 The driver sees the sample and the range sizes, both bounded by the number of ranges.
-Groups stay in one shard unless they are larger than ``KEPT`` of a shard. The result depends on
-keys and sizes only, not on the order of the rows.
+Groups stay in one shard unless they are larger than ``KEPT`` of a shard's even share, which
+is decided by their exact sizes. The result depends on keys and sizes only, not on the order of the rows.
 
 Null text has size 8 and its own group; null ids are keys as well. Rows that are
-repeated whole get slots of their own, in any order among themselves. An empty table
+repeated whole get slots of their own and are spread as a group is. Very long texts count
+by their size; one that is larger than a range has a range of its own. An empty table
 gives no rows. Extra columns are ignored.
 """
 
@@ -38,15 +41,17 @@ RANGES, SAMPLED = 32, 16
 #: A range is overfull beyond this many times its even share, unless it is a single record.
 OVERFULL = 1.5
 ROUNDS = 2
+#: Copies of one record are cut into parts of this share of a range.
+PART = 0.25
 #: A group up to this share of a shard's bytes stays together.
 KEPT = 0.25
 Key = tuple[int, int]
-_LOW = -(1 << 63)
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def _drawn(records: DataFrame, total: int, points: int, seed: int) -> DataFrame:
     """Records drawn in proportion to size, ``points`` expected: a hash decides, so a retry draws the same."""
-    chance = F.col("size").cast("double") * points / total
+    chance = F.col("bytes").cast("double") * points / total
     dice = F.pmod(F.xxhash64("key_group", "key_row", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     return records.filter(dice < chance).select(
         "key_group", "key_row", F.greatest(chance, F.lit(1.0)).alias("weight")
@@ -63,7 +68,10 @@ def _splitters(drawn: list[tuple[int, int, float]], ranges: int) -> list[Key]:
     found, seen, due = set(), 0.0, step
     for group, row, weight in drawn:
         if seen >= due - 1e-9:
-            found.add((group, row) if groups[group] > step else (group, _LOW))
+            found.add((group, _LOW))
+            if groups[group] > step:
+                found.add((group, row))
+                found |= {(group + 1, _LOW)} if group < _HIGH else set()
             due = (seen // step + 1) * step
         seen += weight
     return sorted(found)
@@ -103,29 +111,28 @@ def _ranged(records: DataFrame, splitters: list[Key]) -> DataFrame:
     ).drop("block")
 
 
-def _counted(ranged: DataFrame) -> dict[int, tuple[int, int]]:
-    """Range -> (bytes, rows); a row for each range at most reaches the driver."""
-    rows = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
-    return {r["range"]: (r["bytes"], r["rows"]) for r in rows}
+def _counted(ranged: DataFrame) -> dict[int, tuple[int, int, int]]:
+    """Range -> (bytes, rows, keys); a row for each range at most reaches the driver."""
+    counts = F.sum("bytes").alias("bytes"), F.sum("copies").alias("rows"), F.count("*").alias("keys")
+    rows = ranged.groupBy("range").agg(*counts).collect()
+    return {r["range"]: (r["bytes"], r["rows"], r["keys"]) for r in rows}
 
 
 def _even(
-    sizes: dict[int, tuple[int, int]], splitters: list[Key], shards: int
+    sizes: dict[int, tuple[int, int, int]], splitters: list[Key], shards: int
 ) -> dict[int, tuple[int, int]]:
     """Range -> (shard, slots before it): the largest unit goes to the emptiest shard.
 
-    Ranges that hold parts of one group are a unit, if that is not above a share of
-    a shard (``KEPT``).
+    The ranges of one group are a unit, if that is not above a share of a shard (``KEPT``).
     """
-    most = KEPT * sum(b for b, _ in sizes.values()) / shards
-    units: list[list[int]] = []
+    most = KEPT * sum(b for b, *_ in sizes.values()) / shards
+    cut = {group for group, row in splitters if row != _LOW}
+    units: dict[tuple[bool, int], list[int]] = {}
     for r in sorted(sizes):
-        if units and r and splitters[r - 1][1] != _LOW:
-            units[-1].append(r)
-        else:
-            units.append([r])
+        group = splitters[r - 1][0] if r else None
+        units.setdefault((True, group) if group in cut else (False, r), []).append(r)
     parts = []
-    for unit in units:
+    for unit in units.values():
         whole = sum(sizes[r][0] for r in unit)
         parts += [(whole, unit)] if whole <= most else [(sizes[r][0], [r]) for r in unit]
     load = [(0, s) for s in range(shards)]
@@ -143,6 +150,23 @@ def _even(
     return placed
 
 
+def _in_parts(records: DataFrame, most: int, seed: int) -> DataFrame:
+    """Records of at most ``most`` bytes with all their copies, or of one copy, each with a key of its own."""
+    parts = F.least(F.col("copies"), F.ceil(F.col("copies") * F.col("size") / most))
+    copies = F.floor(F.col("copies") * (F.col("part") + 1) / F.col("parts")) - F.floor(
+        F.col("copies") * F.col("part") / F.col("parts")
+    )
+    return (
+        records.withColumn("parts", parts)
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .withColumn("copies", copies)
+        .select(
+            "doc_id", "size", "text_crc32", "key_group", "copies", (F.col("size") * F.col("copies")).alias("bytes"),
+            F.xxhash64("doc_id", F.lit(seed), "part").alias("key_row"),
+        )
+    )
+
+
 def shard_by_bytes(
     documents: DataFrame,
     shards: int,
@@ -163,11 +187,13 @@ def shard_by_bytes(
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead).alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
             F.xxhash64(text, F.when(text.isNull(), 1).otherwise(0)).alias("key_group"),
-            F.xxhash64(F.col(id_column), F.lit(seed)).alias("key_row"),
-        ),
+        )
+        .groupBy("doc_id", "size", "text_crc32", "key_group")
+        .agg(F.count("*").alias("copies")),
         "shard-records",
     )
-    total = records.agg(F.sum("size")).first()[0] or 0
+    total = records.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
+    records = _in_parts(records, max(1, int(PART * total / (shards * RANGES))), seed)
     ranges = shards * RANGES
     drawn = _drawn(records, total, ranges * SAMPLED, seed).collect() if total else []
     splitters = _splitters([tuple(r) for r in drawn], ranges) if drawn else []
@@ -175,10 +201,10 @@ def shard_by_bytes(
     sizes = _counted(ranged)
     for round_ in range(1, ROUNDS + 1):
         share = total / ranges
-        full = {r: ceil_div(b, max(1, int(share))) for r, (b, n) in sizes.items() if n > 1 and b > OVERFULL * share}
+        full = {r: ceil_div(b, max(1, int(share))) for r, (b, _, n) in sizes.items() if n > 1 and b > OVERFULL * share}
         if not full:
             break
-        chosen = ranged.filter(F.col("range").isin(sorted(full))).select("key_group", "key_row", "size", "range")
+        chosen = ranged.filter(F.col("range").isin(sorted(full))).select("key_group", "key_row", "bytes", "range")
         points = sum(full.values()) * SAMPLED
         again = _drawn(chosen, sum(sizes[r][0] for r in full), points, seed + round_)
         inner: dict[int, list[tuple[int, int, float]]] = {}
@@ -196,7 +222,12 @@ def shard_by_bytes(
     shard_of = F.expr(f"array({','.join(str(placed.get(r, (0, 0))[0]) for r in last)})")
     before = F.expr(f"array({','.join(f'{placed.get(r, (0, 0))[1]}L' for r in last)})")
     order = Window.partitionBy("range").orderBy("key_group", "key_row", "doc_id")
-    return ranged.withColumn("place", F.row_number().over(order)).select(
-        "doc_id", "size", "text_crc32", F.get(shard_of, "range").alias("shard"),
-        (F.get(before, "range") + F.col("place") - 1).alias("slot"),
+    earlier = F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        ranged.withColumn("place", F.coalesce(earlier, F.lit(0)))
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .select(
+            "doc_id", "size", "text_crc32", F.get(shard_of, "range").alias("shard"),
+            (F.get(before, "range") + F.col("place") + F.col("copy")).alias("slot"),
+        )
     )
