@@ -3,8 +3,10 @@
 Patterns (``PATTERNS``) give the base spans. The method adds ``entropy`` spans: in
 every candidate, a run of at least ``WINDOW`` characters of key material, a window
 slides by one character; its symbol counts change by one in and one out, and with
-them the Shannon entropy. A window of one character class (decimal, hexadecimal,
-lower or upper letters with digits, mixed) is high above that class's threshold.
+them the Shannon entropy. A window of one character class (decimal, hexadecimal, letters
+of one case, those with digits, mixed) is high above that class's threshold. Of random
+keys of 32 characters more than 97 % are found, of those of one-case letters alone 85 to
+90 %: long compound words have nearly their entropy, so that threshold is high.
 Overlapping high windows join to one span. A span is suppressed if it is an exact value
 of the allow-list, or if a pattern of it matches every part (between ``/``, ``.`` and
 ``=``) that the span touches: one unknown part keeps the whole span. Base spans stay.
@@ -44,16 +46,18 @@ KEYWORDS = (b"passw", b"secret", b"token", b"api")
 WINDOW = 20
 #: Character classes from narrow to wide, each with the entropy (bits a character) from which a window is high.
 CLASSES = (
-    ("decimal", ("[0-9]+",), math.inf),
+    ("decimal", ("[0-9]+",), 2.6),
     ("hexadecimal", ("[0-9a-f]+", "[0-9A-F]+"), 3.0),
-    ("letters", ("[A-Z]?[a-z]+", "[A-Z]+"), math.inf),
+    ("letters", ("[A-Z]?[a-z]+", "[A-Z]+"), 3.65),
     ("one case", ("[a-z0-9]+", "[A-Z0-9]+"), 3.5),
     ("mixed", (), 3.8),
 )
-#: Parts of these shapes are not secrets: UUIDs, words of one case or capitalised, also joined or with years, rulers.
+#: Parts of these shapes are not secrets: UUIDs, words of one case or capitalised (shorter than a window), also joined
+#: or with years, rulers.
 ALLOW = (
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"/*([a-z]+|[A-Z]+|[A-Z][a-z]+)\d{0,4}([./_=-]+([a-z]+|[A-Z]+|[A-Z][a-z]+)\d{0,4})*[./_=-]*\d{0,4}[./_=-]*",
+    r"/*([a-z]{1,19}|[A-Z]{1,19}|[A-Z][a-z]{1,18})\d{0,4}"
+    r"([./_=-]+([a-z]{1,19}|[A-Z]{1,19}|[A-Z][a-z]{1,18})\d{0,4})*[./_=-]*\d{0,4}[./_=-]*",
     r"(?i).*(example|placeholder|changeme|your[_-]?key|x{6}|0{8}|1234567).*",
     r"[./_=+-]+",
 )

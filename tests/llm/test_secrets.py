@@ -1,7 +1,11 @@
+import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
+from pulsetally.llm.queries import op3_secrets
 from pulsetally.llm.secret_scan import (
     ALLOW, CLASSES, WINDOW, _rules, entropy_spans, find_secrets, redact, redact_secrets, scan_secrets,
 )
@@ -42,7 +46,7 @@ def test_base_spans():
 
 
 def test_entropy_against_counting():
-    for candidate in (KEY, KEY + "aaaa" + KEY, "deadbeef0badf00d5eed" * 2, "abcdefghijklmnopqrstuvwxyz", "A1" * 15):
+    for candidate in (KEY, KEY + "aaaa" + KEY, "deadbeef0badf00d5eed" * 2, "abcdefghijklmnopqrstuvwxyz", "A1" * 15, "20251104937582640913", "1" * 19 + "2345", "Qwertyuiopasdfghjklzx"):
         def high(i):
             part = candidate[i : i + WINDOW]
             limit = next(l for _, ps, l in CLASSES if not ps or any(re.fullmatch(p, part) for p in ps))
@@ -95,3 +99,40 @@ def test_allow_list_holds_for_parts():
         "objects/123e4567-e89b-12d3-a456-426614174000", "README.CONTRIBUTING/Installation-Guide2024",
     ):
         assert not [s for s in find_secrets(text, ALLOWED, NONE) if s[0] == "entropy"], text
+
+
+def test_random_keys_of_every_class():
+    rng = random.Random(1)
+    lower, upper = string.ascii_lowercase, string.ascii_uppercase
+    for symbols in (
+        string.digits, "0123456789abcdef", "0123456789ABCDEF", lower, upper, lower + string.digits, upper + string.digits,
+        lower + upper + string.digits,
+    ):
+        keys = ["".join(rng.choice(symbols) for _ in range(32)) for _ in range(300)]
+        found = sum(any(s[0] == "entropy" for s in find_secrets(f"a {k} b", ALLOWED, NONE)) for k in keys)
+        assert found >= 300 * (0.85 if symbols in (lower, upper) else 0.97), symbols
+    for word in ("rechtsschutzversicherungsgesellschaften", "electroencephalographically", "Donaudampfschifffahrtsgesellschaft", "0" * 40):
+        assert not [s for s in find_secrets(f"a {word} b", ALLOWED, NONE) if s[0] == "entropy"], word
+
+
+def spans_of(text):
+    """All spans by fixed patterns and by counting every window of every run, without the code under test's scan."""
+    found = plain(text)
+    for run in re.finditer(r"[A-Za-z0-9+/_.=-]{20,}", text):
+        found += [("entropy", run.start() + a, run.start() + b) for a, b, _ in entropy_spans(run[0], ALLOWED, NONE)]
+    return sorted(found, key=lambda s: (s[1], ("assign", "access", "hex", "entropy").index(s[0]), s[2]))
+
+
+def test_query_against_patterns(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in op3_secrets(spark, folder).collect()}
+    texts = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(texts)
+    for row in texts:
+        spans, base = spans_of(row.text or ""), plain(row.text or "")
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert got[row.doc_id].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert got[row.doc_id].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [got[row.doc_id][f"n_{k}"] for k in ("assign", "access", "hex")] == [
+            sum(s[0] == k for s in base) for k in ("assign", "access", "hex")
+        ]
