@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsetally.schema import BATCH_MAX
+from pulsetally.session import shared_dir
 
 # Outcomes of a batch and the text of its error.
 SUCCESS, PARTIAL, ERROR = "success", "partial", "error"
@@ -18,6 +19,7 @@ ERROR_TEXT = "%d events failed to publish."
 # This many ids are broadcast at most, whatever the data holds; no batch left
 # after that has more than rows/GIANTS_MAX rows.
 GIANTS_MAX = 100_000
+VERDICT = "row_is_valid"
 
 
 def batch_sizes(checked: DataFrame, valid: Column, batch: str = "batch_id") -> DataFrame:
@@ -34,12 +36,17 @@ def atomic_batches(
     """Rows of the batches in which every row is valid and the size is allowed.
 
     Rows without a batch id are single events and stand for themselves.
-    A batch may hold any share of the rows: sizes are counted with map-side
+    The rows are written once to the shared folder with their verdict, so that they are
+    parsed once although sizes, kept rows and singles are read apart, and sizes read two
+    columns only. A batch may hold any share of the rows: sizes are counted with map-side
     aggregation, and the largest oversized batches are removed by a broadcast
-    of bounded size. The semi join stays exact for all others.
+    of bounded size. The semi join, the one exchange of rows, stays exact for all others.
     """
-    in_batch = checked.where(F.col(batch).isNotNull())
-    sizes = batch_sizes(in_batch, valid, batch)
+    folder = shared_dir(checked.sparkSession, "batch-rows")
+    checked.withColumn(VERDICT, F.coalesce(valid, F.lit(False))).write.parquet(folder)
+    rows = checked.sparkSession.read.parquet(folder)
+    in_batch = rows.where(F.col(batch).isNotNull())
+    sizes = batch_sizes(in_batch, F.col(VERDICT), batch)
     # Sorting by both counts keeps this aggregate equal to the one below, so
     # Spark computes it once and reuses the exchange.
     giants = (
@@ -52,8 +59,8 @@ def atomic_batches(
         F.col("size_ok") & (F.col("valid_events") == F.col("total_events"))
     ).select(batch)
     kept = in_batch.join(F.broadcast(giants), batch, "left_anti").join(whole, batch, "left_semi")
-    singles = checked.where(F.col(batch).isNull() & valid)
-    return kept.unionByName(singles)
+    singles = rows.where(F.col(batch).isNull() & F.col(VERDICT))
+    return kept.unionByName(singles).select(*checked.columns)
 
 
 def batch_outcome(rows: DataFrame, ok: Column, batch: str = "batch_id") -> DataFrame:
@@ -62,13 +69,21 @@ def batch_outcome(rows: DataFrame, ok: Column, batch: str = "batch_id") -> DataF
     A batch beyond the size limit fails as a whole, as in ``atomic_batches``. Rows
     without a batch id are single events and have no outcome here.
     """
+    return outcome_of(batch_counts(rows, ok, batch))
+
+
+def batch_counts(rows: DataFrame, ok: Column, batch: str = "batch_id") -> DataFrame:
+    """Rows and good rows per batch, which add up over parts of the rows."""
     good = F.coalesce(ok, F.lit(False))
+    counts = [F.count(F.lit(1)).alias("total_events"), F.count_if(good).alias("good")]
+    return rows.where(F.col(batch).isNotNull()).groupBy(batch).agg(*counts)
+
+
+def outcome_of(counts: DataFrame) -> DataFrame:
+    """Outcomes from the whole counts of batches."""
     total, failed = F.col("total_events"), F.col("failed")
     return (
-        rows.where(F.col(batch).isNotNull())
-        .groupBy(batch)
-        .agg(F.count(F.lit(1)).alias("total_events"), F.count_if(good).alias("good"))
-        .withColumn("successful", F.when(total > BATCH_MAX, 0).otherwise(F.col("good")))
+        counts.withColumn("successful", F.when(total > BATCH_MAX, 0).otherwise(F.col("good")))
         .withColumn("failed", total - F.col("successful"))
         .drop("good")
         .withColumn(

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsetally.functions.time import interval_text
+
 KEY = "dedup_key"
 
 
@@ -26,3 +30,20 @@ def dedup_events(events: DataFrame) -> DataFrame:
     order = F.struct(*times, F.to_json(whole))
     kept = keyed.groupBy(KEY).agg(F.min_by(whole, order).alias("kept"))
     return kept.select("kept.*")
+
+
+def dedup_sessions(events: DataFrame, gap: timedelta) -> DataFrame:
+    """Of copies of an ``event_id`` that lie less than ``gap`` apart in a row the earliest stays.
+
+    Batches and streams give the same rows, whatever order copies come in: the event time
+    decides, then the smallest JSON text. On a stream (with a watermark) a session's event
+    is emitted once no copy can join it any more, and the state is one event a session.
+    Events without an id are all kept; those without a time have no session and go.
+    """
+    sent_id = F.nullif(F.col("event_id"), F.lit(""))
+    keyed = events.withColumn(KEY, F.coalesce(sent_id, F.uuid()))
+    whole = F.struct(*events.columns)
+    order = F.struct(F.col("timestamp"), F.to_json(whole))
+    session = F.session_window("timestamp", interval_text(gap)).alias("session")
+    kept = keyed.groupBy(session, KEY).agg(F.min_by(whole, order).alias("kept"))
+    return kept.select("kept.*")

@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from pulsetally.functions.time import micros
 from pulsetally.operators import panes
-from pulsetally.operators.metrics import DIMENSIONS, FIVE_MINUTES, ONE_DAY, ONE_HOUR, ONE_MINUTE
+from pulsetally.operators.metrics import DIMENSIONS, FIVE_MINUTES, ONE_DAY, ONE_HOUR, ONE_MINUTE, SKETCH
+
+# Sketches that are stored: 2^14 registers, 0.8 % standard error, exact-like up to some
+# 1500 users, and 16 KB at most.
+STORED_LOG2 = 14
 
 
 def write_intermediates(
@@ -37,6 +41,12 @@ def metric_tables(
     return tables_from(counts, activity, dimensions)
 
 
+def hourly_sketches(spark: SparkSession, folder: str, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+    """``user_sketches`` from written intermediates."""
+    counts, activity = (spark.read.parquet(f"{folder}/{part}") for part in ("pane_counts", "user_activity"))
+    return user_sketches(counts, activity, dimensions)
+
+
 def tables_from(
     counts: DataFrame, activity: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS
 ) -> dict[str, DataFrame]:
@@ -59,14 +69,45 @@ def _tumbling(
 ) -> DataFrame:
     """Windows of whole blocks; a block is one hour for 5-minute windows by minute."""
     span = micros(window)
-    per_window = counts.select(
-        panes.floor_to(F.col(panes.PANE), span).alias("start_us"), *dimensions, "event_count"
+    per_window = _counts(counts, span, dimensions)
+    users = _active(activity, span, dimensions).agg(F.count_distinct("user_id").alias("unique_users"))
+    return panes.join_parts(per_window, users, window, dimensions)
+
+
+def user_sketches(
+    counts: DataFrame,
+    activity: DataFrame,
+    dimensions: tuple[str, ...] = DIMENSIONS,
+    registers_log2: int = STORED_LOG2,
+) -> DataFrame:
+    """Hourly events and a mergeable sketch of the users; events without a user have none.
+
+    Takes what ``tables_from`` takes. ``merge_user_sketches`` unites any rows of it.
+    """
+    span = micros(ONE_HOUR)
+    sums = _counts(counts, span, dimensions).groupBy("start_us", *dimensions).agg(F.sum("event_count").alias("event_count"))
+    sketches = _active(activity, span, dimensions).agg(F.hll_sketch_agg("user_id", registers_log2).alias(SKETCH))
+    # A row an hour and dimensions on both sides, which are never NULL in accepted events.
+    on = F.lit(True)
+    for key in ("start_us", *dimensions):
+        on = on & F.col(f"c.{key}").eqNullSafe(F.col(f"s.{key}"))
+    joined = sums.alias("c").join(sketches.alias("s"), on, "left")
+    start = F.col("c.start_us")
+    return joined.select(
+        F.timestamp_micros(start).alias("window_start"),
+        F.timestamp_micros(start + F.lit(span).cast("bigint")).alias("window_end"),
+        *[F.col(f"c.{key}") for key in dimensions], "event_count", SKETCH,
     )
+
+
+def _counts(counts: DataFrame, span: int, dimensions: tuple[str, ...]) -> DataFrame:
+    start = panes.floor_to(F.col(panes.PANE), span).alias("start_us")
+    return counts.select(start, *dimensions, "event_count")
+
+
+def _active(activity: DataFrame, span: int, dimensions: tuple[str, ...]) -> GroupedData:
+    """Users by window of whole blocks and dimensions."""
     # Bits beyond the block repeat the next block's first panes: mask them out.
     own = F.lit((1 << panes.block_panes(FIVE_MINUTES, ONE_MINUTE)) - 1)
-    users = (
-        activity.where(F.col(panes.ACTIVE).bitwiseAND(own) != 0)
-        .groupBy(panes.floor_to(F.col(panes.BLOCK), span).alias("start_us"), *dimensions)
-        .agg(F.count_distinct("user_id").alias("unique_users"))
-    )
-    return panes.join_parts(per_window, users, window, dimensions)
+    seen = activity.where(F.col(panes.ACTIVE).bitwiseAND(own) != 0)
+    return seen.groupBy(panes.floor_to(F.col(panes.BLOCK), span).alias("start_us"), *dimensions)

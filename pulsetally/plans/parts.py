@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from pulsetally.operators import panes, rollup
 from pulsetally.operators.metrics import DIMENSIONS, FIVE_MINUTES, ONE_MINUTE, user_metrics
-from pulsetally.schema import METRIC_SCHEMA, METRIC_TABLES, USER_COUNTERS, USER_METRIC_SCHEMA, USER_METRIC_TABLE
+from pulsetally.schema import METRIC_TABLES, SKETCH_TABLE, TABLE_SCHEMAS, USER_COUNTERS, USER_METRIC_SCHEMA, USER_METRIC_TABLE
 from pulsetally.sinks.metrics import replace_table
 from pulsetally.sinks.micro import complete_up_to, pack
 from pulsetally.sources.folders import (
@@ -92,6 +92,7 @@ def tables_of_parts(spark: SparkSession, path: str, dates: list[date] | None = N
     activity = read_part(spark, path, ACTIVITY, dates).drop(DATE)
     tables = {METRIC_TABLES[name]: frame for name, frame in rollup.tables_from(counts, activity).items()}
     tables[USER_METRIC_TABLE] = read_part(spark, path, USERS, dates).drop(DATE)
+    tables[SKETCH_TABLE] = rollup.user_sketches(counts, activity)
     if dates is None:
         return tables
     return {name: frame.where(F.to_date("window_start").isin(dates)) for name, frame in tables.items()}
@@ -135,8 +136,7 @@ def refresh_tables(spark: SparkSession, path: str, tables_path: str) -> list[dat
     dates = changed_dates(spark, path, after, pack_after)
     if dates:
         for name, frame in tables_of_parts(spark, path, dates).items():
-            schema = USER_METRIC_SCHEMA if name == USER_METRIC_TABLE else METRIC_SCHEMA
-            replace_table(frame, f"{tables_path}/{name}", schema, dates=dates)
+            replace_table(frame, f"{tables_path}/{name}", TABLE_SCHEMAS[name], dates=dates)
     noted = [(run, last, max(packs, default=0)) for run, last in upto.items()]
     if noted:
         rows = spark.createDataFrame(noted, f"{RUN} string, {LAST} long, pack long")

@@ -6,28 +6,31 @@ Times are returned without a zone (UTC), as other engines hold them in files.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsetally.config import StreamSettings
 from pulsetally.functions import text
-from pulsetally.operators import batches, decode, metrics, rollup, validate
+from pulsetally.operators import batches, decode, dedup, metrics, rollup, validate
 from pulsetally.operators.decode import encode_events, parse_payload
 from pulsetally.operators.dedup import dedup_events
 from pulsetally.operators.projections import of_type, with_calendar
-from pulsetally.plans import landing, parts, reports, tables
+from pulsetally.plans import landing, outcomes, parts, reports, rolling, tables
 from pulsetally.schema import (
     METRIC_KEY,
     METRIC_SCHEMA,
     METRIC_TABLES,
+    SKETCH_TABLE,
     USER_COUNTERS,
     USER_METRIC_SCHEMA,
     USER_METRIC_TABLE,
 )
 from pulsetally.session import pin_utc, shared_dir
 from pulsetally.sinks import lake as lake_sink
+from pulsetally.sinks import lookup
 from pulsetally.sinks import metrics as metric_sinks
 from pulsetally.sinks.micro import files_by_partition
 from pulsetally.sources import lake as lake_source
@@ -35,7 +38,7 @@ from pulsetally.sources.folders import read_dates, read_parts
 from pulsetally.sources.event_tables import as_events, read_table, stream_table
 from pulsetally.sources.metric_tables import newest_per_key, pick_table, read_parquet
 from pulsetally.streaming import metrics as metric_streams
-from pulsetally.streaming import one_pass
+from pulsetally.streaming import one_pass, state
 from pulsetally.streaming.start import start_file_query
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +137,61 @@ def validate_raw_texts(spark: SparkSession, folder: str) -> DataFrame:
     return validate.check_events(parse_payload(records)).select("doc_id", _reasons())
 
 
+def _text_of(length: int) -> str:
+    return '"' + "x" * length + '"'
+
+
+#: Reasons, and the fields of a payload that are not as they should be: JSON, or None for a missing one.
+VARIANTS: tuple[tuple[str, dict[str, str | None]], ...] = (
+    ("", {}),
+    ("event_type_missing", {"event_type": None}),
+    ("event_type_unknown", {"event_type": '"bookmark"'}),
+    ("user_id_missing", {"user_id": "null"}),
+    ("user_id_not_text", {"user_id": "12"}),
+    ("user_id_length", {"user_id": '""'}),
+    ("user_id_length", {"user_id": _text_of(101)}),
+    ("user_id_blank", {"user_id": '" \\t\\u2003 "'}),
+    ("platform_missing", {"platform": None}),
+    ("platform_unknown", {"platform": '"Web"'}),
+    ("event_id_not_text", {"event_id": "17.5"}),
+    ("content_id_not_text", {"content_id": "true"}),
+    ("session_id_not_text", {"session_id": '["s"]'}),
+    ("device_type_not_text", {"device_type": '{"d": 1}'}),
+    ("location_not_text", {"location": "7"}),
+    ("content_id_too_long", {"content_id": _text_of(101)}),
+    ("session_id_too_long", {"session_id": _text_of(101)}),
+    ("device_type_too_long", {"device_type": _text_of(51)}),
+    ("location_too_long", {"location": _text_of(101)}),
+    ("timestamp_malformed", {"timestamp": '"last week"'}),
+    ("metadata_not_object", {"metadata": "[1]"}),
+    ("metadata_too_large", {"metadata": '{"k": ' + _text_of(992) + "}"}),
+    ("", {"metadata": '{"k": ' + _text_of(991) + "}"}),
+    ("", {"user_id": _text_of(100), "device_type": _text_of(50), "location": None, "content_id": "null"}),
+    ("user_id_blank,platform_missing,location_too_long", {"user_id": '" "', "platform": None, "location": _text_of(999)}),
+    ("payload_malformed", {"event_id": '"cut off'}),
+)
+
+
+def _variant_payload(fields: dict[str, str | None]) -> str:
+    """A payload in which ``@id`` stands for the event's number."""
+    usual = {name: f'"{name} @id"' for name in ("event_id", "user_id", "content_id", "session_id", "device_type", "location")}
+    usual |= {"event_type": '"like"', "platform": '"ios"', "timestamp": '"2024-01-15T10:00:00Z"', "metadata": '{"k": @id}'}
+    given = {name: value for name, value in (usual | fields).items() if value is not None}
+    return "{" + ", ".join(f'"{name}": {value}' for name, value in given.items()) + "}"
+
+
+@_query
+def validate_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every reason there is: each event is sent in one of many forms, good and broken."""
+    pin_utc(spark)
+    number = F.col("event_id")
+    forms = F.array(*[F.lit(_variant_payload(fields)) for _, fields in VARIANTS])
+    form = F.element_at(forms, (number % len(VARIANTS) + 1).cast("int"))
+    value = F.replace(form, F.lit("@id"), number.cast("string"))
+    records = read_table(spark, folder).select(number.alias("offset"), value.alias("value"))
+    return validate.check_events(parse_payload(records)).select("offset", _reasons())
+
+
 def _document_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as events which carry their whole text in several fields."""
     value = F.to_json(
@@ -465,17 +523,9 @@ def report_platform_metrics_exact(spark: SparkSession, folder: str) -> DataFrame
 
 @_query
 def report_platform_metrics_sketch(spark: SparkSession, folder: str) -> DataFrame:
-    """Merged sketches against the exact counts: three standard errors are 5 %."""
-    recent = _recent(spark, folder, WEEK)
-    table = metrics.event_metrics(recent, metrics.FIVE_MINUTES, uniques="sketch")
-    estimates = reports.platform_users_report(table, WEEK, AS_OF)
-    exact = reports.platform_users_exact(recent, WEEK, AS_OF).select(
-        "platform", F.col("unique_users").alias("exact_users")
-    )
-    off = F.abs(F.col("unique_users") - F.col("exact_users"))
-    return estimates.join(exact, "platform").select(
-        "platform", "total_events", (off <= F.col("exact_users") * 0.05).alias("within_5_percent")
-    )
+    """Distinct users of the range as estimated by merged sketches, which are nearly exact for some hundred users."""
+    table = metrics.event_metrics(_recent(spark, folder, WEEK), metrics.FIVE_MINUTES, uniques="sketch")
+    return reports.platform_users_report(table, WEEK, AS_OF)
 
 
 # --- reports over stored tables --------------------------------------------------
@@ -524,6 +574,39 @@ def report_platform_metrics_stored(spark: SparkSession, folder: str) -> DataFram
     return reports.with_totals(reports.platform_metrics_report(table, WEEK, AS_OF), WEEK, "total_events")
 
 
+@_query
+def report_platform_metrics_sketch_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The estimate from the sketches of the stored hourly table."""
+    table = _stored(spark, folder)(SKETCH_TABLE, WEEK)
+    return reports.with_totals(reports.platform_users_report(table, WEEK, AS_OF), WEEK, "total_events")
+
+
+@_query
+def report_user_metrics_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """A user's report from a table laid out for look-ups."""
+    path = shared_dir(spark, "lookup")
+    lookup.write_lookup(metrics.user_metrics(_events(spark, folder)), path, USER_METRIC_SCHEMA, buckets=4)
+    rows = lookup.look_up(spark, path, USER_METRIC_SCHEMA, "user_7", hours_back=WEEK, as_of=AS_OF)
+    report = reports.user_metrics_report(rows, WEEK, user_id="user_7", platform="ios", limit=1000, as_of=AS_OF)
+    return _plain(report, *USER_FIELDS)
+
+
+@_query
+def top_users_rolling(spark: SparkSession, folder: str) -> DataFrame:
+    """Top users of the last seven days for each day; a tenth of one day's events comes after all were rolled."""
+    path, events = shared_dir(spark, "rolling"), _events(spark, folder)
+    first, last = events.agg(F.to_date(F.min("timestamp")), F.to_date(F.max("timestamp"))).first()
+    days = [first + timedelta(days=k) for k in range((last - first).days + 1)]
+    changed = days[len(days) // 2]
+    late = (F.to_date("timestamp") == F.lit(changed)) & (F.col("event_id").cast("bigint") % 10 == 0)
+    rolling.store_days(metrics.user_metrics(events.where(~late)), path, days)
+    rolling.roll(spark, path, first, last)
+    rolling.store_days(metrics.user_metrics(events), path, [changed])
+    rolling.roll(spark, path, changed, last)
+    tops = [rolling.top_users(spark, path, day).withColumn("day", F.lit(day)) for day in days]
+    return reduce(DataFrame.unionByName, tops)
+
+
 # --- sinks and streams -----------------------------------------------------------
 
 
@@ -688,6 +771,40 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(read_parts(spark, path, once.schema), *EVENT_FIELDS)
 
 
+SESSION = timedelta(hours=6)
+
+
+def _few_ids(events: DataFrame) -> DataFrame:
+    """Events with an id a user, so that ids have many copies that differ in their time."""
+    return events.withColumn("event_id", F.concat(F.lit("id-"), F.col("user_id"))).drop("batch_id")
+
+
+@_query
+def dedup_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """The earliest of the copies of an id that follow each other within six hours."""
+    kept = dedup.dedup_sessions(_few_ids(_events(spark, folder)), SESSION)
+    return _plain(kept, "event_id", "timestamp", "content_id")
+
+
+@_query
+def stream_dedup_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from a stream, for the sessions it has closed."""
+    settings, path = _settings(spark), shared_dir(spark, "stream-sessions")
+    marked = metric_streams.prepared(_few_ids(_stream(spark, folder)), settings)
+    kept = dedup.dedup_sessions(marked, SESSION).select(*EVENT_FIELDS)
+    start_file_query(kept, path, settings, "dedup-sessions").awaitTermination()
+    return _plain(read_parts(spark, path, kept.schema), "event_id", "timestamp", "content_id")
+
+
+@_query
+def stream_open_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows that a stream has counted and not yet emitted, out of its state."""
+    settings, path, name = _settings(spark), shared_dir(spark, "stream-users"), "user-metrics-1hr"
+    frame = metric_streams.user_metric_stream(_stream(spark, folder), settings)
+    metric_sinks.stream_user_metrics(frame, path, settings, name).awaitTermination()
+    return _plain(state.open_user_windows(spark, settings.checkpoint(name)), *USER_FIELDS)
+
+
 @_query
 def stream_lake(spark: SparkSession, folder: str) -> DataFrame:
     settings, path = _settings(spark), shared_dir(spark, "stream-lake")
@@ -769,9 +886,40 @@ def tables_after_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _one_pass(
-    spark: SparkSession, records: DataFrame, landing_path: str | None, parts_path: str | None
+    spark: SparkSession,
+    records: DataFrame,
+    landing_path: str | None,
+    parts_path: str | None,
+    outcomes_path: str | None = None,
 ) -> None:
-    one_pass.start_one_pass(records, _settings(spark), landing_path, parts_path).awaitTermination()
+    query = one_pass.start_one_pass(
+        records, _settings(spark), landing_path, parts_path, outcomes_path=outcomes_path
+    )
+    query.awaitTermination()
+
+
+def _streamed_outcomes(spark: SparkSession, folder: str) -> str:
+    """The outcomes of two streams, each of which has a part of every client batch."""
+    pin_utc(spark)
+    path = shared_dir(spark, "outcomes")
+    for half in _halves(_stream(spark, folder, False)):
+        _one_pass(spark, _records(half), None, None, path)
+    return path
+
+
+@_query
+def stream_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of client batches whose rows came in several micro-batches."""
+    rows = outcomes.read_outcomes(spark, _streamed_outcomes(spark, folder))
+    return rows.withColumn("errors", F.array_join("errors", ","))
+
+
+@_query
+def stream_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    """Records by reason, after the parts are packed."""
+    path = _streamed_outcomes(spark, folder)
+    outcomes.pack_outcomes(spark, path)
+    return outcomes.read_reasons(spark, path)
 
 
 def _landing_and_parts(spark: SparkSession) -> tuple[str, str]:

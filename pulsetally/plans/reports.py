@@ -137,7 +137,8 @@ def platform_users_report(
 ) -> DataFrame:
     """Platform metrics with distinct users over the whole range, by merged sketches.
 
-    Takes a tumbling table with ``users_sketch``.
+    Takes a tumbling table with ``users_sketch``, such as the stored ``user_sketches_1hr``
+    (0.8 % standard error). Users of an hour without a sketch count as none.
     """
     rows = recent(sketch_metrics, hours_back, as_of)
     return merge_user_sketches(rows, "platform").orderBy(F.desc("total_events"), "platform")

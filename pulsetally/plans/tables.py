@@ -12,7 +12,14 @@ from pulsetally.functions.time import as_timestamp
 from pulsetally.operators import rollup
 from pulsetally.operators.metrics import FIVE_MINUTES, user_metrics
 from pulsetally.plans.reports import AsOf, top_users_report
-from pulsetally.schema import METRIC_SCHEMA, METRIC_TABLES, USER_METRIC_SCHEMA, USER_METRIC_TABLE
+from pulsetally.schema import (
+    METRIC_SCHEMA,
+    METRIC_TABLES,
+    SKETCH_SCHEMA,
+    SKETCH_TABLE,
+    USER_METRIC_SCHEMA,
+    USER_METRIC_TABLE,
+)
 from pulsetally.session import shared_dir
 from pulsetally.sinks.metrics import replace_table
 
@@ -27,7 +34,7 @@ def build_metric_tables(
     start: datetime | None = None,
     end: datetime | None = None,
 ) -> None:
-    """Compute the four metric tables below ``path`` for windows starting in a range.
+    """Compute the metric tables and the table of user sketches below ``path`` for windows starting in a range.
 
     The range must be whole UTC days: all its dates are built anew, also those that
     have become empty, so a run can be repeated. The last sliding windows of a day reach
@@ -39,6 +46,8 @@ def build_metric_tables(
     folder = shared_dir(spark, "metric-parts")
     reaching = end + FIVE_MINUTES if end is not None else None
     rollup.write_intermediates(read_events(start, reaching), folder)
+    sketches = _starting_within(rollup.hourly_sketches(spark, folder), start, end)
+    replace_table(sketches, f"{path}/{SKETCH_TABLE}", SKETCH_SCHEMA, start, end)
     for name, metrics in rollup.metric_tables(spark, folder).items():
         rows = _starting_within(metrics, start, end)
         replace_table(rows, f"{path}/{METRIC_TABLES[name]}", METRIC_SCHEMA, start, end)

@@ -59,6 +59,19 @@ USER_METRIC_SCHEMA = T.StructType(
     ]
 )
 
+# Hourly counts with the users as a sketch, so that distinct users add up over any range.
+SKETCH_SCHEMA = T.StructType(
+    [
+        T.StructField("window_start", T.TimestampType(), False),
+        T.StructField("window_end", T.TimestampType(), False),
+        T.StructField("event_type", T.StringType(), False),
+        T.StructField("platform", T.StringType(), False),
+        T.StructField("event_count", T.LongType(), False),
+        T.StructField("users_sketch", T.BinaryType()),
+        T.StructField("computed_at", T.TimestampType(), False),
+    ]
+)
+
 # Counter column -> event type it counts.
 USER_COUNTERS = {
     "likes": "like",
@@ -79,8 +92,10 @@ METRIC_TABLES = {
     "1day": "event_metrics_1day",
 }
 USER_METRIC_TABLE = "user_metrics_1hr"
+SKETCH_TABLE = "user_sketches_1hr"
 
 TABLE_SCHEMAS = {
     **{name: METRIC_SCHEMA for name in METRIC_TABLES.values()},
     USER_METRIC_TABLE: USER_METRIC_SCHEMA,
+    SKETCH_TABLE: SKETCH_SCHEMA,
 }

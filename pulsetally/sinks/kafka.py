@@ -11,6 +11,9 @@ from pulsetally.operators.decode import encode_events
 from pulsetally.sources.kafka import connection_options
 from pulsetally.streaming.start import start_query
 
+# Fixed value: the producer's largest request.
+MAX_REQUEST = 1_048_576
+
 
 def writer_options(kafka: KafkaSettings) -> dict[str, str]:
     """Connection and producer tuning of the writer."""
@@ -39,11 +42,16 @@ def observed(rows: DataFrame, ok: Column, name: str = "publish") -> tuple[DataFr
     return counted, observation
 
 
-def publish(events: DataFrame, kafka: KafkaSettings) -> int:
-    """Publish a batch and return how many records went out; a failure raises."""
-    records, counts = observed(encode_events(events), F.col("value").isNotNull())
-    records.write.format("kafka").options(**writer_options(kafka)).save()
-    return counts.get["successful"]
+def sendable() -> Column:
+    """Whether a record can be sent: it has a payload the producer takes as one request."""
+    return F.octet_length("value") <= MAX_REQUEST
+
+
+def publish(events: DataFrame, kafka: KafkaSettings) -> tuple[int, int]:
+    """Publish a batch; how many records went out and how many could not. A broken connection raises."""
+    records, counts = observed(encode_events(events), sendable())
+    records.where(sendable()).write.format("kafka").options(**writer_options(kafka)).save()
+    return counts.get["successful"], counts.get["failed"]
 
 
 def publish_stream(

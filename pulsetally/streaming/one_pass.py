@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulsetally.config import StreamSettings
-from pulsetally.plans import parts
+from pulsetally.plans import outcomes, parts
 from pulsetally.plans.landing import ACCEPTED, LANDING_SCHEMA, PARTITIONS, landing_rows
 from pulsetally.schema import EVENT_COLUMNS
 from pulsetally.sinks.micro import pack, write_micro
@@ -28,11 +28,15 @@ NAME = "one-pass"
 Sink = tuple[str, tuple[str, ...], Callable[[DataFrame], DataFrame]]
 
 
-def sinks(settings: StreamSettings, landing_path: str | None, parts_path: str | None) -> list[Sink]:
+def sinks(
+    settings: StreamSettings, landing_path: str | None, parts_path: str | None, outcomes_path: str | None = None
+) -> list[Sink]:
     """The sinks that the settings switch on and that have a folder."""
     found: list[Sink] = []
     if settings.enable_lake and landing_path:
-        found.append((landing_path, PARTITIONS, lambda rows: rows))
+        found.append((landing_path, PARTITIONS, lambda rows: rows.select(*LANDING_SCHEMA.names)))
+    if outcomes_path:
+        found.append((outcomes_path, (), outcomes.part_of))
     if settings.enable_metrics and parts_path:
         for name in parts.SCHEMAS:
             found.append((f"{parts_path.rstrip('/')}/{name}", (DATE,), _part_rows(name)))
@@ -48,7 +52,8 @@ def batch_writer(targets: list[Sink], run: str) -> Callable[[DataFrame, int], No
 
     def write(records: DataFrame, batch_id: int) -> None:
         spark = records.sparkSession
-        rows = landing_rows(records).persist(StorageLevel.MEMORY_AND_DISK)
+        batch = tuple(c for c in (outcomes.BATCH_ID,) if c in records.columns)
+        rows = landing_rows(records, batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for path, columns, select in targets:
                 write_micro(lambda: select(rows), spark, path, columns, run, batch_id)
@@ -64,14 +69,18 @@ def start_one_pass(
     landing_path: str | None = None,
     parts_path: str | None = None,
     name: str = NAME,
+    outcomes_path: str | None = None,
 ) -> StreamingQuery:
     """Land broker records and keep the parts of the metric tables, with one parse of each record.
 
+    With ``outcomes_path`` the counts of client batches (``plans/outcomes.py``) are kept too.
+
     Records without topic, partition and offset should carry an event id: a random one may
     differ between sinks when a lost executor takes cached rows along.
     """
     run = run_of(records.sparkSession, settings.checkpoint(name))
-    writer = records.writeStream.foreachBatch(batch_writer(sinks(settings, landing_path, parts_path), run))
+    targets = sinks(settings, landing_path, parts_path, outcomes_path)
+    writer = records.writeStream.foreachBatch(batch_writer(targets, run))
     return start_query(records, writer, settings, name)
 
 

@@ -172,6 +172,30 @@ def test_atomic_batches_with_a_giant(spark):
         assert rows(kept.groupBy("batch_id").count()) == [(4, 10)]
 
 
+def test_batches_are_parsed_once(spark, tmp_path, monkeypatch):
+    # A hot batch, one beyond the limit, single events; a payload is valid if it has a platform.
+    good, bad = ('{"event_type": "view", "user_id": "u", "platform": "%s"}' % p for p in ("ios", "tv"))
+    sizes = [("hot", 4000, good), ("whole", 1000, good), ("part", 3, bad), ("one", 1, good), (None, 2, good), (None, 2, bad)]
+    frame = spark.createDataFrame([(b, v) for b, n, v in sizes for _ in range(n)], "batch_id string, value string")
+    checked = check_events(parse_payload(frame))
+    folder = str(tmp_path / "rows")
+    monkeypatch.setattr(batches, "shared_dir", lambda *_: folder)
+    kept = batches.atomic_batches(checked, is_valid())
+    assert "from_json" not in kept._jdf.queryExecution().toString()  # all is read from the rows written once
+    assert kept.columns == checked.columns
+    assert spark.read.parquet(folder).count() == frame.count()
+    counts = {r.batch_id: r["count"] for r in kept.groupBy("batch_id").count().collect()}
+    assert counts == {"whole": 1000, "one": 1, None: 2}
+
+
+def test_every_reason_has_a_variant():
+    from pulsetally.operators.validate import rules
+    from pulsetally.plans.queries import VARIANTS
+
+    named = {reason for reasons, _ in VARIANTS for reason in reasons.split(",") if reason}
+    assert named == {*rules(), "payload_malformed"}
+
+
 def test_batch_outcome(spark):
     frame = batch_rows(spark, {1: 2, 2: 3, 3: 2}, bad={(2, 1), (3, 0), (3, 1)})
     got = rows(batches.batch_outcome(frame, F.col("ok")))
