@@ -159,18 +159,21 @@ def newest_builds(spark: SparkSession, path: str) -> DataFrame:
     return built.groupBy(DATE).agg(F.max(VERSION).alias(VERSION))
 
 
-def read_dates(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_dates(spark: SparkSession, path: str, schema: T.StructType, dates: Column | None = None) -> DataFrame:
     """A table by date: built dates from their newest build and later rows, others from streams and appends.
 
-    Which builds count is put into the scans as constants (a number for each built
-    date), so older builds are not opened.
+    ``dates``, a condition on ``window_date``, bounds every scan, also that for late rows.
+    Which builds count is put into the scans as constants (a number for each built date), so
+    older builds are not opened.
     """
     path, full = path.rstrip("/"), with_fields(schema, **{DATE: T.DateType()})
     newest = {r[DATE]: r[VERSION] for r in newest_builds(spark, path).collect()}
     versioned = with_fields(full, **{VERSION: T.LongType()})
-    appended, builds = (existing(spark, f"{path}/{part}", versioned) for part in (BATCH, BUILD))
+    wanted = F.lit(True) if dates is None else dates
+    found = [existing(spark, f"{path}/{part}", versioned) for part in (BATCH, BUILD)]
+    appended, builds = (None if part is None else part.where(wanted) for part in found)
     streams = [existing(spark, p, full) for p in subfolders(spark, f"{path}/{STREAM}")]
-    streams = [p for p in (*streams, *read_micro(spark, path, full)) if p is not None]
+    streams = [p.where(wanted) for p in (*streams, *read_micro(spark, path, full)) if p is not None]
     if not newest:
         return united(spark, [p.select(*full.names) for p in (*streams, appended) if p is not None], full)
     build = _looked_up(newest, DATE, "date", "long")
@@ -181,10 +184,10 @@ def read_dates(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
         after = F.col(WRITTEN) > F.timestamp_micros(F.floor(build / 1000))
         parts.append(rows.where(build.isNull()))
         late = rows.where(after)
-        dates = [r[DATE] for r in late.select(DATE).distinct().collect()]
-        if dates:
+        late_dates = [r[DATE] for r in late.select(DATE).distinct().collect()]
+        if late_dates:
             keys = [k for k in KEYS if k in schema.names]
-            again = F.col(DATE).isin(dates)
+            again = F.col(DATE).isin(late_dates)
             late = late.where(again)
             kept = kept.where(~again).unionByName(kept.where(again).join(late.select(*keys), keys, "left_anti").select(*full.names))
             parts.append(late)

@@ -38,11 +38,11 @@ def read_parquet(
     The schema follows from the table's name, the last part of ``path``, if not given.
     """
     schema = schema or TABLE_SCHEMAS[path.rstrip("/").rpartition("/")[2]]
-    metrics = read_dates(spark, path, schema)
     if hours_back is None:
-        return metrics
+        return read_dates(spark, path, schema)
     since = hours_before(hours_back, as_of)
-    return metrics.where((F.col(DATE) >= since.cast("date")) & (F.col("window_start") >= since))
+    recent = read_dates(spark, path, schema, F.col(DATE) >= since.cast("date"))
+    return recent.where(F.col("window_start") >= since)
 
 
 def newest_per_key(metrics: DataFrame, key: tuple[str, ...], version: str = BATCH_ID) -> DataFrame:
