@@ -1,7 +1,7 @@
 """One streaming query for all sinks: a micro-batch is read, parsed and checked once.
 
-The checked rows of a micro-batch are cached and written to the landing folder and to
-the parts of the metric tables (``plans/parts.py``). Every sink has its own ledger
+The checked rows of a micro-batch are cached (if there are several sinks) and written to the
+landing folder and to the parts of the metric tables (``plans/parts.py``). Every sink has its own ledger
 (``sinks/micro.py``), so a batch that is repeated after a crash between two sinks goes
 to those only that lack it.
 """
@@ -53,7 +53,10 @@ def batch_writer(targets: list[Sink], run: str) -> Callable[[DataFrame, int], No
     def write(records: DataFrame, batch_id: int) -> None:
         spark = records.sparkSession
         batch = tuple(c for c in (outcomes.BATCH_ID,) if c in records.columns)
-        rows = landing_rows(records, batch).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = landing_rows(records, batch)
+        # One sink reads the rows once, and without a cache only the columns it needs are made.
+        if len(targets) > 1:
+            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for path, columns, select in targets:
                 write_micro(lambda: select(rows), spark, path, columns, run, batch_id)

@@ -13,7 +13,7 @@ from pulsetally.operators import dedup, rollup
 from pulsetally.operators import metrics as m
 from pulsetally.plans import outcomes, reports, rolling
 from pulsetally.schema import SKETCH_SCHEMA, USER_METRIC_SCHEMA
-from pulsetally.sinks import lookup
+from pulsetally.sinks import lookup, micro
 from pulsetally.sinks.metrics import replace_table
 from pulsetally.sources import folders
 from pulsetally.sources.folders import read_dates
@@ -166,6 +166,19 @@ def test_outcomes_over_micro_batches(spark, tmp_path):
     assert rows(late, "total_events", "successful", "status") == [(1001, 0, "error")]
 
 
+def test_outcomes_alone_make_only_what_they_count(spark, tmp_path, monkeypatch):
+    plans, real = [], micro.write_partitioned
+    monkeypatch.setattr(micro, "write_partitioned", lambda r, *a, **k: (plans.append(r._jdf.queryExecution().toString()), real(r, *a, **k)))
+    path = str(tmp_path / "o")
+    write = one_pass.batch_writer(one_pass.sinks(StreamSettings("unused"), None, None, path), "r1")
+    write(_records(spark, [("x", "like", "web"), ("x", "nope", "web")]), 0)
+    optimized = plans[0].split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    # Nothing is cached, the parser stands once, and no raw fields or ids are made.
+    assert "InMemoryRelation" not in optimized and optimized.count("from_json(StructField") == 1
+    assert "sha2" not in optimized and "raw_fields" not in optimized
+    assert rows(outcomes.read_reasons(spark, path)) == [("", 1), ("event_type_unknown", 1)]
+
+
 def test_outcomes_without_batches_or_rows(spark, tmp_path):
     path = str(tmp_path / "o")
     assert outcomes.read_outcomes(spark, path).count() == 0 and outcomes.read_reasons(spark, path).count() == 0
