@@ -20,7 +20,7 @@ from pulsetally.operators.validate import (
     record_defaults,
 )
 from pulsetally.schema import EVENT_COLUMNS, LAKE_PARTITIONS
-from pulsetally.sinks.lake import write_partitioned
+from pulsetally.sinks.lake import balanced, write_partitioned
 from pulsetally.sources.folders import BATCH, read_parts
 from pulsetally.sources.lake import LAKE_SCHEMA, PROCESSING_TIME, bounded
 from pulsetally.streaming.start import start_file_query
@@ -88,7 +88,8 @@ def stream_landing(
     records: DataFrame, path: str, settings: StreamSettings, name: str = "raw-events"
 ) -> StreamingQuery:
     """The same for a stream of records, exactly-once and with one scan of the topic."""
-    return start_file_query(landing_rows(records), path, settings, name, PARTITIONS)
+    rows = balanced(landing_rows(records), PARTITIONS)
+    return start_file_query(rows, path, settings, name, PARTITIONS)
 
 
 def read_accepted(

@@ -106,6 +106,21 @@ def test_landing_stream(spark, settings, tmp_path):
     ]
 
 
+def test_streams_write_a_file_an_hour_from_many_tasks(spark, settings, tmp_path):
+    texts = [
+        json.dumps({"event_id": f"{i}", "event_type": "like", "user_id": "u", "platform": "web", "timestamp": f"2024-01-15T{i % 6:02d}:00:00"})
+        for i in range(60)
+    ]
+    spark.createDataFrame([(t,) for t in texts], "value string").repartition(5).write.text(str(tmp_path / "in"))
+    lines = spark.readStream.text(str(tmp_path / "in"))
+    landing.stream_landing(lines, str(tmp_path / "landing"), settings, "landing").awaitTermination()
+    lake.stream_lake(decode_events(lines), str(tmp_path / "lake"), settings, "lake").awaitTermination()
+    assert landing.read_accepted(spark, str(tmp_path / "landing")).count() == 60
+    for path in ("landing", "lake"):
+        files = [f.parent for f in (tmp_path / path / "stream").rglob("*.parquet")]
+        assert len(files) == len(set(files)) == 6
+
+
 def test_late_rows_are_dropped(spark, settings, tmp_path):
     feed = Feed(spark, tmp_path / "in")
     feed.add(("1", "like", "a", "2024-01-15T10:01:00"))
