@@ -74,10 +74,16 @@ def _events(spark: SparkSession, folder: str, map_types: bool = True) -> DataFra
 
 
 def _records(events: DataFrame) -> DataFrame:
-    """Events as broker records; the event id is the offset."""
+    """Events as broker records; the event id is the offset.
+
+    They are dealt over all cores, as the table may be a few row groups, and so a few tasks,
+    and encoding, parsing and checking a record takes far longer than moving it.
+    """
     offset = F.col("event_id").cast("bigint")
+    tasks = 3 * events.sparkSession.sparkContext.defaultParallelism
     return (
-        events.withColumn("offset", offset)
+        events.repartition(tasks, "event_id", "timestamp")
+        .withColumn("offset", offset)
         .transform(encode_events, keep=("batch_id", "offset", "timestamp"))
         .withColumns({"topic": F.lit("events"), "partition": F.lit(0)})
     )
