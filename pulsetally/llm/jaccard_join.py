@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsetally.llm.common import bit_table, hash64, in_table, slices, stash
+from pulsetally.llm.common import bit_table, hash64, in_table, release_memory, slices, stash
 from pulsetally.llm.components import components
 from pulsetally.llm.shingles import Shingler, odd_distance, odd_sketch
 
@@ -49,7 +49,7 @@ PAIRED = 128
 #: Nodes of a key that are compared with each other; keys with more use pivots.
 BUCKET, PIVOTS = 16, 2
 #: Nodes outside a main component, and nodes of a key, that are compared in one group; pairs of them at once.
-OUTSIDE, STREAMED, PAIRS = 1024, 8192, 1 << 16
+OUTSIDE, STREAMED, PAIRS = 1024, 8192, 1 << 13
 #: Sets a task remembers to have emitted.
 SEEN_MAX = 1_000_000
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -211,6 +211,7 @@ def _bucket_pairs(keys: DataFrame, percent: int) -> DataFrame:
             yield np.stack((x[ok, 1], y[ok, 1]), axis=1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         held = np.zeros((0, 4), np.int64)  # rows of the last key that is not known to be complete
         pivots = None  # set while the rows of one large key stream through
 

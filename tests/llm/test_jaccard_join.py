@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pulsetally.llm import jaccard_join
+from pulsetally.llm import common, jaccard_join
 from pulsetally.llm.components import components
 from pulsetally.llm.jaccard_join import jaccard_components, keep_one
 from pulsetally.llm.shingles import Shingler, odd_distance, odd_sketch
@@ -159,3 +160,10 @@ def test_alike_sets_that_do_not_link(spark, monkeypatch):
     for percent in (80, 85):
         assert answer(spark, texts, 4, percent) == brute(texts, 4, percent)
     assert jaccard_components(no_documents(spark)).collect() == []
+
+
+def test_a_task_gives_back_what_earlier_ones_left(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release_memory", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1200))})
+    assert [b.num_rows for b in common.slices(iter([batch, batch]))] == [500, 500, 200] * 2 and calls == [1]
