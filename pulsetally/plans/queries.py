@@ -529,9 +529,15 @@ def report_platform_metrics_exact(spark: SparkSession, folder: str) -> DataFrame
 
 @_query
 def report_platform_metrics_sketch(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct users of the range as estimated by merged sketches, which are nearly exact for some hundred users."""
-    table = metrics.event_metrics(_recent(spark, folder, WEEK), metrics.FIVE_MINUTES, uniques="sketch")
-    return reports.platform_users_report(table, WEEK, AS_OF)
+    """Distinct users of the range as estimated by merged sketches, against the exact counts.
+
+    Three standard errors of the sketches are 5 %; those of some hundred users are nearly exact.
+    """
+    recent = _recent(spark, folder, WEEK)
+    table = metrics.event_metrics(recent, metrics.FIVE_MINUTES, uniques="sketch")
+    estimates = reports.platform_users_report(table, WEEK, AS_OF)
+    exact = reports.platform_users_exact(recent, WEEK, AS_OF)
+    return reports.against_exact(estimates, exact, 5)
 
 
 # --- reports over stored tables --------------------------------------------------

@@ -157,6 +157,18 @@ def platform_users_exact(events: DataFrame, hours_back: int = 24, as_of: AsOf =
     )
 
 
+def against_exact(estimates: DataFrame, exact: DataFrame, percent: int) -> DataFrame:
+    """Estimated users by platform next to ``exact_users``, and whether they are within ``percent`` of them."""
+    found = exact.select(F.col("platform").alias("exact_platform"), F.col("unique_users").alias("exact_users"))
+    off = F.abs(F.col("unique_users") - F.col("exact_users"))
+    return (
+        estimates.join(found, F.col("platform").eqNullSafe(F.col("exact_platform")))
+        .drop("exact_platform")
+        .withColumn(f"within_{percent}_percent", off * 100 <= F.col("exact_users") * percent)
+        .orderBy(F.desc("total_events"), "platform")
+    )
+
+
 def recent(metrics: DataFrame, hours_back: int, as_of: AsOf = None) -> DataFrame:
     """Windows which start within the last hours."""
     _check_range("hours_back", hours_back, HOURS_MAX)

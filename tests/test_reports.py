@@ -4,9 +4,11 @@ from decimal import ROUND_HALF_EVEN, Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import DATA
 from helpers import rows
 from pulsetally.operators import metrics as m
 from pulsetally.plans import reports
+from pulsetally.plans.queries import all_queries
 
 AS_OF = "2024-01-31 00:00:00"
 NOW = datetime(2024, 1, 15, 12)
@@ -167,3 +169,22 @@ def test_labels_and_counts(seed_events):
 def test_top_k_plan(seed_users):
     plan = reports.top_users_report(seed_users, 24, 10, NOW)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_estimates_against_exact_counts(spark):
+    columns = "platform string, total_events long, unique_users long"
+    estimates = spark.createDataFrame([("web", 90, 42), ("ios", 80, 43), (None, 70, 19), ("android", 60, 0)], columns)
+    exact = spark.createDataFrame([("web", 90, 40), ("ios", 80, 40), (None, 70, 20), ("android", 60, 0)], columns)
+    got = reports.against_exact(estimates, exact, 5)
+    assert got.columns == ["platform", "total_events", "unique_users", "exact_users", "within_5_percent"]
+    assert [tuple(r) for r in got.collect()] == [
+        ("web", 90, 42, 40, True), ("ios", 80, 43, 40, False), (None, 70, 19, 20, True), ("android", 60, 0, 0, True),
+    ]
+
+
+def test_sketch_query_holds_the_exact_counts(spark, table):
+    query = all_queries()
+    exact = query["report_platform_metrics_exact"](spark, str(DATA)).collect()
+    found = query["report_platform_metrics_sketch"](spark, str(DATA)).collect()
+    assert [(r.platform, r.total_events, r.exact_users) for r in found] == [tuple(r) for r in exact]
+    assert all(r.within_5_percent for r in found)
