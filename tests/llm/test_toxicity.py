@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pulsetally.llm import toxicity
@@ -77,3 +78,65 @@ def test_odd_documents(spark):
     none = train(no_documents(spark), labels.limit(0))
     assert score(no_documents(spark), none).count() == 0
     assert {r.score for r in score(odd, none).collect()} == {0.0}
+
+
+def accuracy(spark, model, rows):
+    got = {r.doc_id: r.score for r in score(frames(spark, rows)[0], model).collect()}
+    return np.mean([(got[i] >= 0.5) == bool(y) for i, _, _, y in rows])
+
+
+def test_all_labelled_rows_are_learnt(spark):
+    rows = corpus(1200)
+    model = train(*frames(spark, rows), usable=F.col("doc_id") % 5 != 0, fit_rows=10)
+    assert accuracy(spark, model, [r for r in rows if r[0] % 5 == 0]) > 0.97
+
+
+def test_long_texts_are_learnt(spark):
+    rows = [(i, "river stone " * 9_000 + ("gruffly " if i % 2 else "meadow "), "en", i % 2) for i in range(16)]
+    model = train(*frames(spark, rows))
+    assert model.share is None
+    low, high = score(spark.createDataFrame([(0, "a meadow"), (1, "gruffly said")], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert low.score < high.score
+
+
+def test_parts_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART_ROWS", 100)
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 32)
+    rows = corpus(400) + [(7, "the same id with another text", "en", 0)] * 2
+    docs = spark.createDataFrame([(r[0], r[1], r[3]) for r in rows], "doc_id long, text string, toxic int")
+    models = [toxicity.fit_parts(docs.repartition(n, "text"), 302, 100) for n in (1, 5)]
+    assert np.array_equal(models[0].table, models[1].table) and models[0].shift == models[1].shift
+    assert accuracy(spark, models[0], corpus(200, seed=9)) > 0.9
+
+
+def test_blocks_hold_every_word(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK_CHARS", 12)
+    texts = ["a b", "", "c a a", "a much longer text", "b", "x"]
+    columns = {"part": pa.array([0, 0, 0, 0, 2, 2], pa.int32()), "text": texts, "toxic": pa.array([1, 0, 0, 1, 1, 0], pa.int32())}
+    whole = pa.RecordBatch.from_pydict(columns)
+    found = []
+    for block in toxicity._blocks(iter([whole.slice(0, 2), whole.slice(2)])):
+        part, *packed = (c[0].as_py() for c in block.columns)
+        labels, docs, buckets = toxicity._unpacked_block(packed)
+        for label, (words, places) in zip(labels, docs, strict=True):
+            found.append((part, int(label), [tuple(buckets[words[p]].tolist()) for p in places]))
+    expected = [(p, y, [word_buckets(w) for w in t.split() or [""]]) for p, t, y in zip([0, 0, 0, 0, 2, 2], texts, [1, 0, 0, 1, 1, 0])]
+    assert found == expected
+
+
+def test_calibration_of_parts_equals_that_of_arrays(spark):
+    rows = corpus(300)
+    model = fit([r[1] for r in rows[:100]], np.array([r[3] for r in rows[:100]]))
+    whole = spark.createDataFrame([r[1:] for r in rows], "text string, lang string, toxic int")
+    toxicity.calibrate_parts(model, whole.repartition(3))
+    scale, thresholds = model.scale, dict(model.thresholds)
+    words = Words(model.table)
+    logits = np.array([model.logit(words.of(r[1])) for r in rows])
+    toxicity.calibrate(model, logits, np.array([r[3] for r in rows]), [r[2] for r in rows])
+    assert np.allclose(scale, model.scale, atol=1e-6) and thresholds == model.thresholds
+
+
+def test_buckets_of_many_words():
+    words = ["", "?!", "a", "ab", "abc", "(Stone)", "extraordinarily", "naïve", "日本語のことば", "\ud800x", "end\0", "\0\0\0", "ab", "🎉🎉🎉"]
+    assert toxicity._buckets_of(words).tolist() == [list(word_buckets(w)) for w in words]
+    assert toxicity._buckets_of([]).shape == (0, 7)
