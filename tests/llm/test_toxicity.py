@@ -124,16 +124,51 @@ def test_blocks_hold_every_word(monkeypatch):
     assert found == expected
 
 
+def test_every_language_has_a_threshold(spark):
+    rng = np.random.default_rng(3)
+    langs = rng.choice(["en", "de", "fr", ""], 900, p=[0.6, 0.35, 0.03, 0.02]).tolist()
+    labels = (rng.random(900) < 0.3).astype(np.int64)
+    logits = np.where(labels == 1, 0.9, -0.9) + rng.normal(0, 1, 900)
+    model = toxicity._fresh(rng)
+    toxicity.calibrate(model, logits, labels, langs)
+    assert set(model.thresholds) == {"en", "de", "fr", ""}
+    found = np.array([model.probability(z) for z in logits.tolist()])
+    for lang in ("en", "de", None):  # None: all rows, the threshold of other languages
+        own = np.array([lang in (None, x) for x in langs])
+        y, s = labels[own], found[own]
+        f1 = {t: round(2 * ((s >= t) & (y == 1)).sum() / ((s >= t).sum() + y.sum()), 9) for t in toxicity.THRESHOLDS}
+        best = max(f1, key=lambda t: (f1[t], -abs(t - 0.5)))
+        assert best == (model.threshold if lang is None else model.thresholds[lang])
+
+
+def test_few_rows_of_a_language_count():
+    model = toxicity._fresh(np.random.default_rng(0))
+    counts = {"en": np.zeros((2, 42)), "fr": np.zeros((2, 42)), "es": np.zeros((2, 42))}
+    counts["en"][0, 5], counts["en"][1, 41] = 100, 100  # any threshold from the sixth on parts these
+    counts["fr"][0, 30], counts["fr"][1, 41] = 5, 5
+    counts["es"][0, 5] = 2
+    toxicity._set_thresholds(model, counts)
+    assert model.thresholds["fr"] >= toxicity.THRESHOLDS[30] and set(model.thresholds) == {"en", "fr", "es"}
+    assert 0.49 < model.thresholds["en"] < 0.51 and model.thresholds["es"] == model.threshold
+
+
 def test_calibration_of_parts_equals_that_of_arrays(spark):
     rows = corpus(300)
     model = fit([r[1] for r in rows[:100]], np.array([r[3] for r in rows[:100]]))
     whole = spark.createDataFrame([r[1:] for r in rows], "text string, lang string, toxic int")
     toxicity.calibrate_parts(model, whole.repartition(3))
-    scale, thresholds = model.scale, dict(model.thresholds)
+    scale, thresholds, other = model.scale, dict(model.thresholds), model.threshold
     words = Words(model.table)
     logits = np.array([model.logit(words.of(r[1])) for r in rows])
     toxicity.calibrate(model, logits, np.array([r[3] for r in rows]), [r[2] for r in rows])
-    assert np.allclose(scale, model.scale, atol=1e-6) and thresholds == model.thresholds
+    assert np.allclose(scale, model.scale, atol=1e-6) and (thresholds, other) == (model.thresholds, model.threshold)
+
+
+def test_null_language_is_the_empty_one(spark):
+    docs = spark.createDataFrame([(1, "a", None), (2, "a", ""), (3, "a", "en"), (4, "a", "xx")], "doc_id long, text string, lang string")
+    model = toxicity._fresh(np.random.default_rng(0))
+    model.share, model.thresholds, model.threshold = 0.55, {"": 0.6, "en": 0.5}, 0.6
+    assert {r.doc_id for r in reject_toxic(docs, model).collect()} == {1, 2, 4}
 
 
 def test_buckets_of_many_words():
